@@ -19,9 +19,9 @@ from .store import materialize, read_table
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Retained values of a sketch, those that the first pruning looks at, and the chance of missing one pair that is accepted.
-K, K_FIRST, MISS = 128, 32, 1e-9
-#: Members of an inverted list that one task pairs with each other; longer lists are paired block by block.
+#: Retained values of the sketches of all texts, of those that the rounds of pruning leave, and the chance of missing a pair in a round.
+K_FIRST, K_NEXT, K, MISS = 32, 128, 512, 1e-9
+#: Members of an inverted list in a block.
 LIST_BLOCK = 64
 
 # --- shingle sets ---------------------------------------------------------------------------------
@@ -64,17 +64,27 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 _SKETCH = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+_SKETCH_TYPE = T.StructType().add("n", T.LongType()).add("digest", T.BinaryType()).add("sketch", T.ArrayType(T.LongType()))
 
 
-@arrow_udf(T.StructType().add("n", T.LongType()).add("digest", T.BinaryType()).add("sketch", T.ArrayType(T.LongType())))
-def _sketch(texts: pa.Array) -> pa.Array:
+def _sketches(texts: pa.Array, k: int) -> pa.Array:
     rows = []
     for t in texts:
         s = shingle_set(t.as_py())
-        rows.append({"n": len(s), "digest": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "sketch": s[:K]})
+        rows.append({"n": len(s), "digest": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "sketch": s[:k]})
     return pa.array(rows, _SKETCH)
 
 
+@arrow_udf(_SKETCH_TYPE)
+def _first_sketch(texts: pa.Array) -> pa.Array:
+    return _sketches(texts, K_FIRST)
+
+
+@arrow_udf(_SKETCH_TYPE)
+def _sketch(texts: pa.Array) -> pa.Array:
+    return _sketches(texts, K)
+
+
 @arrow_udf(T.ArrayType(T.LongType()))
 def _full_set(texts: pa.Array) -> pa.Array:
     return pa.array([shingle_set(t.as_py()) for t in texts], pa.list_(pa.int64()))
@@ -105,42 +115,45 @@ def least_shared(k: int) -> int:
 
 
 def needed_overlap(n: str, k: int) -> str:
-    """SQL for the values that a sketch of k from a set of n must share with that of any partner. Exact where the union is within k."""
+    """SQL for the values that the sketches of k of a set of n and of any linked set share. Exact where no union exceeds k."""
     return f"if(100 * {n} <= {PERCENT} * {k}, ({PERCENT} * {n} + 99) div 100, least(({PERCENT} * {n} + 99) div 100, {least_shared(k)}))"
 
 
-# --- candidates -----------------------------------------------------------------------------------
+def needed_by_smaller(n: str, k: int) -> str:
+    """The same for linked sets that are at least as large: they share PERCENT / (100 + PERCENT) of both sizes."""
+    exact = f"({2 * PERCENT} * {n} + {99 + PERCENT}) div {100 + PERCENT}"
+    return f"if(100 * {n} <= {PERCENT} * {k}, {exact}, least({exact}, {least_shared(k)}))"
 
 
-def _shared_values(nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, v, df) for values of the k least of each sketch that at least two nodes retain, of nodes that share enough of them."""
-    values = nodes.select("node", "n", F.explode(F.slice("sketch", 1, k)).alias("v"))
-    df = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return values.join(df, "v")
+# --- candidates -----------------------------------------------------------------------------------
 
 
 def _survivors(nodes: DataFrame, k: int) -> DataFrame:
-    """The nodes whose k least values are shared often enough for any partner to exist, with these values by rising frequency."""
-    shared = _shared_values(nodes, k).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
+    """(node, n, shared): nodes whose k least values are shared often enough for a link, with the shared ones as (df, v) by rising frequency."""
+    values = nodes.select("node", "n", F.explode(F.slice("sketch", 1, k)).alias("v"))
+    df = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = values.join(df, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     return shared.where(f"size(shared) >= {needed_overlap('n', k)}")
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """(v, node) of the retained values through which every linked pair meets.
+    """(v, node, n, as_smaller): the retained values through which every linked pair meets.
 
-    Two linked sets share at least o of the s retained values, so they meet
-    in the s - o + 1 least frequent of either. Values that one node alone
-    retains are the least frequent of all and need no list, and nodes that
+    Two linked sets share at least o of the s retained values of either, so
+    they meet in the s - o + 1 least frequent. o is larger for the smaller
+    of the two: so each pair is looked for among the values that its smaller
+    set has ``as_smaller`` and its larger set has at all. Values that one
+    node alone retains come first in the order and need no list; nodes that
     share fewer than o values with any others are gone. So a passage that
     many texts share takes part only where it makes up most of a text.
     """
-    first = materialize(_survivors(nodes, K_FIRST).select("node", "n"), "survivors")
-    nodes = nodes.join(first, ["node", "n"], "left_semi")
-    second = materialize(_survivors(nodes, K), "survivors")
-    alone = f"(least(n, {K}) - size(shared))"
-    prefix = second.withColumn("m", F.expr(f"int(least(n, {K}) - ({needed_overlap('n', K)}) + 1 - {alone})"))
-    lists = prefix.where("m > 0").select("node", F.explode(F.slice("shared", F.lit(1), F.col("m"))).alias("x")).select(F.col("x.v").alias("v"), "node")
-    return materialize(lists.distinct(), "lists")
+    left = materialize(_survivors(nodes, K_NEXT).select("node", "n"), "survivors")
+    last = materialize(_survivors(nodes.join(left, ["node", "n"], "left_semi"), K), "survivors")
+    length = lambda o: f"int(least(n, {K}) - ({o}) + 1 - (least(n, {K}) - size(shared)))"
+    cut = last.withColumns({"larger": F.expr(length(needed_overlap("n", K))), "smaller": F.expr(length(needed_by_smaller("n", K)))})
+    lists = cut.where("larger > 0").select("node", "n", "smaller", F.posexplode(F.slice("shared", F.lit(1), F.col("larger"))).alias("at", "x"))
+    lists = lists.groupBy(F.col("x.v").alias("v"), "node", "n").agg(F.max(F.col("at") < F.col("smaller")).alias("as_smaller"))
+    return materialize(lists, "lists")
 
 
 def _union_sketch_passes(a: str, b: str) -> str:
@@ -192,25 +205,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _apart(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that meet in a list but are in different components so far; long lists are paired block by block."""
-    member = lists.join(parts, "node", "left").select("v", "node", F.coalesce("component", "node").alias("c"))
-    open_ = member.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    blocks = f"int((size + {LIST_BLOCK - 1}) div {LIST_BLOCK})"
-    left = member.join(open_.select("v", "size"), "v").withColumn("blocks", F.expr(blocks)).withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))"))
-    dealt = left.select("v", "node", "c", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("v", "node", "c", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    dealt = materialize(dealt, "apart")
-    a = dealt.select("v", "x", "y", *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "block")))
-    b = dealt.select("v", "x", "y", *(F.col(c).alias(f"{c}_b") for c in ("node", "c", "block")))
-    meet = a.join(b, ["v", "x", "y"]).where("c_a <> c_b and node_a < node_b and ((block_a = x and block_b = y) or (block_a = y and block_b = x))")
-    return meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    """Pairs (a, b) that meet in a list and could be linked, but are in different components so far.
+
+    In each list, all but the members of its most frequent component are
+    paired with all members; these are dealt out in blocks, so that neither
+    a list nor a pairing has to fit in one task.
+    """
+    member = lists.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    of = member.groupBy("v", "c").agg(F.count(F.lit(1)).alias("size"))
+    open_ = of.groupBy("v").agg(F.max_by("c", F.struct("size", "c")).alias("major"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = F.expr(f"int((size + {LIST_BLOCK - 1}) div {LIST_BLOCK})")
+    member = materialize(member.join(open_.select("v", "major", blocks.alias("blocks")), "v"), "apart")
+    named = lambda df, end: df.select("v", "block", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "c", "as_smaller")))
+    every = named(member.withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))")), "b")
+    minor = named(member.where("c <> major").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))), "a")
+    possible = f"""c_a <> c_b and ((n_a <= n_b and as_smaller_a and 100 * n_a >= {PERCENT} * n_b)
+        or (n_b <= n_a and as_smaller_b and 100 * n_b >= {PERCENT} * n_a))"""
+    meet = minor.join(every, ["v", "block"]).where(possible)
+    return meet.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(__id, __n_shingles, __component) for every row of ``docs``.
 
-    1. Each text becomes a set of shingle hashes and its K least values.
+    1. Each text becomes a set of shingle hashes and its K_FIRST least values.
        Equal sets, by a 128-bit digest, are one node under the least id.
+       Only nodes whose values are shared enough get sketches of K values.
     2. Inverted lists of retained values, only those that a linked pair must
        meet in (``inverted_lists``).
     3. Each member of a list is paired with the list's least node, the union's
@@ -220,20 +240,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
        pair that meets is either linked through others or checked itself,
        without all pairs within a group of copies.
 
-    A pair with the named similarity is missed with a chance below 2e-9 in
-    step 2 or 3; links themselves are confirmed on full sets. Null and empty
-    texts have no shingles and are alone. Rows that share an id count as one
-    document; a row with a null id is alone, with a null component.
+    A linked pair is missed with a chance of a few MISS at most; links
+    themselves are confirmed on full sets. Null and empty texts have no
+    shingles and are alone. Rows that share an id count as one document; a
+    row with a null id is alone, with a null component.
     """
     slim = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    seen = materialize(slim.select("__id", _sketch.asNondeterministic()("__text").alias("s")).select("__id", "s.*"), "sketches")
+    seen = slim.select("__id", _first_sketch.asNondeterministic()("__text").alias("s")).select("__id", "s.*")
+    seen = materialize(seen, "sketches")
     full = seen.where("__id is not null and n > 0")
-    nodes = materialize(full.groupBy("digest").agg(F.min(F.struct("__id", "n", "sketch")).alias("x")).select(F.col("x.__id").alias("node"), "x.n", "x.sketch", "digest"), "nodes")
-    lists = inverted_lists(nodes)
+    nodes = full.groupBy("digest").agg(F.min(F.struct("__id", "n", "sketch")).alias("x"))
+    nodes = materialize(nodes.select(F.col("x.__id").alias("node"), "x.n", "x.sketch", "digest"), "nodes")
+    left = materialize(nodes.join(_survivors(nodes, K_FIRST).select("node", "n"), ["node", "n"], "left_semi").select("node", "digest"), "survivors")
+    again = slim.join(left, slim["__id"] == left["node"], "left_semi").select("__id", _sketch.asNondeterministic()("__text").alias("s"))
+    again = again.select(F.col("__id").alias("node"), "s.*").join(left, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
+    sketches = materialize(again.select("node", "n", "sketch"), "sketches")
+    lists = inverted_lists(sketches)
 
     pivots = lists.groupBy("v").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
     stars = lists.join(pivots, "v").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    sketches = nodes.select("node", "sketch")
     edges = materialize(_verified(materialize(_estimated(stars, sketches), "pairs"), slim), "edges")
     parts = materialize(components(edges), "parts")
 
