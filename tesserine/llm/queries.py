@@ -6,6 +6,7 @@ from .bpe import op4_tokens
 from .lines import OP5_SQL, op5_line_dedup
 from .neardup import op6_near_dedup
 from .packing import op3_packing
+from .pieces import op7_pieces
 from .quality import OP2_SQL, op2_quality
 from .secrets import OP9_SQL, op9_secrets
 from .shards import OP1_SQL, op1_shards
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_tokens": op4_tokens,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_dedup": op6_near_dedup,
+    "op7_pieces": op7_pieces,
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_urls": op10_urls,
