@@ -106,10 +106,13 @@ def test_ids_equal_the_library(spark):
     rng = random.Random(5)
     alphabet = [" ", "  ", "\n", "\t", "a", "Word", "'s", "12", "é", "!", "<|endoftext|>", " ", "日"]
     texts = ODD_TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(500)]
-    encoder = bpe.Encoder(bpe.default_path())
+    texts += ["a\u0085b \xa0c", "²³ ½ ª º", "I'LL don't", " " * 3000, "word " * 500 + ". , x." * 20]
+    encoder, ranked = bpe.Encoder(bpe.default_path()), bpe.RankedEncoder(bpe.default_path())
+    told = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
-        found = [list(memoryview(x).cast("I")) for x in encoder.ids(texts)]
-        assert found == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [list(memoryview(x).cast("I")) for x in encoder.ids(texts)] == told
+    assert ranked.ranked is not None
+    assert [list(memoryview(ranked.ids(x)).cast("I")) for x in texts] == told
 
 
 def test_counts(spark, odd_docs, sf_dir):
