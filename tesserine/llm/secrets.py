@@ -84,6 +84,7 @@ def scan_versions(
     if ledger is not None:
         seen = new.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "spans"))
     hits = seen.where(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob")).agg(F.first("spans").alias("__spans"))
+    hits = materialize(hits, "findings")  # stored, so that the join's sides are plain and Spark can split a blob that many versions share
     rows = versions.withColumn("__blob", blob_id(F.col(text))).join(hits, "__blob", "left")
     return rows.withColumn("__spans", F.coalesce("__spans", F.array().cast(f"array<{SPAN}>"))), new
 
