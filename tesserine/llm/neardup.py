@@ -21,8 +21,8 @@ WORDS = 5
 PERCENT = 75
 #: Retained values of the sketches of all texts, of those that the rounds of pruning leave, and the chance of missing a pair in a round.
 K_FIRST, K_NEXT, K, MISS = 32, 128, 512, 1e-9
-#: Members of an inverted list in a block.
-LIST_BLOCK = 64
+#: Members of an inverted list in a block; 64-bit words of a parity sketch.
+LIST_BLOCK, WORDS_OF_PARITY = 64, 16
 
 # --- shingle sets ---------------------------------------------------------------------------------
 
@@ -63,26 +63,35 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(x.view(np.int64))
 
 
-_SKETCH = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-_SKETCH_TYPE = T.StructType().add("n", T.LongType()).add("digest", T.BinaryType()).add("sketch", T.ArrayType(T.LongType()))
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of values falls on each of so many bits. Bits that differ between two sketches are at most the values that differ between their sets."""
+    bits = 64 * WORDS_OF_PARITY
+    at = (s.view(np.uint64) * _MIX[2]) >> np.uint64(64 - bits.bit_length() + 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) % 2).astype(np.uint8)).view(np.int64)
 
 
-def _sketches(texts: pa.Array, k: int) -> pa.Array:
+_LONGS = T.ArrayType(T.LongType())
+_SKETCH_TYPE = T.StructType().add("n", T.LongType()).add("digest", T.BinaryType()).add("sketch", _LONGS)
+
+
+def _sketches(texts: pa.Array, k: int, parity: bool) -> pa.Array:
+    fields = [("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))] + [("parity", pa.list_(pa.int64()))] * parity
     rows = []
     for t in texts:
         s = shingle_set(t.as_py())
-        rows.append({"n": len(s), "digest": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "sketch": s[:k]})
-    return pa.array(rows, _SKETCH)
+        row = {"n": len(s), "digest": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "sketch": s[:k]}
+        rows.append(row | {"parity": parity_sketch(s)} if parity else row)
+    return pa.array(rows, pa.struct(fields))
 
 
 @arrow_udf(_SKETCH_TYPE)
 def _first_sketch(texts: pa.Array) -> pa.Array:
-    return _sketches(texts, K_FIRST)
+    return _sketches(texts, K_FIRST, False)
 
 
-@arrow_udf(_SKETCH_TYPE)
+@arrow_udf(T.StructType([*_SKETCH_TYPE.fields, T.StructField("parity", _LONGS)]))
 def _sketch(texts: pa.Array) -> pa.Array:
-    return _sketches(texts, K)
+    return _sketches(texts, K, True)
 
 
 @arrow_udf(T.ArrayType(T.LongType()))
@@ -204,23 +213,27 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _apart(lists: DataFrame, parts: DataFrame) -> DataFrame:
+def _apart(lists: DataFrame, parts: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) that meet in a list and could be linked, but are in different components so far.
 
     In each list, all but the members of its most frequent component are
     paired with all members; these are dealt out in blocks, so that neither
-    a list nor a pairing has to fit in one task.
+    a list nor a pairing has to fit in one task. The join itself drops pairs
+    whose parity sketches differ in more bits than linked sets can.
     """
     member = lists.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     of = member.groupBy("v", "c").agg(F.count(F.lit(1)).alias("size"))
     open_ = of.groupBy("v").agg(F.max_by("c", F.struct("size", "c")).alias("major"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = F.expr(f"int((size + {LIST_BLOCK - 1}) div {LIST_BLOCK})")
-    member = materialize(member.join(open_.select("v", "major", blocks.alias("blocks")), "v"), "apart")
-    named = lambda df, end: df.select("v", "block", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "c", "as_smaller")))
+    words = [f"w{i}" for i in range(WORDS_OF_PARITY)]
+    parity = sketches.select("node", *(F.col("parity")[i].alias(w) for i, w in enumerate(words)))
+    member = materialize(member.join(open_.select("v", "major", blocks.alias("blocks")), "v").join(parity, "node"), "apart")
+    named = lambda df, end: df.select("v", "block", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "c", "as_smaller", *words)))
     every = named(member.withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))")), "b")
     minor = named(member.where("c <> major").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))), "a")
     possible = f"""c_a <> c_b and ((n_a <= n_b and as_smaller_a and 100 * n_a >= {PERCENT} * n_b)
-        or (n_b <= n_a and as_smaller_b and 100 * n_b >= {PERCENT} * n_a))"""
+        or (n_b <= n_a and as_smaller_b and 100 * n_b >= {PERCENT} * n_a))
+        and {100 + PERCENT} * ({" + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)}) <= {100 - PERCENT} * (n_a + n_b)"""
     meet = minor.join(every, ["v", "block"]).where(possible)
     return meet.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
@@ -254,7 +267,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     left = materialize(nodes.join(_survivors(nodes, K_FIRST).select("node", "n"), ["node", "n"], "left_semi").select("node", "digest"), "survivors")
     again = slim.join(left, slim["__id"] == left["node"], "left_semi").select("__id", _sketch.asNondeterministic()("__text").alias("s"))
     again = again.select(F.col("__id").alias("node"), "s.*").join(left, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
-    sketches = materialize(again.select("node", "n", "sketch"), "sketches")
+    sketches = materialize(again.select("node", "n", "sketch", "parity"), "sketches")
     lists = inverted_lists(sketches)
 
     pivots = lists.groupBy("v").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
@@ -262,7 +275,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     edges = materialize(_verified(materialize(_estimated(stars, sketches), "pairs"), slim), "edges")
     parts = materialize(components(edges), "parts")
 
-    apart = materialize(_estimated(_apart(lists, parts), sketches), "pairs")
+    apart = materialize(_estimated(_apart(lists, parts, sketches), sketches), "pairs")
     edges = edges.union(_verified(apart, slim))
     same_id = full.groupBy("__id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("__id")
     copies = nodes.select("digest", "node")
