@@ -27,7 +27,7 @@ LIST_BLOCK, WORDS_OF_PARITY = 64, 16
 # --- shingle sets ---------------------------------------------------------------------------------
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
-_REMEMBERED = 500_000
+_REMEMBERED = 100_000
 _words: dict[bytes, int] = {}
 
 
@@ -79,7 +79,7 @@ def _sketches(texts: pa.Array, k: int, parity: bool) -> pa.Array:
     rows = []
     for t in texts:
         s = shingle_set(t.as_py())
-        row = {"n": len(s), "digest": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "sketch": s[:k]}
+        row = {"n": len(s), "digest": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "sketch": s[:k].copy()}
         rows.append(row | {"parity": parity_sketch(s)} if parity else row)
     return pa.array(rows, pa.struct(fields))
 
