@@ -14,47 +14,92 @@ from .store import materialize, read_table
 
 #: Queries that are sent to the executors at once, rows whose scores are held at once, and score cells of a step.
 QUERY_BLOCK, ROW_BLOCK, CELLS = 16_384, 8_192, 1 << 20
-#: Quantised components of this size or more would not be safe to sum; such vectors take no part.
-TOO_LARGE = 2.0**28
+#: From this size on every double is whole. A product of lengths under SAFE bounds a score well within a long.
+WHOLE, SAFE = 2.0**53, 2.0**62
 
 
 def quantised(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """Rows (id, array<bigint>) of floor(scale * x); without null keys, null vectors, and those with null, non-finite or huge components."""
-    usable = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("q")
-    )
+    """Rows (id, array<double>) of floor(scale * x), exact at any size; without null keys, null vectors, and those with null or non-finite components."""
     # A null, NaN or infinite component fails the comparison or makes it null.
-    fine = F.coalesce(F.forall("q", lambda x: ~F.isnan(x) & (F.abs(x) < TOO_LARGE)), F.lit(False))
-    return usable.where(fine).select("id", F.col("q").cast("array<bigint>").alias("q"))
+    finite = F.coalesce(F.forall(vector, lambda x: ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
 
+    def floor(y):
+        return F.when(F.abs(y) < WHOLE, F.floor(y).cast("double")).otherwise(y)
 
-def postings(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, row, weight) of all components that aren't zero, by term and row. A term is a dimension."""
-    offsets = lists.offsets.to_numpy()
-    values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
-    sizes = np.diff(offsets)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    terms = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], sizes)
-    keep = np.flatnonzero(values)
-    order = keep[np.lexsort((rows[keep], terms[keep]))]
-    return terms[order], rows[order], values[order]
+    usable = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite)
+    return usable.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: floor(x.cast("double") * scale)).alias("q"))
 
 
-class QueryBlock:
-    """Queries as postings by term."""
+def wrapped(values: np.ndarray) -> np.ndarray:
+    """Whole numbers modulo 2**64, as longs. fmod and the shift by 2**64 are exact."""
+    if values.dtype == np.int64:
+        return values
+    if not np.isfinite(values).all():
+        raise OverflowError("a component times the scale leaves the range of a double")
+    rest = np.fmod(values, 2.0**64)
+    return np.where(rest >= 2.0**63, rest - 2.0**64, np.where(rest < -(2.0**63), rest + 2.0**64, rest)).astype(np.int64)
 
-    def __init__(self, ids: np.ndarray, lists: pa.Array):
-        self.ids = ids
-        self.terms, self.rows, self.weights = postings(lists)
 
+class Vectors:
+    """Vectors with ids, as lists and as postings by term: (term, row, weight modulo 2**64) of all components that aren't zero. A term is a dimension."""
 
-def best_in_block(queries: QueryBlock, ids: np.ndarray, lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self, ids: np.ndarray, lists: pa.Array):
+        offsets = lists.offsets.to_numpy()
+        self.ids = ids
+        self.values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        self.starts, self.sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+        rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        terms = np.arange(len(self.values)) - np.repeat(self.starts, self.sizes)
+        weights = wrapped(self.values)
+        keep = np.flatnonzero(self.values)
+        order = keep[np.lexsort((rows[keep], terms[keep]))]
+        self.terms, self.rows, self.weights = terms[order], rows[order], weights[order]
+        with np.errstate(over="ignore"):
+            self.lengths = np.sqrt(np.bincount(rows, self.values.astype(np.float64) ** 2, len(self.sizes)))
+
+    def dense(self, picked: np.ndarray, width: int) -> np.ndarray:
+        sizes = self.sizes[picked]
+        rows = np.repeat(np.arange(len(picked)), sizes)
+        places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = np.zeros((len(picked), width))
+        out[rows, places] = self.values[np.repeat(self.starts[picked], sizes) + places]
+        return out
+
+    def whole(self, row: int) -> list[int]:
+        return [int(x) for x in self.values[self.starts[row] : self.starts[row] + self.sizes[row]]]
+
+
+def refuse_overflow(queries: Vectors, own: np.ndarray, rows: Vectors, others: np.ndarray) -> None:
+    """Raise if the score of one of the ``own`` queries with one of the ``others`` isn't a long; what rounding leaves in doubt is summed in Python's integers."""
+    width = int(max(queries.sizes[own].max(initial=0), rows.sizes[others].max(initial=0)))
+    step = max(1, min(1024, CELLS // max(1, width)))
+    for i in range(0, len(own), step):
+        mine = own[i : i + step]
+        left = queries.dense(mine, width)
+        for j in range(0, len(others), step):
+            theirs = others[j : j + step]
+            right = rows.dense(theirs, width)
+            with np.errstate(over="ignore", invalid="ignore"):
+                slack = (width + 8) * 2.0**-52 * (np.abs(left) @ np.abs(right).T)
+                sure = np.abs(left @ right.T) + slack < 2.0**63
+            for a, b in np.argwhere(~sure & (queries.ids[mine][:, None] != rows.ids[theirs][None, :])):
+                score = sum(x * y for x, y in zip(queries.whole(mine[a]), rows.whole(theirs[b])))
+                if not -(2**63) <= score < 2**63:
+                    raise OverflowError(f"the score {score} of query {queries.ids[mine[a]]} and row {rows.ids[theirs[b]]} leaves the range of a long")
+
+
+def best_in_block(queries: Vectors, block: Vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, row id, score) of the k best rows of a block for each query, ties to the smaller id, a query's own id left out.
 
     For each term, each query that has it scatters its weight times the
-    postings of the block into its dense array of scores.
+    postings of the block into its dense array of scores. Sums are modulo
+    2**64, so a score that is a long is exact; the others are refused.
     """
-    terms, rows, weights = postings(lists)
+    ids, terms, rows, weights = block.ids, block.terms, block.rows, block.weights
+    with np.errstate(over="ignore", invalid="ignore"):
+        wide_rows = np.flatnonzero(block.lengths * queries.lengths.max(initial=0) >= SAFE)
+        wide_queries = np.flatnonzero(queries.lengths * block.lengths.max(initial=0) >= SAFE)
+    refuse_overflow(queries, wide_queries, block, wide_rows)
     by_id = np.argsort(ids, kind="stable")  # columns in the order of ids: then ties go to the first
     place = np.empty_like(by_id)
     place[by_id] = np.arange(len(ids))
@@ -74,14 +119,14 @@ def best_in_block(queries: QueryBlock, ids: np.ndarray, lists: pa.Array, k: int)
                 into = queries.rows[a:b] - begin
                 added = queries.weights[a:b, None] * weights[None, at:to]
                 scores[into[:, None], columns[None, at:to]] += added
-        scores = np.where(ordered[None, :] == own[:, None], np.iinfo(np.int64).min, scores)
+        other = ordered[None, :] != own[:, None]
+        scores = np.where(other, scores, np.iinfo(np.int64).min)
         n = min(k, len(ids))
         # Partition selection: the k-th best score; above it all, at it the first columns.
         bound = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
         over = scores > bound[:, None]
-        level = scores == bound[:, None]
+        level = (scores == bound[:, None]) & other
         keep = over | (level & (np.cumsum(level, axis=1) <= (n - over.sum(axis=1))[:, None]))
-        keep &= scores > np.iinfo(np.int64).min
         q, c = np.nonzero(keep)
         found.append((own[q], ordered[c], scores[q, c]))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
@@ -89,15 +134,15 @@ def best_in_block(queries: QueryBlock, ids: np.ndarray, lists: pa.Array, k: int)
 
 def _search(queries, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = QueryBlock(*queries.value)
+        block = Vectors(*queries.value)
         best = None
         for batch in batches:
             for begin in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(begin, ROW_BLOCK)
                 lists = pa.concat_arrays([part.column("q")])
-                found = best_in_block(block, part.column("id").to_numpy(zero_copy_only=False), lists, k)
+                found = best_in_block(block, Vectors(part.column("id").to_numpy(zero_copy_only=False), lists), k)
                 q, r, s = found if best is None else (np.concatenate(x) for x in zip(best, found))
-                order = np.lexsort((r, -s, q))
+                order = np.lexsort((r, ~s, q))
                 q, r, s = q[order], r[order], s[order]
                 first = np.searchsorted(q, q)
                 keep = np.arange(len(q)) - first < k
@@ -111,9 +156,10 @@ def _search(queries, k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k best ids by inner product for each query: query_id, rank, vec_id, score.
 
-    Both tables are rows (id long, q array<bigint>), sparse in the sense that
-    only components that aren't zero are used; vectors may differ in length,
-    and the missing components count as zero. Queries are numbered and go
+    Both tables are rows (id long, q array<double> of whole numbers, or
+    array<bigint>), sparse in the sense that only components that aren't zero
+    are used; vectors may differ in length, and the missing components count
+    as zero. Scores are exact, and one that isn't a long raises. Queries are numbered and go
     out in blocks of at most ``query_block`` rows, one pass over all vectors
     for each; only that many rows are ever on the driver or in a task. Each
     task merges its own blocks' best, then the tasks' best are merged.
@@ -135,7 +181,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = QUE
         ids = table.column("id").to_numpy().astype(np.int64)
         lists = table.column("q").combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        sent = spark.sparkContext.broadcast((ids, lists.cast(pa.list_(pa.int64()))))
+        sent = spark.sparkContext.broadcast((ids, lists.cast(pa.list_(lists.type.value_type))))
         passes.append(vectors.mapInArrow(_search(sent, k), "query_id bigint, vec_id bigint, score bigint"))
     found = passes[0]
     for other in passes[1:]:

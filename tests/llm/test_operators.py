@@ -311,6 +311,38 @@ def test_top_k(spark):
     assert topk.top_k(q.limit(0), q, 5).count() == 0 and topk.top_k(q, q.limit(0), 5).count() == 0
 
 
+def test_top_k_keeps_every_finite_vector(spark):
+    rng = random.Random(7)
+    vectors = [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(60)]
+    vectors[3], vectors[40] = [2e6, 0.0, 0.0, 0.0], [0.5, 0.1, 0.0, 0.0]
+    vectors[7], vectors[8] = [-(2.0**23), 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 2.0**24 + 1 / 256]
+    vectors[10] = [2.0**20, 2.0**20, -1.0, 0.0]  # a query whose score with itself is left out
+    vectors[20] = [2.0**26, 0.0, 0.0, 1 / 256]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>").repartition(3)
+    q = topk.quantised(df)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(q, q.where("id % 10 = 0 and id <> 20"), 59).collect()}
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in enumerate(vectors)}
+    want = {}
+    for a in (0, 10, 30, 40, 50):
+        best = sorted((-sum(x * y for x, y in zip(ints[a], ints[b])), b) for b in ints if b != a)
+        want |= {(a, k + 1): (b, -s) for k, (s, b) in enumerate(best)}
+    assert got == want and got[40, 1][0] == 20 and got[40, 2] == (3, 65_536_000_000)
+
+
+def test_top_k_beyond_a_long(spark):
+    def best(rows, k=2):
+        df = topk.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+        return sorted(map(tuple, topk.top_k(df, df.where("id = 0"), k).select("rank", "vec_id", "score").collect()))
+
+    # Components past a long, sums that cancel, the least long, and the query's own score past a long.
+    assert best([(0, [1e30, -1e30, 1.0]), (1, [1e25, 1e25, 0.5]), (2, [0.0, 0.0, 2.0])]) == [(1, 2, 2 * 2**16), (2, 1, 2**15)]
+    assert best([(0, [-(2.0**24), 0.0]), (1, [2.0**23, 0.0]), (2, [0.0, 1.0])]) == [(1, 2, 0), (2, 1, -(2**63))]
+    assert best([(0, [2.0**40]), (0, [2.0**40]), (1, [2.0**-8])], 1) == [(1, 1, 2**48)]
+    for x in (2.0**23, 2.0**60):
+        with pytest.raises(Exception, match="range of a long"):
+            best([(0, [2.0**24, 0.0]), (1, [x, 0.0])])
+
+
 # 9 ------------------------------------------------------------------------------------------------
 
 
