@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seeds", default="42", help="seeds of a matrix, by commas")
     p.add_argument("--show-sources", action="store_true", help="print where each setting came from")
     for f in fields(commands.Settings):
-        kind = {"int": int, "float": float, "float | None": float}.get(str(f.type), str)
+        kind = commands.blocks_of if f.name == "blocks" else {"int": int, "float": float, "float | None": float}.get(str(f.type), str)
         p.add_argument(f"--{f.name.replace('_', '-')}", dest=f.name, type=kind)
     return p
 
@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "evaluate":
         out = spark.createDataFrame([(json.dumps(commands.evaluate(spark, a.model, s)),)], "report string")
     elif a.command == "train":
-        (commands.train_library if a.model == "library" else commands.train_artifact)(spark, s, a.artifact)
+        (commands.train_library if a.model in ("library", "binary") else commands.train_artifact)(spark, s, a.artifact)
         return
     elif a.command == "score":
         out = commands.score_artifact(spark, s, a.artifact, a.model)

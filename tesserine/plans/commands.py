@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
+from ..functions import bits
 from ..operators import anomaly, centroid, images, library, metrics, prep
 from ..operators.interval_model import Correction, IntervalModel, learning_curve
 from ..sources import images as image_sources
 from ..sources import vectors as vector_sources
 from . import matrix
 
-MODELS = ("interval", "library", "centroid")
+MODELS = ("interval", "library", "binary", "centroid")
 SOURCES = ("iris", "synthetic", "image-synthetic", "embedding-csv", "image-folder", "image-manifest")
+#: Names of settings in the results of a search, and what such a result reports besides its recipe.
+ALIASES = {"image_features": "features", "image_resize": "resize", "active_blocks": "blocks", "max_train_patches": "max_patches", "threshold_quantile": "quantile", "patch_score_fraction": "fraction"}
+REPORTED = ("fitness", "best_fitness", "generation", "similarity", "active_block_count", "accuracy", "auroc", "f1", "validation_accuracy", "validation_auroc", "validation_f1", "validation_ms", "eval_accuracy", "memory_bytes")
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,9 @@ class Settings:
     resize: str = "stretch"
     top_k: int = 3
     metric: str = "euclidean"
+    threshold: float = 0.5
+    jaccard_weight: float = 0.0
+    blocks: int = bits.ALL_BLOCKS
     patch_size: int = 96
     patch_stride: int = 48
     max_patches: int = 4096
@@ -48,19 +55,31 @@ class Settings:
     target_mse: float | None = None
 
 
+def blocks_of(value: int | str) -> int:
+    """A mask of feature blocks, as a number or as text such as 0x7e57."""
+    return bits.normal_blocks(int(value, 0) if isinstance(value, str) else value)
+
+
+def recipe(found: dict) -> dict:
+    """The settings in a search's result: its best genome or recipe, or all of it, without what it only reports."""
+    found = found.get("best_genome") or found.get("best_recipe") or found
+    own = {ALIASES.get(k.replace("-", "_"), k.replace("-", "_")): v for k, v in found.items() if k.replace("-", "_") not in REPORTED}
+    if own.pop("variant", 0):
+        raise ConfigError("a search result must name its image settings, not only the number of its variant")
+    return own
+
+
 def layered(call: dict, config: str | None = None, search: str | None = None) -> tuple[Settings, dict[str, str]]:
-    """(settings, where each came from). ``config`` and ``search`` are JSON texts; unknown keys of a config raise; dashes may stand for underscores."""
+    """(settings, where each came from). ``config`` and ``search`` are JSON texts; unknown keys raise, but for what a search reports besides its recipe; dashes may stand for underscores."""
     known, values, origin = {f.name for f in fields(Settings)}, {}, {f.name: "default" for f in fields(Settings)}
-    layers = [("config", json.loads(config) if config else {}), ("search", json.loads(search) if search else {}), ("call", call)]
+    layers = [("config", json.loads(config) if config else {}), ("search", recipe(json.loads(search)) if search else {}), ("call", call)]
     for name, layer in layers:
         for key, value in layer.items():
             key = key.replace("-", "_")
             if key not in known:
-                if name == "search":
-                    continue
                 raise ConfigError(f"unknown setting {key}")
             if value is not None:
-                values[key], origin[key] = value, name
+                values[key], origin[key] = blocks_of(value) if key == "blocks" else value, name
     return Settings(**values), origin
 
 
@@ -108,6 +127,15 @@ def scaled(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return prep.min_max_scale(train, ranges), prep.min_max_scale(test, ranges), ranges
 
 
+def voted(s: Settings, model: str, samples: DataFrame, refs: DataFrame) -> DataFrame:
+    """(query_id, predicted) of samples by a dense or a binary library."""
+    queries, k = samples.select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector")), max(s.top_k, 1)
+    if model == "binary":
+        threshold, weight = (min(max(x, 0.0), 1.0) for x in (s.threshold, s.jaccard_weight))
+        return library.vote(library.top_k_bits(queries, refs, k, threshold, weight, s.blocks), "asc")
+    return library.vote(library.top_k(queries, refs, k, s.metric))
+
+
 def predictions(s: Settings, model: str, train: DataFrame, test: DataFrame, classes: int) -> tuple[DataFrame, int]:
     """((sample_id, expected, predicted) of the test part, bytes of the model)."""
     width = prep.check_rectangular(train)
@@ -117,11 +145,10 @@ def predictions(s: Settings, model: str, train: DataFrame, test: DataFrame, clas
         out, size = fitted.predict(test), fitted.memory_bytes()
     elif model == "centroid":
         out, size = centroid.predict_centroid(test, centroid.fit_centroids(train)), centroid.centroid_memory_bytes(classes, width)
-    elif model == "library":
+    elif model in ("library", "binary"):
         refs = train.select(F.col("sample_id").alias("ref_id"), F.col("features").alias("vector"), "label")
-        queries = test.select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector"))
-        told = library.vote(library.top_k(queries, refs, max(s.top_k, 1), s.metric))
-        out, size = test.join(told, test["sample_id"] == told["query_id"]), library.memory_bytes(refs.count(), width)
+        told = voted(s, model, test, refs)
+        out, size = test.join(told, test["sample_id"] == told["query_id"]), library.memory_bytes(refs.count(), width, model == "binary")
     else:
         raise ConfigError(f"unknown model {model}")
     return out.select("sample_id", F.col("label").alias("expected"), F.col("predicted").cast("long").alias("predicted")), size
@@ -169,7 +196,7 @@ def score_artifact(spark: SparkSession, s: Settings, path: str, kind: str = "int
     if kind == "interval":
         return IntervalModel.load(spark, path).predict(rows)
     refs = spark.read.parquet(f"{path}/references")
-    told = library.vote(library.top_k(rows.select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector")), refs, max(s.top_k, 1), s.metric))
+    told = voted(s, kind, rows, refs)
     return rows.join(told, rows["sample_id"] == told["query_id"]).drop("query_id")
 
 

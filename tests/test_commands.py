@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import json
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tesserine.errors import ConfigError
-from tesserine.plans import commands, matrix
+from tesserine.plans import commands, matrix, search
 from tests.test_rest import png
 
 
@@ -15,6 +18,26 @@ def test_layers():
         commands.layered({}, '{"nothing": 1}')
 
 
+def test_search_result_is_used_whole(spark, tmp_path):
+    found = {"best_genome": {"image_size": 24, "image_features": "hog", "image_resize": "letterbox", "threshold": 0.3, "similarity": "blended", "jaccard_weight": 0.25, "top_k": 5, "active_blocks": "0x7e57", "active_block_count": 11}, "best_fitness": 0.8}
+    s, origin = commands.layered({}, None, json.dumps(found))
+    assert (s.image_size, s.features, s.resize, s.threshold, s.jaccard_weight, s.top_k, s.blocks) == (24, "hog", "letterbox", 0.3, 0.25, 5, 0x7E57) and origin["blocks"] == "search"
+    genome = {"variant": 0, "top_k": 1, "threshold": 0.3, "jaccard_weight": 0.25, "blocks": 0x00FF, "generation": 1, "best_fitness": 0.5}
+    s, _ = commands.layered({}, None, json.dumps(genome))
+    for unknown in ({"tresholt": 0.3}, {"variant": 1}):
+        with pytest.raises(ConfigError):
+            commands.layered({}, None, json.dumps(unknown))
+    s = replace(s, source="image-synthetic", image_size=8)
+    train, test, dim = commands.split(spark, s)
+    train, test, _ = commands.scaled(train, test)
+    told, size = commands.predictions(s, "binary", train, test, dim.count())
+    refs = train.select(F.col("sample_id").alias("ref_id"), F.col("features").alias("vector"), "label")
+    want = search.evaluate_one(genome, test.select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector")), refs)
+    assert {r[0]: r[2] for r in told.collect()} == {r[0]: r[1] for r in want.collect()} and size == 8 * train.count()
+    commands.train_library(spark, s, str(tmp_path / "b"))
+    assert commands.score_artifact(spark, s, str(tmp_path / "b"), "binary").where("predicted = label").count() > 0
+
+
 @pytest.mark.parametrize("model", commands.MODELS)
 def test_evaluate(spark, model):
     out = commands.evaluate(spark, model, commands.Settings(epochs=2))
