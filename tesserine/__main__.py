@@ -11,6 +11,10 @@ from .session import get_session
 from .sources import sinks
 
 
+#: What a matrix varies besides its seeds.
+MATRIX = {"models": str, "features": str, "resize_modes": str, "image_sizes": int, "intervals": int, "correction_modes": str}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tesserine", description=__doc__)
     p.add_argument("command", choices=["evaluate", "train", "score", "curve", "matrix", "scan", "demo"])
@@ -20,7 +24,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--artifact", help="folder of a saved model")
     p.add_argument("--out", help="folder of the report")
     p.add_argument("--form", choices=["json", "csv"], default="json")
-    p.add_argument("--seeds", default="42", help="seeds of a matrix, by commas")
+    listed = lambda kind: lambda text: [kind(x.strip()) for x in text.split(",") if x.strip()]
+    p.add_argument("--seeds", "--matrix-seeds", type=listed(int), help="seeds of a matrix, by commas")
+    for name, kind in MATRIX.items():
+        p.add_argument(f"--matrix-{name.replace('_', '-')}", dest=f"matrix_{name}", type=listed(kind), help=f"{name.replace('_', ' ')} of a matrix, by commas")
+    p.add_argument("--matrix-top", type=int, default=0, help="how many of the best rows of a matrix are reported on their own")
     p.add_argument("--show-sources", action="store_true", help="print where each setting came from")
     for f in fields(commands.Settings):
         kind = commands.blocks_of if f.name == "blocks" else {"int": int, "float": float, "float | None": float}.get(str(f.type), str)
@@ -49,7 +57,16 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "curve":
         out = spark.createDataFrame(commands.curve(spark, s))
     elif a.command == "matrix":
-        out = matrix.summarize(commands.run_matrix(spark, s, list(commands.MODELS), [int(x) for x in a.seeds.split(",")]))
+        rows = commands.run_matrix(
+            spark, s, a.matrix_models or list(commands.MODELS), a.seeds or [s.seed], a.matrix_intervals, a.matrix_features, a.matrix_resize_modes, a.matrix_image_sizes, a.matrix_correction_modes
+        )
+        for part, found in (("rows", rows), ("summaries", matrix.summarize(rows)), ("top_rows", matrix.top_rows(rows, a.matrix_top))):
+            if a.out:
+                sinks.write_report(found, f"{a.out}/{part}", a.form)
+            else:
+                for row in found.toJSON().toLocalIterator():
+                    print(f'{{"{part}":{row}}}')
+        return
     else:
         out = commands.patch_scan(spark, s, s.data)
     if a.out:

@@ -208,23 +208,38 @@ def curve(spark: SparkSession, s: Settings) -> list[dict]:
     return learning_curve(model, train, test, s.epochs, s.target_mse)
 
 
-def run_matrix(spark: SparkSession, s: Settings, models: list[str], seeds: list[int], intervals: list[int] | None = None) -> DataFrame:
-    """Results of every combination. Each data set is read and split once for all models and interval counts."""
+def run_matrix(
+    spark: SparkSession,
+    s: Settings,
+    models: list[str],
+    seeds: list[int],
+    intervals: list[int] | None = None,
+    features: list[str] | None = None,
+    resizes: list[str] | None = None,
+    sizes: list[int] | None = None,
+    corrections: list[str] | None = None,
+) -> DataFrame:
+    """Results of every combination; what isn't listed is as in the settings.
+
+    Each data set (features, resize mode, image size, seed) is read and split
+    once for all models. Interval counts and correction modes vary for the
+    interval model alone; the others have no use for them.
+    """
     rows = []
-    for seed in seeds:
-        own = replace(s, seed=seed)
+    counts, modes = intervals or [s.intervals], corrections or [s.correction]
+    for feature, resize, size, seed in product(features or [s.features], resizes or [s.resize], sizes or [s.image_size], seeds):
+        own = replace(s, features=feature, resize=resize, image_size=size, seed=seed)
         train, test, dim = split(spark, own)
         train, test, _ = scaled(train, test)
         train, test, classes = train.persist(), test.persist(), dim.count()
-        for model, count in product(models, intervals or [s.intervals]):
-            if model != "interval" and count != (intervals or [s.intervals])[0]:
-                continue
-            cell = replace(own, intervals=count)
-            told, _ = predictions(cell, model, train, test, classes)
-            mine, _ = predictions(cell, model, train, train, classes)
-            per = [r.asDict() for r in metrics.per_class_accuracy(told, dim).collect()]
-            right, total = sum(p["correct"] for p in per), sum(p["total"] for p in per)
-            rows.append((model, s.features, s.resize, s.correction, s.image_size, count, seed, metrics.accuracy(mine).first()["accuracy"], right / total if total else 0.0, per))
+        for model in models:
+            for mode, count in product(modes, counts) if model == "interval" else [(s.correction, counts[0])]:
+                cell = replace(own, intervals=count, correction=mode)
+                told, _ = predictions(cell, model, train, test, classes)
+                mine, _ = predictions(cell, model, train, train, classes)
+                per = [r.asDict() for r in metrics.per_class_accuracy(told, dim).collect()]
+                right, total = sum(p["correct"] for p in per), sum(p["total"] for p in per)
+                rows.append((model, feature, resize, mode, size, count, seed, metrics.accuracy(mine).first()["accuracy"], right / total if total else 0.0, per))
         train.unpersist()
         test.unpersist()
     schema = "model string, image_features string, image_resize string, correction_mode string, image_size bigint, interval_count bigint, seed bigint, train_accuracy double, test_accuracy double, per_class array<struct<class_index: bigint, class_name: string, correct: bigint, total: bigint, accuracy: double>>"

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.errors import ConfigError
+from tesserine import __main__ as cli
 from tesserine.plans import commands, matrix, search
 from tests.test_rest import png
 
@@ -56,6 +57,23 @@ def test_artifact_curve_matrix(spark, tmp_path):
     assert commands.demo(spark) == 1
 
 
+def test_matrix_varies_all_settings_and_reports_rows(spark, tmp_path, monkeypatch):
+    for name, first in (("a", 20), ("b", 200)):
+        for i in range(5):
+            png(tmp_path / f"in/{name}/{i}.png", first + i, 8)
+    s = commands.Settings(source="image-folder", data=str(tmp_path / "in"), epochs=1, image_size=4)
+    rows = commands.run_matrix(spark, s, ["centroid"], [1], None, ["pixels", "color"], ["stretch", "center-crop"], [4, 6], ["least-squares", "ratio"])
+    got = [tuple(r) for r in rows.select("image_features", "image_resize", "image_size", "correction_mode").collect()]
+    assert sorted(got) == sorted((f, r, n, "least-squares") for f in ("pixels", "color") for r in ("stretch", "center-crop") for n in (4, 6))
+    call = ["matrix", "--source", "synthetic", "--epochs", "1", "--seed", "7", "--matrix-models", "interval,centroid", "--matrix-intervals", "4,8", "--matrix-correction-modes", "least-squares,ratio"]
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    cli.main([*call, "--matrix-top", "2", "--out", str(tmp_path / "out")])
+    rows, summaries, top = (spark.read.json(str(tmp_path / "out" / part)) for part in ("rows", "summaries", "top_rows"))
+    cells = {(r.model, r.correction_mode, r.interval_count, r.seed) for r in rows.collect()}
+    assert cells == {("interval", m, n, 7) for m in ("least-squares", "ratio") for n in (4, 8)} | {("centroid", "least-squares", 4, 7)}
+    assert rows.count() == summaries.count() == 5 and top.count() == 2
+
+
 def test_patch_scan(spark, tmp_path):
     for i in range(6):
         png(tmp_path / f"train/good/{i}.png", 100 + i, 8)
