@@ -1,6 +1,105 @@
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
+
+import numpy as np
+from test_operators import brute_components, brute_measures, brute_spans
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from tesserine.llm import bpe
+
+
+def brute_quality(docs):
+    """Text rules, then a beta prior by moments for each rule over hosts; a host goes when a shrunk rate is over 0.8."""
+    broken = []
+    for d in docs:
+        words, chars, symbols, dup, repeated = brute_measures(d["text"])
+        full = sum(1 for x in (d["text"] or "").split("\n") if x.strip(" \t\n\x0b\x0c\r"))
+        broken.append((words < 50, 100 * repeated > 50 * words, 10 * symbols > chars, dup > 0 and 2 * dup > full))
+    hosts, worst = defaultdict(list), defaultdict(float)
+    for d, b in zip(docs, broken):
+        if d["source"] is not None:
+            hosts[d["source"]].append(b)
+    total = sum(map(len, hosts.values()))
+    for rule in range(4):
+        failed = {h: sum(b[rule] for b in own) for h, own in hosts.items()}
+        m = sum(failed.values()) / total
+        spread = sum(len(own) * (failed[h] / len(own) - m) ** 2 for h, own in hosts.items())
+        share = total - sum(len(own) ** 2 for own in hosts.values()) / total
+        between = (spread - (len(hosts) - 1) * m * (1 - m)) / share if share > 0 else 0
+        strength = max(1, m * (1 - m) / between - 1) if between > 0 else total
+        for h, own in hosts.items():
+            worst[h] = max(worst[h], (failed[h] + m * strength) / (len(own) + strength))
+    return [d for d, b in zip(docs, broken) if not b[0] and not b[1] and worst[d["source"]] <= 0.8]
+
+
+def brute_line_dedup(docs):
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    where = defaultdict(set)
+    for d in docs:
+        for x in (d["text"] or "").split("\n"):
+            where[key(x)].add(d["doc_id"])
+    stays = lambda d, x: len(key(x)) < 40 or len(where[key(x)]) < 5 or max(where[key(x)]) == d["doc_id"]
+    return [d | {"text": d["text"] and "\n".join(x for x in d["text"].split("\n") if stays(d, x))} for d in docs]
+
+
+def brute_near_dedup(docs):
+    found = brute_components([(d["doc_id"], d["text"]) for d in docs])
+    return [d for d in docs if found[d["doc_id"]][1] == d["doc_id"]]
+
+
+def brute_redact(docs):
+    out = []
+    for d in docs:
+        runs = []
+        for span in filter(None, brute_spans(d["text"]).split(",")):
+            start, end = map(int, span.split(":")[1:])
+            if runs and start < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([start, end])
+        text = d["text"]
+        for start, end in reversed(runs):
+            text = text[:start] + "[secret]" + text[end:]
+        out.append(d | {"text": text})
+    return out
+
+
+def brute_pieces(docs):
+    library, out = Tokenizer.from_file(bpe.default_path()), []
+    for d in docs:
+        ids = np.array([*library.encode(d["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        starts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048)]  # the first piece is the short one
+        for p, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+            out.append((d["doc_id"], p, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    return out
+
+
+def test_every_stage_of_run_against_brute_force(spark, sf_dir, monkeypatch):
+    seen, store = [], corpus_pipeline.materialize
+
+    def kept(df, label):
+        seen.append(store(df, label))
+        return seen[-1]
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", kept)
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    docs = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = lambda docs: sorted((tuple(d.values()) for d in docs), key=repr)
+    assert len(seen) == 5
+    for brute, df in zip((brute_quality, brute_line_dedup, brute_near_dedup, brute_redact), seen):
+        before, docs = docs, brute(docs)
+        assert rows(r.asDict() for r in df.collect()) == rows(docs) != rows(before), brute.__name__
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted(brute_pieces(docs))
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for own in map(sorted, sequences.values()):
+        sizes = [n for _, n in own]
+        assert [o for o, _ in own] == [sum(sizes[:i]) for i in range(len(sizes))] and sum(sizes) <= 2048
+    assert sorted(sequences) == list(range(len(sequences)))
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir):
