@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding as shortest paths of a composed transducer.
 
-The model file gives a normaliser (spaces become a mark, one mark goes in
-front), scored pieces, and bytes for characters without a piece. These are
-compiled into a transducer whose arcs read a piece's characters and write its
-id. For a model of merges (BPE), the sum of scores isn't what the library
+The model file gives a normaliser (rules that rewrite the longest match, spaces
+become a mark, one mark goes in front), scored pieces, and bytes for characters
+without a piece. These are compiled into a transducer whose arcs read a piece's
+characters and write its id. For a unigram model the weight of an arc is its
+piece's score, and the path of the greatest sum over the whole text is the
+library's segmentation. For a model of merges (BPE), the sum of scores isn't what the library
 minimises; but a segmentation is its result exactly if each two neighbours
 are its result for their joined text. So the pieces are composed with an
 acceptor that gives two neighbours weight 0 if that holds and no path
@@ -11,7 +13,7 @@ otherwise, and the tropical shortest path through the composition with an
 input is the library's segmentation. Every prefix of a text has one such
 path, so a state is a position and the piece that leads to it.
 
-No piece has a mark behind another character, so texts are cut before each
+In a model of merges no piece has a mark behind another character, so texts are cut before each
 run of marks, and the path of each distinct part is found once and remembered.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,10 @@ from .store import read_table
 MARK = "▁"
 #: Parts, and pairs of neighbours, that a worker remembers.
 REMEMBERED = 400_000
-NORMAL, USER, BYTE = 1, 4, 6
+NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
+UNIGRAM, MERGES = 1, 2
+#: What a character without a piece costs below the least score.
+PENALTY = 10.0
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -62,6 +68,28 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Rules:
+    """The compiled rules of a normaliser: a double array over UTF-8 bytes, whose values are places of what is written instead."""
+
+    def __init__(self, raw: bytes):
+        size = struct.unpack_from("<I", raw)[0]
+        self.units, self.written = struct.unpack_from(f"<{size // 4}I", raw, 4), raw[4 + size :]
+
+    def longest(self, raw: bytes, at: int) -> tuple[bytes, int] | None:
+        """(what is written, bytes read) of the longest rule that matches at a place."""
+        offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        node, found = offset(self.units[0]), None
+        for i in range(at, len(raw)):
+            node ^= raw[i]
+            unit = self.units[node]
+            if unit & 0x800000FF != raw[i]:
+                break
+            node ^= offset(unit)
+            if unit & 256:
+                found = self.units[node] & 0x7FFFFFFF, i + 1 - at
+        return found and (self.written[found[0] : self.written.index(0, found[0])], found[1])
+
+
 class Transducer:
     """A compiled model."""
 
@@ -74,6 +102,7 @@ class Transducer:
         self.scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.bytes: dict[int, int] = {}  # by id
+        self.unknown, users, kinds = 0, [], set()
         for _, raw in (x for x in fields if x[0] == 1):
             piece = dict(_fields(raw))
             text, kind = piece.get(1, b"").decode(), piece.get(3, NORMAL)
@@ -82,12 +111,30 @@ class Transducer:
             elif kind in (NORMAL, USER):
                 self.ids[text] = len(self.texts)
                 self.scores[text] = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
+                if kind == USER:
+                    users.append(text)
+            elif kind == UNKNOWN:
+                self.unknown = len(self.texts)
+            kinds.add(kind)
             self.texts.append(text)
         self.of_byte = {b: i for i, b in self.bytes.items()}
         trainer, normaliser = (dict(_fields(next(v for n, v in fields if n == k))) for k in (2, 3))
-        if trainer.get(3) != 2 or normaliser.get(2) or normaliser.get(4, 1) or any(MARK in t.lstrip(MARK) for t in self.ids):
-            raise ValueError("only models of merges with the identity normaliser are compiled")
-        self.front = normaliser.get(3, 1)
+        self.unigram = trainer.get(3, UNIGRAM) == UNIGRAM
+        if trainer.get(3, UNIGRAM) not in (UNIGRAM, MERGES) or not normaliser.get(5, 1) or trainer.get(24, 0):
+            raise ValueError("only unigram models and models of merges that write spaces as marks in front are compiled")
+        if not self.unigram and (kinds & {USER, UNUSED} or any(MARK in t.lstrip(MARK) for t in self.ids)):
+            raise ValueError("models of merges with user-defined or unused pieces, or with marks within pieces, aren't compiled")
+        if any(dict(_fields(v)).get(2) for n, v in fields if n == 5):
+            raise ValueError("models that rewrite what they decode aren't compiled")
+        self.front, self.trims = normaliser.get(3, 1), normaliser.get(4, 1)
+        self.rules = Rules(normaliser[2]) if normaliser.get(2) else None
+        self.users = sorted((u.encode() for u in users), key=len, reverse=True)
+        self.surface = trainer.get(44, " ⁇ ".encode()).decode()
+        if self.unigram:
+            normal = [v for t, v in self.scores.items() if t not in {*users}]
+            least, most = min(normal, default=0.0), max(normal, default=0.0)
+            self.lack = struct.unpack("<f", struct.pack("<f", least - PENALTY))[0]
+            self.scores |= {u: len(u.encode()) * most - 0.1 for u in users}
         self.heads = {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
         self.neighbours: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, bytes] = {}
@@ -99,7 +146,29 @@ class Transducer:
             cls._known[path] = cls(path)
         return cls._known[path]
 
+    def _rewritten(self, raw: bytes, at: int) -> tuple[bytes, int]:
+        """(what the text at a place becomes, bytes read): a user-defined piece stays, then the longest rule, else one character."""
+        for user in self.users:
+            if raw.startswith(user, at):
+                return user, len(user)
+        if self.rules and (found := self.rules.longest(raw, at)):
+            return found
+        size = 1 if raw[at] < 0xC0 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+        return raw[at : at + size], size
+
     def normalise(self, text: str) -> str:
+        if self.rules or self.trims or self.users:
+            raw, out, at, space = text.encode("utf-8", "replace"), [], 0, bool(self.trims)
+            while at < len(raw):
+                new, size = self._rewritten(raw, at)
+                at += size
+                if space:
+                    new = new.lstrip(b" ")
+                out.append(new)
+                space = bool(self.trims) and (new.endswith(b" ") if new else space)
+            text = b"".join(out).decode("utf-8", "replace")
+            if self.trims:
+                text = text.replace(" ", MARK).rstrip(MARK)
         text = text.replace(" ", MARK)
         return MARK + text if text and self.front else text
 
@@ -137,15 +206,55 @@ class Transducer:
                     last[j] = piece
             if part[i] not in self.ids:  # written as bytes; nothing merges with it
                 last[i + 1] = part[i]
-        ids, at = [], n
+        found, at = [], n
         while at:
-            piece = last[at]
-            at -= len(piece)
-            ids.append([self.ids[piece]] if piece in self.ids else [self.of_byte[b] for b in piece.encode("utf-8", "replace")])
-        return np.array([i for x in reversed(ids) for i in x], "<u4").tobytes()
+            found.append(last[at])
+            at -= len(last[at])
+        return self._written(reversed(found))
+
+    def _written(self, pieces: Iterator[str]) -> bytes:
+        """The ids of pieces; a character without one is written as bytes, or a run of them as one unknown piece where the model has no bytes."""
+        ids, lacking = [], False
+        for piece in pieces:
+            known = self.ids.get(piece)
+            if known is not None:
+                ids.append(known)
+            elif self.of_byte:
+                ids += [self.of_byte[b] for b in piece.encode("utf-8", "replace")]
+            elif not lacking:
+                ids.append(self.unknown)
+            lacking = known is None
+        return np.array(ids, "<u4").tobytes()
+
+    def _best_path(self, text: str) -> bytes:
+        """The ids on the path of the greatest sum of scores through a normalised text; sums are rounded to 32 bits at each position, as the library's are."""
+        n = len(text)
+        best, last = array("f", [0.0]) * (n + 1), [0] * (n + 1)  # the length of the piece that leads to a position
+        for i in range(n):
+            here, single = best[i], False
+            for j in range(i + 1, n + 1):
+                piece = text[i:j]
+                if piece not in self.heads:
+                    break
+                if piece in self.ids:
+                    total = self.scores[piece] + here
+                    if not last[j] or total > best[j]:
+                        best[j], last[j] = total, j - i
+                    single = single or j == i + 1
+            if not single:
+                total = array("f", [self.lack + here])[0]
+                if not last[i + 1] or total > best[i + 1]:
+                    best[i + 1], last[i + 1] = total, 1
+        found = []
+        while n:
+            found.append(text[n - last[n] : n])
+            n -= last[n]
+        return self._written(reversed(found))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
+        if self.unigram:
+            return self._best_path(self.normalise(text))
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
         if len(self.neighbours) > REMEMBERED:
@@ -156,21 +265,23 @@ class Transducer:
         return b"".join(map(known.__getitem__, parts))
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids: marks become spaces, runs of bytes are read as UTF-8, the mark in front goes."""
-        out, run = [], bytearray()
+        """The text of ids: marks become spaces, runs of bytes are read as UTF-8, a mark in front goes."""
+        out, run, lead = [], bytearray(), self.front or self.trims
         for i in np.frombuffer(ids, "<u4").tolist():
             if i in self.bytes:
                 run.append(self.bytes[i])
+                lead = False
                 continue
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run.clear()
-            out.append(self.texts[i])
+            piece = self.surface if i == self.unknown else self.texts[i]
+            if lead:  # where extra spaces go, each piece in front of the text loses its mark
+                rest = piece.removeprefix(MARK)
+                lead, piece = not rest and (self.trims or rest == piece), rest
+            out.append(piece)
         out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
-        if self.front:
-            text = text.removeprefix(MARK)
-        return text.replace(MARK, " ")
+        return "".join(out).replace(MARK, " ")
 
 
 def encode_texts(text, path: str | None = None):

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import sentencepiece
 
 from tesserine.llm import pieces
@@ -23,6 +24,43 @@ def test_equal_to_the_library():
         assert model.decode(model.encode(t)) == library.decode(ids) == t.replace("▁", " ")
 
 
+SAMPLE = ["the theatre and then", "an unbelievable thing happened in the night", "sing a song of singing things", "Äpfel ﬁnden ½ ＡＢＣ", "日本 語です", "12 and 1,200.5 tables"] * 40
+
+
+@pytest.mark.parametrize(
+    "options",
+    [
+        {"model_type": "unigram"},
+        {"model_type": "unigram", "byte_fallback": True, "normalization_rule_name": "identity", "remove_extra_whitespaces": False},
+        {"model_type": "unigram", "normalization_rule_name": "nmt_nfkc_cf", "add_dummy_prefix": False, "user_defined_symbols": ["<sep>", "the"]},
+        {"model_type": "unigram", "split_by_whitespace": False, "byte_fallback": True},
+        {"model_type": "bpe"},
+        {"model_type": "bpe", "byte_fallback": True, "normalization_rule_name": "nfkc_cf"},
+    ],
+)
+def test_other_models_equal_the_library(tmp_path, options):
+    path = str(tmp_path / "m.model")
+    with open(path, "wb") as f:
+        size = 400 if options.get("byte_fallback") else 120
+        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(SAMPLE), model_writer=f, vocab_size=size, hard_vocab_limit=False, minloglevel=2, **options)
+    library, model, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(path), random.Random(8)
+    atoms = [" ", "  ", "\t", "\n", "the", "ing", "é", "e\u0301", "日", "本 語", "\U0001f600\U0001f601", "ﬁ", "½", "Ａ", "ＡＢ", "Ä", "S", "<sep>", "12", "\u00a0", "\u200b", "\u3000", "un", "thing", "sing", ".", "▁", "가", "ｶﾞ"]
+    texts = ["", " ", "   ", " a  b ", "ﬁ ½ Ａ", "x" * 300] + SAMPLE[:6] + ["".join(rng.choice(atoms) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    for t in texts:
+        ids = np.frombuffer(model.encode(t), "<u4").tolist()
+        assert ids == library.encode(t), t
+        assert model.decode(model.encode(t)) == library.decode(ids), t
+
+
+def test_models_that_would_come_out_wrong_are_refused(tmp_path):
+    for options in ({"model_type": "bpe", "user_defined_symbols": ["the"]}, {"model_type": "unigram", "treat_whitespace_as_suffix": True}, {"model_type": "char"}):
+        path = str(tmp_path / "m.model")
+        with open(path, "wb") as f:
+            sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(SAMPLE), model_writer=f, vocab_size=120, hard_vocab_limit=False, minloglevel=2, **options)
+        with pytest.raises(ValueError):
+            pieces.Transducer(path)
+
+
 def test_query(spark, sf_dir):
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
