@@ -225,7 +225,7 @@ def token_count(text, path: str | None = None):
         encoder = Encoder.at(path or default_path())
         return pa.array([len(x) // 4 for x in encoder.ids(t.as_py() for t in texts)], pa.int64())
 
-    return count(text)
+    return count.asNondeterministic()(text)
 
 
 PIECES = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
@@ -251,7 +251,7 @@ def token_pieces(text, most: int, end_id: int, path: str | None = None):
             ])
         return pa.array(rows, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))
 
-    return pieces(text)
+    return pieces.asNondeterministic()(text)  # so that it is run once, where it stands
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialize, read_table
+from .store import materialize, plain_names, read_table, true_names
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -46,33 +46,39 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id:
     Lines are compared with ASCII white space stripped and A-Z lower-cased;
     only those of ``min_chars`` code points or more count. The largest id
     keeps them, as often as it has them. Adds ``__n_lines``, ``__n_dropped``
-    and ``__kept_text``; all columns stay.
+    and ``__kept_text``; all other columns stay, whatever their names.
 
     A null or empty text is one empty line. Rows that share an id are one
     document in the count; rows with a null id count for none and lose
-    their frequent lines. A frequent line's rows are counted before the
-    shuffle, and the join on its hash can be split, so no line is too common.
+    their frequent lines. An empty table stays empty. Texts of any length are
+    split whole. A frequent line's rows are counted before the shuffle, and
+    the join on its hash can be split, so no line is too common. Each text is
+    moved once, to its lost positions, by the same join at every size.
     """
-    lost = materialize(dropped_positions(docs, min_chars, min_docs, doc_id, text), "lost")
+    docs, names = plain_names(docs)
+    doc_id, text = names[doc_id], names[text]
+    lost = materialize(dropped_positions(docs, min_chars, min_docs, doc_id, text), "lost").hint("merge")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("__lines", F.split(body, "\n", -1))
     keys = docs[doc_id].eqNullSafe(lost["__id"]) & (F.xxhash64(body) == lost["__hash"])
     rows = rows.join(lost, keys, "left")
     stays = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
     kept = F.array_join(F.transform(stays, lambda i: F.get(F.col("__lines"), i)), "\n")
-    return rows.withColumns(
-        {
-            "__n_lines": F.size("__lines").cast("long"),
-            "__n_dropped": F.coalesce(F.size("__lost"), F.lit(0)).cast("long"),
-            "__kept_text": F.when(F.col("__lost").isNull(), body).otherwise(kept),
-        }
-    ).drop("__lines", "__lost", "__id", "__hash")
+    added = {
+        "__n_lines": F.size("__lines").cast("long"),
+        "__n_dropped": F.coalesce(F.size("__lost"), F.lit(0)).cast("long"),
+        "__kept_text": F.when(F.col("__lost").isNull(), body).otherwise(kept),
+    }
+    return rows.select(*true_names(names, added), *(v.alias(k) for k, v in added.items()))
 
 
 def drop_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with their frequent lines gone, and the columns they came with; a null text stays null."""
-    own = [F.when(F.col(text).isNotNull(), F.col("__kept_text")).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return dedup_lines(docs, text=text, **options).select(*own)
+    plain, names = plain_names(docs)
+    options = {k: names[v] if k == "doc_id" else v for k, v in ({"doc_id": "doc_id"} | options).items()}
+    rows = dedup_lines(plain, text=names[text], **options)
+    kept = F.when(F.col(names[text]).isNotNull(), F.col("__kept_text")).alias(names[text])
+    return rows.select(*(kept if c == names[text] else F.col(c) for c in plain.columns)).toDF(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

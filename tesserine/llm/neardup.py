@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .store import materialize, read_table
+from .store import materialize, plain_names, read_table, scratch
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -256,42 +256,51 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     A linked pair is missed with a chance of a few MISS at most; links
     themselves are confirmed on full sets. Null and empty texts have no
     shingles and are alone. Rows that share an id count as one document; a
-    row with a null id is alone, with a null component.
+    row with a null id is alone, with a null component. An empty table stays
+    empty; texts of any length count whole. What is stored on the way goes at the end.
     """
-    slim = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    seen = slim.select("__id", _first_sketch.asNondeterministic()("__text").alias("s")).select("__id", "s.*")
-    seen = materialize(seen, "sketches")
-    full = seen.where("__id is not null and n > 0")
-    nodes = full.groupBy("digest").agg(F.min(F.struct("__id", "n", "sketch")).alias("x"))
-    nodes = materialize(nodes.select(F.col("x.__id").alias("node"), "x.n", "x.sketch", "digest"), "nodes")
-    left = materialize(nodes.join(_survivors(nodes, K_FIRST).select("node", "n"), ["node", "n"], "left_semi").select("node", "digest"), "survivors")
-    again = slim.join(left, slim["__id"] == left["node"], "left_semi").select("__id", _sketch.asNondeterministic()("__text").alias("s"))
-    again = again.select(F.col("__id").alias("node"), "s.*").join(left, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
-    sketches = materialize(again.select("node", "n", "sketch", "parity"), "sketches")
-    lists = inverted_lists(sketches)
-
-    pivots = lists.groupBy("v").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    stars = lists.join(pivots, "v").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    edges = materialize(_verified(materialize(_estimated(stars, sketches), "pairs"), slim), "edges")
-    parts = materialize(components(edges), "parts")
-
-    apart = materialize(_estimated(_apart(lists, parts, sketches), sketches), "pairs")
-    edges = edges.union(_verified(apart, slim))
-    same_id = full.groupBy("__id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("__id")
-    copies = nodes.select("digest", "node")
-    versions = full.join(same_id, "__id", "left_semi").join(copies, "digest").select(F.col("__id").alias("a"), F.col("node").alias("b"))
-    parts = materialize(components(edges.union(versions)), "parts")
-
-    of = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
-    rows = seen.select("__id", "n", "digest").join(of, "digest", "left")
-    part = F.when(F.col("__id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("c")).otherwise(F.col("__id"))
-    return rows.select("__id", F.col("n").alias("__n_shingles"), part.alias("__component"))
+    with scratch(docs.sparkSession):
+        slim = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+        seen = slim.select("__id", _first_sketch.asNondeterministic()("__text").alias("s")).select("__id", "s.*")
+        seen = materialize(seen, "sketches")
+        full = seen.where("__id is not null and n > 0")
+        nodes = full.groupBy("digest").agg(F.min(F.struct("__id", "n", "sketch")).alias("x"))
+        nodes = materialize(nodes.select(F.col("x.__id").alias("node"), "x.n", "x.sketch", "digest"), "nodes")
+        left = materialize(nodes.join(_survivors(nodes, K_FIRST).select("node", "n"), ["node", "n"], "left_semi").select("node", "digest"), "survivors")
+        again = slim.join(left, slim["__id"] == left["node"], "left_semi").select("__id", _sketch.asNondeterministic()("__text").alias("s"))
+        again = again.select(F.col("__id").alias("node"), "s.*").join(left, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
+        sketches = materialize(again.select("node", "n", "sketch", "parity"), "sketches")
+        lists = inverted_lists(sketches)
+
+        pivots = lists.groupBy("v").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+        stars = lists.join(pivots, "v").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        edges = materialize(_verified(materialize(_estimated(stars, sketches), "pairs"), slim), "edges")
+        parts = materialize(components(edges), "parts")
+
+        apart = materialize(_estimated(_apart(lists, parts, sketches), sketches), "pairs")
+        edges = edges.union(_verified(apart, slim))
+        same_id = full.groupBy("__id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("__id")
+        copies = nodes.select("digest", "node")
+        versions = full.join(same_id, "__id", "left_semi").join(copies, "digest").select(F.col("__id").alias("a"), F.col("node").alias("b"))
+        parts = materialize(components(edges.union(versions)), "parts")
+
+        of = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
+        rows = seen.select("__id", "n", "digest").join(of, "digest", "left")
+        part = F.when(F.col("__id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("c")).otherwise(F.col("__id"))
+        return materialize(rows.select("__id", F.col("n").alias("__n_shingles"), part.alias("__component")), "components", outlive=True)
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, that with the least id, with the columns they came with; rows with a null id stay."""
-    gone = near_duplicates(docs, doc_id, text).where("__component <> __id").select("__id").distinct()
-    return docs.join(materialize(gone, "gone"), F.col(doc_id) == F.col("__id"), "left_anti")
+    """One document of each group, that with the least id, with the columns they came with, of any names.
+
+    Rows that share that id all stay, as do rows with a null id, and null and
+    empty texts, which are in no group. An empty table stays empty.
+    """
+    plain, names = plain_names(docs)
+    with scratch(docs.sparkSession):
+        gone = near_duplicates(docs, doc_id, text).where("__component <> __id").select("__id").distinct()
+        gone = materialize(gone, "gone", outlive=True)
+    return plain.join(gone, F.col(names[doc_id]) == F.col("__id"), "left_anti").toDF(*docs.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
