@@ -1,17 +1,18 @@
 """Token ids of whole texts in Arrow functions, through a memory of the pieces between safe cuts.
 
-The pre-tokenizer never joins a non-space character with a space that
-follows it, and looks ahead only past white space. So between a character
-that is not white space and a single space before another such character,
-the ids of a text are those of its two halves. Texts are cut at all such
-places; each distinct piece is encoded once by the library, in batches of
-bounded bytes, and remembered.
-
-Where ids are wanted and not only their number, texts of Latin-1 characters
-can go through an encoder that works by ranks, made from the same file: it
-takes a third of the time. It is used only if the file's merges make up its
-ids in order, so that a token's id is its rank; other texts, and those with
-the string of a special token, go through the library.
+The pre-tokenizer never joins a non-space character with white space that
+follows it, and looks ahead only past white space. So where a single space
+or line feed stands between characters that aren't white space, the ids of
+a text are those of what is before it and of the rest. Texts are cut at all
+such places; each distinct piece is encoded once and remembered. Batches
+are of so many bytes; cutting, finding pieces and putting ids together are
+done for a whole batch at once (``words``).
+
+New pieces go to the library, many in one string. Those of Latin-1
+characters go through an encoder that works by ranks, made from the same
+file, which takes a third of the time. It is used only if the file's merges
+make up its ids in order, so that a token's id is its rank, and not for
+strings of special tokens.
 """
 
 from __future__ import annotations
@@ -30,35 +31,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .store import read_table
+from .words import Words, last_bytes, ragged, text_bytes, white_space
 
-#: Pieces that a worker remembers, twice: the latest, and those before; characters of the texts in a batch, and of the new pieces in a string for the library.
-REMEMBERED, BATCH_CHARS, STRING_CHARS = 500_000, 1 << 20, 4096
-#: Ends of pieces that the pre-tokenizer parts from letters before them, and the first code point beyond the letters that are looked at.
-ENDS, BEYOND = ".,;:!?", "\u0250"
-
-
+#: Pieces, and bytes of the longer ones, that a worker remembers; bytes of the texts in a batch, and of the new pieces in a string for the library.
+REMEMBERED, REMEMBERED_BYTES, BATCH_BYTES, STRING_BYTES = 1_000_000, 1 << 26, 1 << 22, 1 << 14
 #: Fixed value: the pattern of the pre-tokenizer, byte-level without an added space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space that is too long for the other encoder.
+#: White space that is too long for the encoder by ranks.
 LONG_SPACE = re.compile(r"\s{1000}")
-
-
-def cut(text: str) -> list[str]:
-    """The text in pieces whose ids are those of the whole; all but the first begin with a space."""
-    pieces, run = [], ""
-    parts = text.split(" ")
-    for i, part in enumerate(parts):
-        if i and part and run and not part[0].isspace() and not run[-1].isspace():
-            pieces.append(run)
-            run = f" {part}"
-        else:
-            run += f" {part}" if i else part
-    pieces.append(run)
-    return pieces
+SPACE, LINE_FEED, BEYOND_LATIN = 32, 10, 0xC4
 
 
 def rank_encoder(path: str):
-    """(encoder of ordinary text by the ranks of the file's vocabulary, strings of special tokens); None for the encoder if ids aren't the order of the merges."""
+    """(encoder of ordinary text by the ranks of the file's vocabulary, strings of special tokens, vocabulary); None for the encoder if ids aren't the order of the merges."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -67,147 +52,199 @@ def rank_encoder(path: str):
     vocabulary = model["vocab"]
     merges = (m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ()))
     if any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
-        return None, special
+        return None, special, vocabulary
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(model["merges"])}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special, vocabulary
+
+
+def safe_cuts(raw: np.ndarray, white: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of pieces by text, starts, lengths): all texts cut before each single space or line feed between characters that aren't white space."""
+    total = int(ends[-1])
+    last, edge = last_bytes(white, raw), np.zeros(total + 1, bool)
+    edge[ends] = True
+    at = np.flatnonzero((raw[:total] == SPACE) | (raw[:total] == LINE_FEED))
+    at = at[~edge[at] & ~edge[at + 1]]
+    at = at[~last[at - 1] & ~white[at + 1]]
+    places = np.searchsorted(at, ends)
+    counts = np.diff(places) + 1
+    heads = np.cumsum(counts) - counts
+    starts, stops = np.empty(counts.sum(), np.int64), np.empty(counts.sum(), np.int64)
+    head, tail = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    head[heads], tail[heads + counts - 1] = True, True
+    starts[head], starts[~head] = ends[:-1], at
+    stops[tail], stops[~tail] = ends[1:], at
+    return counts, starts, stops - starts
+
+
+class Pool:
+    """Runs of ids, each with a number, one after the other in one array; or only their lengths."""
+
+    def __init__(self, lengths_only: bool = False):
+        self.lengths_only = lengths_only
+        self.ids, self.starts, self.lengths, self.uses = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.n = self.used = 0
+
+    def _room(self, name: str, most: int) -> None:
+        old = getattr(self, name)
+        if most > len(old):
+            new = np.zeros(max(most, 2 * len(old), 1 << 12), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New runs, given one after the other; their numbers come next."""
+        first, n = self.n, self.n + len(lengths)
+        for name in ("starts", "lengths", "uses"):
+            self._room(name, n)
+        self.lengths[first:n], self.uses[first:n] = lengths, 0
+        if not self.lengths_only:
+            self._room("ids", self.used + len(ids))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.starts[first:n] = self.used + np.cumsum(lengths) - lengths
+        self.n, self.used = n, self.used + len(ids)
+
+    def at(self, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The ids of runs, one run after the other."""
+        return self.ids[ragged(self.starts[numbers], lengths)]
+
+    def keep(self, picked: np.ndarray) -> None:
+        """Only the picked runs stay, with new numbers in their order."""
+        lengths = self.lengths[picked]
+        ids = np.empty(0, "<u4") if self.lengths_only else self.at(picked, lengths)
+        self.n = self.used = 0
+        self.add(ids, lengths)
 
 
 class Encoder:
     """Encodes texts with a tokenizer file whose pre-tokenizer keeps the rule above (byte-level BPE)."""
 
-    _known: dict[str, Encoder] = {}
+    _known: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # stands for a space
-        if resize := getattr(self.tokenizer.model, "_resize_cache", None):
-            resize(0)  # what recurs is remembered here
-        self.inner: dict[str, bytes] = {}  # by a piece without its leading space
-        self.older: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}  # by a whole piece
+    def __init__(self, path: str, lengths_only: bool = False):
+        self.path, self.library = path, None
+        self.ranked, self.special, vocabulary = rank_encoder(path)
+        self.opens = np.zeros(max([*vocabulary.values(), 0]) + 1 + len(self.special), bool)
+        self.opens[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True  # these stand for a space and a line feed
+        self.words, self.pool = Words(), Pool(lengths_only)
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
+    def at(cls, path: str, lengths_only: bool = False) -> Encoder:
         """One for each worker and file."""
-        if path not in cls._known:
-            cls._known[path] = cls(path)
-        return cls._known[path]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces that follow a space: from the older ones, or from a word and its punctuation, or from the library."""
-        older, inner, ends, new = self.older, self.inner, {}, []
-        for piece in pieces:
-            if piece in older:
-                inner[piece] = older[piece]
-            elif piece[-1] in ENDS and (word := piece.rstrip(ENDS)).isalpha() and max(word) < BEYOND:
-                ends[piece] = word
-                if word not in inner:
-                    new.append(word)
-            else:
-                new.append(piece)
-        self._encode_inner(new)
-        self._learn_first({p[len(w) :] for p, w in ends.items()}.difference(self.first))
-        self.inner.update((p, self.inner[w] + self.first[p[len(w) :]]) for p, w in ends.items())
-
-    def _encode_inner(self, pieces: list[str]) -> None:
-        """Encode many pieces in one string: only a piece's first id has the space, and so shows where it begins."""
-        strings, lengths = [], []
-        run, chars = [], 0
-        for piece in (ordered := [*dict.fromkeys(pieces)]):
-            run.append(piece)
-            chars += len(piece)
-            if chars >= STRING_CHARS:
-                strings.append(f" {' '.join(run)}")
-                lengths.append(len(run))
-                run, chars = [], 0
-        if run:
-            strings.append(f" {' '.join(run)}")
-            lengths.append(len(run))
-        at = 0
-        for found, n in zip(self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), lengths):
-            ids = np.array(found.ids, dtype="<u4")
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != n:
-                raise ValueError("this tokenizer doesn't keep pieces apart at spaces")
-            raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            self.inner.update(zip(ordered[at : at + n], map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
-            at += n
-
-    def _learn_first(self, pieces: set[str]) -> None:
-        found = self.tokenizer.encode_batch_fast([*pieces], add_special_tokens=False)
-        self.first.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(pieces, found))
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) > REMEMBERED:
-            self.older, self.inner = self.inner, {}
-        if len(self.first) > REMEMBERED:
-            self.first.clear()
-        heads, tails = [], []
-        for t in texts:
-            head, space, tail = t.partition(" ")
-            heads.append(head)
-            tails.append(tail.split(" ") if space else [])
-        new = set().union(*tails).difference(self.inner)
-        broken = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}  # other white space next to a space
-        odd = {i for i, (h, t) in enumerate(zip(heads, tails)) if t and (not h or h[-1].isspace() or not broken.isdisjoint(t))}
-        self._learn(new - broken)
-        cuts = {i: cut(texts[i]) for i in odd}
-        self._learn_first({h for i, h in enumerate(heads) if i not in odd}.union(*cuts.values()).difference(self.first))
-        inner, first = self.inner.__getitem__, self.first.__getitem__
-        return [b"".join(map(first, cuts[i])) if i in odd else first(h) + b"".join(map(inner, t)) for i, (h, t) in enumerate(zip(heads, tails))]
+        if (path, lengths_only) not in cls._known:
+            cls._known[path, lengths_only] = cls(path, lengths_only)
+        return cls._known[path, lengths_only]
+
+    @property
+    def tokenizer(self):
+        """The library's, loaded when it is first needed."""
+        if self.library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+            if resize := getattr(self.library.model, "_resize_cache", None):
+                resize(0)  # what recurs is remembered here
+        return self.library
+
+    def _shrink(self) -> None:
+        """Of too many pieces only those stay that were used again, or none if these are too many too."""
+        if self.words.n <= REMEMBERED and self.words.long_bytes <= REMEMBERED_BYTES:
+            return
+        picked = np.flatnonzero(self.pool.uses[: self.pool.n] > 1)
+        if 2 * len(picked) > REMEMBERED:
+            picked = picked[:0]
+        self.words.keep(picked)
+        self.pool.keep(picked)
+        if 2 * self.words.long_bytes > REMEMBERED_BYTES:
+            self.words.keep(picked[:0])
+            self.pool.keep(picked[:0])
+
+    def _strings(self, strings: list[str], latin: bool) -> list[np.ndarray]:
+        """The ids of strings."""
+        by_rank = [latin and self.ranked is not None and not LONG_SPACE.search(s) and not any(x in s for x in self.special) for s in strings]
+        others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if (rest := [s for s, r in zip(strings, by_rank) if not r]) else ())
+        return [self.ranked.encode_to_numpy(s, disallowed_special=()) if r else np.array(next(others).ids, "<u4") for s, r in zip(strings, by_rank)]
+
+    def _joined(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, latin: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by piece) of pieces with white space at their start and nowhere else: many make one string, in which it shows where each begins."""
+        data, ends = raw[ragged(starts, lengths)].tobytes(), np.cumsum(lengths)
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(STRING_BYTES, ends[-1], STRING_BYTES)), len(ends)])
+        at = np.concatenate([[0], ends])[cuts]
+        found = self._strings([data[a:b].decode() for a, b in zip(at, at[1:])], latin)
+        sizes = []
+        for ids, n in zip(found, np.diff(cuts)):
+            opens = np.flatnonzero(self.opens[ids])
+            if len(opens) != n or opens[0]:
+                raise ValueError("this tokenizer doesn't keep pieces apart at white space")
+            sizes.append(np.diff(opens, append=len(ids)))
+        return np.concatenate(found).astype("<u4", copy=False), np.concatenate(sizes)
+
+    def _learner(self, raw: np.ndarray, white_start: np.ndarray):
+        """What ``Words.numbers`` calls with the new pieces."""
+        sums: list[np.ndarray] = []
+
+        def learn(starts: np.ndarray, lengths: np.ndarray) -> None:
+            if not sums:
+                for x in (white_start, raw >= BEYOND_LATIN):
+                    sums.append(np.zeros(len(raw) + 1, np.int32))
+                    np.cumsum(x, out=sums[-1][1 : len(x) + 1])
+            white, beyond = (x[starts + lengths] - x[starts] for x in sums)
+            joins = (white == 1) & ((raw[starts] == SPACE) | (raw[starts] == LINE_FEED)) & (lengths > 1)
+            found, sizes = [], np.zeros(len(starts), np.int64)
+            order = []
+            for latin in (True, False):
+                same = (beyond == 0) == latin
+                own = np.flatnonzero(joins & same)
+                if len(own):
+                    ids, n = self._joined(raw, starts[own], lengths[own], latin)
+                    found.append(ids)
+                    sizes[own] = n
+                    order.append(own)
+                own = np.flatnonzero(~joins & same)
+                if len(own):
+                    ids = self._strings([bytes(raw[a : a + n]).decode() for a, n in zip(starts[own], lengths[own])], latin)
+                    found.extend(ids)
+                    sizes[own] = [len(x) for x in ids]
+                    order.append(own)
+            order = np.concatenate(order)
+            by_group = sizes[order]
+            at = np.empty(len(starts), np.int64)
+            at[order] = np.cumsum(by_group) - by_group
+            self.pool.add(np.concatenate(found)[ragged(at, sizes)], sizes)
+
+        return learn
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each batch of texts in their order: (number of ids by text, numbers of runs, their lengths). A null text is empty; ``pool.at`` gives the ids."""
+        raw, ends = text_bytes(texts)
+        begin = 0
+        while begin < len(ends) - 1:
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + BATCH_BYTES, side="right")) - 1)
+            self._shrink()
+            own = np.zeros(ends[end] - ends[begin] + 32, np.uint8)
+            own[:-32] = raw[ends[begin] : ends[end]]
+            white = white_space(own[:-32])
+            counts, starts, lengths = safe_cuts(own, white, ends[begin : end + 1] - ends[begin])
+            numbers = self.words.numbers(own, starts, lengths, self._learner(own, white))
+            self.pool.uses[: self.pool.n] += np.bincount(numbers, minlength=self.pool.n)
+            sizes = self.pool.lengths[numbers]
+            yield np.add.reduceat(sizes, np.cumsum(counts) - counts), numbers, sizes
+            begin = end
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        found = [n for n, _, _ in self.encode(texts)]
+        return np.concatenate(found) if found else np.empty(0, np.int64)
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers; a null text is empty."""
-        batch, chars = [], 0
-        for text in texts:
-            batch.append(text or "")
-            chars += len(batch[-1])
-            if chars >= BATCH_CHARS:
-                yield from self._batch(batch)
-                batch, chars = [], 0
-        yield from self._batch(batch) if batch else ()
-
-
-class RankedEncoder:
-    """Ids by ranks where that is safe; other texts go to an ``Encoder``, which is only loaded for them."""
-
-    _known: dict[str, RankedEncoder] = {}
-
-    def __init__(self, path: str):
-        self.path = path
-        self.ranked, self.special = rank_encoder(path)
-
-    @classmethod
-    def at(cls, path: str) -> RankedEncoder:
-        """One for each worker and file."""
-        if path not in cls._known:
-            cls._known[path] = cls(path)
-        return cls._known[path]
-
-    def _safe(self, text: str) -> bool:
-        if self.ranked is None or any(x in text for x in self.special) or LONG_SPACE.search(text):
-            return False
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return True
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit numbers; a null text is empty."""
-        text = text or ""
-        if self._safe(text):
-            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-        return next(Encoder.at(self.path).ids([text]))
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        for counts, numbers, sizes in self.encode(pa.array([*texts], pa.string())):
+            raw, ends = self.pool.at(numbers, sizes).tobytes(), 4 * np.cumsum(counts)
+            yield from (raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -218,44 +255,57 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def token_count(text, path: str | None = None):
-    """A column with the number of tokens of a text column. ``path``: of a file that every worker has; unset: the default's there."""
+    """A column with the number of tokens of a text column; only lengths leave Python.
+
+    Null and empty texts have none. Texts of any length are encoded whole, cut
+    at safe places; a text without such a place is one piece. Rows that
+    repeat are counted alike, and an empty table stays empty. ``path``: of a
+    file that every worker has; unset: the default's there.
+    """
 
     @arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        encoder = Encoder.at(path or default_path())
-        return pa.array([len(x) // 4 for x in encoder.ids(t.as_py() for t in texts)], pa.int64())
+        return pa.array(Encoder.at(path or default_path(), lengths_only=True).counts(texts), pa.int64())
 
     return count.asNondeterministic()(text)
 
 
-PIECES = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
+PIECES = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def token_pieces(text, most: int, end_id: int, path: str | None = None):
     """A column with the pieces of at most ``most`` ids of each text, ``end_id`` put after its ids.
 
     A longer document has only full pieces but for the first. Of the ids
-    themselves only a checksum leaves Python.
+    themselves only a checksum leaves Python. Null and empty texts have one
+    piece with the end alone; texts of any length are encoded whole.
     """
 
-    @arrow_udf(PIECES)
+    @arrow_udf("array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>")
     def pieces(texts: pa.Array) -> pa.Array:
-        encoder, last, rows = RankedEncoder.at(path or default_path()), array("I", [end_id]).tobytes(), []
-        for t in texts:
-            ids = encoder.ids(t.as_py()) + last
-            n = len(ids) // 4
-            starts = [0, *range(n - (n - 1) // most * most, n, most)]
-            rows.append([
-                {"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])}
-                for i, (a, b) in enumerate(zip(starts, [*starts[1:], n]))
-            ])
-        return pa.array(rows, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))
+        encoder, last = Encoder.at(path or default_path()), array("I", [end_id]).tobytes()
+        per_text, columns = [np.empty(0, np.int64)], [(np.empty(0, np.int64),) * 4]
+        for counts, numbers, lengths in encoder.encode(texts):
+            raw = memoryview(encoder.pool.at(numbers, lengths)).cast("B")
+            n = (counts // most) + 1
+            piece = ragged(np.zeros(len(n), np.int64), n)
+            size, short = np.repeat(counts + 1, n), np.repeat(counts + 1 - (n - 1) * most, n)
+            start = np.where(piece > 0, short + (piece - 1) * most, 0)
+            length = np.where(piece > 0, most, short)
+            at = np.repeat(np.cumsum(counts) - counts, n) + start
+            ends = start + length == size
+            sums = [zlib.crc32(last, zlib.crc32(raw[4 * a : 4 * (a + k - 1)])) if e else zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k, e in zip(at.tolist(), length.tolist(), ends.tolist())]
+            per_text.append(n)
+            columns.append((piece, start, length, np.array(sums, np.int64)))
+        arrays = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*columns), PIECES)]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(per_text))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, fields=[*PIECES]))
 
     return pieces.asNondeterministic()(text)  # so that it is run once, where it stands
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes and tokens of every document's whole text; a null text has none."""
+    """Bytes and tokens of every document's whole text; a null or empty text has none. Rows that repeat are counted one by one."""
     docs = read_table(spark, sf_dir, "documents")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     counted = docs.select("doc_id", size.alias("n_bytes"), token_count(F.col("text")).alias("n_tokens"))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,17 +104,32 @@ def test_quality_odd(spark, odd_docs):
 ODD_TEXTS = ["", " ", "  a  b \n c", "\n x\ty <|endoftext|> 's it's", "é x  y z ", "\x1c b\x1f c", "<|endoftext|><|endoftext|> z  ", "a \u0085 b", "日本 語です", "x" * 5000, "a\n b", "  q"]
 
 
-def test_ids_equal_the_library(spark):
+def test_ids_equal_the_library():
     rng = random.Random(5)
-    alphabet = [" ", "  ", "\n", "\t", "a", "Word", "'s", "12", "é", "!", "<|endoftext|>", " ", "日"]
-    texts = ODD_TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(500)]
-    texts += ["a\u0085b \xa0c", "²³ ½ ª º", "I'LL don't", " " * 3000, "word " * 500 + ". , x." * 20]
-    encoder, ranked = bpe.Encoder(bpe.default_path()), bpe.RankedEncoder(bpe.default_path())
+    alphabet = [" ", "  ", "\n", "\t", "a", "Word", "'s", "12", "é", "!", "<|endoftext|>", " ", "日", "\x85", "\xa0", "\u2003", "\u3000", "\x1c", "\0", "$$$", "ª", "½", "x\ny", "\u0301", "\U0001f600"]
+    texts = ODD_TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(20_000)]
+    texts += ["a\u0085b \xa0c", "²³ ½ ª º", "I'LL don't", " " * 3000, "word " * 500 + ". , x." * 20, "a\0", "a", " a\0", " a", "日" * 3000 + " x\ny"]
+    latin = [chr(c) for c in range(256)] + ["the", "ing", " ", " ", "\n"]
+    texts += ["".join(rng.choice(latin) for _ in range(rng.randint(1, 300))) for _ in range(2_000)]
+    encoder, lengths = bpe.Encoder(bpe.default_path()), bpe.Encoder(bpe.default_path(), lengths_only=True)
     told = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.ranked is not None
     for _ in range(2):
         assert [list(memoryview(x).cast("I")) for x in encoder.ids(texts)] == told
-    assert ranked.ranked is not None
-    assert [list(memoryview(ranked.ids(x)).cast("I")) for x in texts] == told
+        assert lengths.counts(pa.array(texts)).tolist() == [*map(len, told)]
+    assert [list(memoryview(x).cast("I")) for x in encoder.ids([None, "", *texts[:9]])] == [[], [], *told[:9]]
+    assert [*encoder.ids([])] == []
+
+
+def test_ids_with_a_small_memory(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "bb", f"w{rng.randint(0, 10**6)}", "x" * rng.randint(20, 60)]) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    told = [e.ids for e in bpe.Encoder(bpe.default_path()).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for most, most_bytes in ((500, 1 << 20), (10**6, 2_000), (10, 10)):
+        monkeypatch.setattr(bpe, "REMEMBERED", most)
+        monkeypatch.setattr(bpe, "REMEMBERED_BYTES", most_bytes)
+        monkeypatch.setattr(bpe, "BATCH_BYTES", 3000)
+        assert [list(memoryview(x).cast("I")) for x in bpe.Encoder(bpe.default_path()).ids(texts)] == told
 
 
 def test_counts(spark, odd_docs, sf_dir):
