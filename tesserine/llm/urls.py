@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import lower_ascii
-from .store import materialize, read_table
+from .store import materialize, plain_names, read_table, true_names
 
 #: (host, path, verdict) of the production rules.
 RULES = [
@@ -34,21 +34,29 @@ def digest(expression: Column) -> Column:
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
-    """Rules (host, path, verdict) with their digests. Of equal rules, ``block`` wins; rules with a null are left out."""
+    """Rules (host, path, verdict) with their digests and how deep they go. Of equal rules, ``block`` wins; rules with a null are left out."""
     full = rules.dropna(subset=["host", "path", "verdict"])
     once = full.groupBy(lower_ascii(F.col("host")).alias("host"), "path").agg(F.max(F.struct(F.col("verdict") == "block", "verdict"))["verdict"].alias("verdict"))
     named = once.withColumn("rule", F.concat("host", "path")).withColumn("digest", digest(F.concat("host", F.lit("\n"), "path")))
-    return named.select(F.substring("digest", 1, SHORT).alias("short"), "digest", "rule", F.char_length("host").cast("long").alias("host_chars"), "verdict")
-
-
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All (host suffix, path prefix) pairs: suffixes from label to label, prefixes up to each slash and of each length in ``lengths``."""
-    labels = F.split(host, r"\.", -1)
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
-    steps = F.split(path, "/", -1)
-    to_slash = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))))
-    prefixes = F.coalesce(to_slash, F.array().cast("array<string>"))
+    shape = {
+        "host_chars": F.char_length("host").cast("long"),
+        "labels": F.size(F.split("host", r"\.", -1)),
+        "slashes": F.size(F.split("path", "/", -1)) - 1,
+        "slashed": F.endswith("path", F.lit("/")),
+        "path_chars": F.char_length("path"),
+    }
+    return named.select(F.substring("digest", 1, SHORT).alias("short"), "digest", "rule", "verdict", *(v.alias(k) for k, v in shape.items()))
+
+
+def expressions(host: Column, path: Column, labels: int, slashes: int, lengths: list[int]) -> Column:
+    """The (host suffix, path prefix) pairs that a rule can have: suffixes of up to ``labels`` labels, prefixes up to each of the first ``slashes`` slashes and of each length in ``lengths``."""
+    parts = F.split(host, r"\.", -1)
+    n = F.size(parts)
+    suffixes = F.transform(F.sequence(F.greatest(n - labels + 1, F.lit(1)), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
+    steps = F.split(path, "/", slashes + 1)  # what is behind the last slash that counts stays whole
+    ups = F.size(steps) - 1
+    to_slash = F.when(ups > 0, F.transform(F.sequence(F.lit(1), F.greatest(ups, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))))
+    prefixes = F.coalesce(to_slash, F.array().cast("array<string>")) if slashes else F.array().cast("array<string>")
     if lengths:
         sizes = F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.char_length(path))
         prefixes = F.array_union(prefixes, F.transform(sizes, lambda k: F.substring(path, F.lit(1), k)))
@@ -62,23 +70,30 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame
     rule's; of the rules that fit, the longest (then the one with the longer
     host) decides; where none fits, the rule is null and the verdict
     ``allow``. Each distinct url is expanded once; short prefixes of the
-    digests are joined, full digests confirm. Rows that repeat keep their
-    rows; other columns stay. The planner broadcasts rules, or verdicts, only
-    if their size allows it.
-
-    Rules whose path ends in no slash add their paths' lengths, at most as
-    many as there are lengths, to the prefixes that are tried.
+    digests are joined, full digests confirm. Null urls and those without
+    ``://`` have an empty host and path, and no rule. Rows that repeat keep
+    their rows; other columns stay, whatever their names. An empty table
+    stays empty; without rules all is allowed. The planner broadcasts rules,
+    or verdicts, only if their size allows it.
+
+    A url is expanded no deeper than the deepest rule, so a long one costs no
+    more than its length. Rules whose path ends in no slash add their paths'
+    lengths, at most as many as there are lengths, to the prefixes tried.
     """
-    lengths = [r[0] for r in rules.where(~F.endswith("path", F.lit("/"))).select(F.char_length("path")).distinct().collect()]
+    plain, names = plain_names(urls)
+    url = names[url]
     table = materialize(compile_rules(rules), "rules")
+    deepest = table.agg(F.max("labels").alias("labels"), F.max("slashes").alias("slashes"), F.collect_set(F.when(~F.col("slashed"), F.col("path_chars"))).alias("lengths")).first()
     host, path = host_and_path(F.col("__url"))
-    once = urls.select(F.col(url).alias("__url")).where(F.col("__url").contains("://")).distinct()
-    tried = once.select("__url", F.explode(expressions(host, path, sorted(lengths))).alias("e")).withColumn("e", digest(F.col("e")))
+    once = plain.select(F.col(url).alias("__url")).where(F.col("__url").contains("://")).distinct()
+    pairs = expressions(host, path, deepest["labels"] or 1, deepest["slashes"] or 0, sorted(deepest["lengths"]))
+    tried = once.select("__url", F.explode(pairs).alias("e")).withColumn("e", digest(F.col("e")))
     fits = tried.join(table, (F.substring("e", 1, SHORT) == table["short"]) & (F.col("e") == table["digest"]))
     best = fits.groupBy(F.col("__url").alias("__of")).agg(F.max(F.struct(F.char_length("rule"), "host_chars", "rule", "verdict")).alias("__best"))
     host, path = host_and_path(F.col(url))
-    joined = urls.withColumns({"__host": host, "__path": path}).join(best, F.col(url) == F.col("__of"), "left")
-    return joined.withColumns({"__rule": F.col("__best.rule"), "__verdict": F.coalesce("__best.verdict", F.lit("allow"))}).drop("__of", "__best")
+    added = {"__host": host, "__path": path, "__rule": F.col("__best.rule"), "__verdict": F.coalesce("__best.verdict", F.lit("allow"))}
+    joined = plain.join(best, F.col(url) == F.col("__of"), "left")
+    return joined.select(*true_names(names, added), *(v.alias(k) for k, v in added.items()))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
