@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .store import materialize, read_table
+from .store import materialize, plain_names, read_table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
-#: A host is rejected for a rule that more than this share of its documents break, after shrinking.
-HOST_LIMIT = 0.8
+#: A host is rejected for a rule if its rate lies, with the one-sided certainty of SURE standard deviations of the
+#: posterior, further than HALFWAY from the prior's mean to 1.
+HALFWAY, SURE = 0.5, 1.645
 #: Rules, as conditions on the measures; the first two also reject a document by themselves.
 RULES = {
     "short": "n_words < 50",
@@ -77,8 +78,16 @@ def host_verdicts(measures: DataFrame, host: str = "source", struct: str = "__m"
     moments: its mean m is the share of all documents that fail, its
     strength s comes from the spread of hosts' rates, weighted by their
     documents, beyond what sampling explains. A host's rate is
-    (failures + m s) / (documents + s). Null hosts have no row. Rates of
-    hosts with few documents stay near the mean.
+    (failures + m s) / (documents + s), the mean of its posterior. The host
+    is rejected if for some rule the rate less SURE of the posterior's
+    standard deviations is above m + HALFWAY (1 - m): if it is nearly certain
+    that the host is nearer to breaking the rule always than to what is
+    usual. So few documents condemn no host, and a rule that most hosts
+    break condemns none.
+
+    Null hosts have no row; without hosts the table is empty. Hosts with
+    equal counts are judged alike. Counts are brought together before the
+    shuffle, so no host is too large.
     """
     counts = measures.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), *(F.count_if(_broken(r, struct)).alias(f"n_{r}") for r in RULES)
@@ -93,7 +102,7 @@ def host_verdicts(measures: DataFrame, host: str = "source", struct: str = "__m"
     docs, hosts = first["docs"], first["hosts"]
     mean = {r: first[r] / docs for r in RULES}
     spread = counts.agg(*(F.sum(n * F.pow(F.col(f"n_{r}") / n - mean[r], 2)).alias(r) for r in RULES)).first()
-    rates = {}
+    rates, excess = {}, []
     for r in RULES:
         m, strength = mean[r], float(docs)
         noise = (hosts - 1) * m * (1 - m)
@@ -101,9 +110,10 @@ def host_verdicts(measures: DataFrame, host: str = "source", struct: str = "__m"
         between = (spread[r] - noise) / share if share > 0 else 0.0
         if between > 0:
             strength = max(1.0, m * (1 - m) / between - 1)
-        rates[f"rate_{r}"] = (F.col(f"n_{r}") + m * strength) / (n + strength)
-    counts = counts.withColumns(rates)
-    return counts.withColumn("host_ok", F.greatest(*(F.col(c) for c in rates)) <= HOST_LIMIT)
+        rate = (F.col(f"n_{r}") + m * strength) / (n + strength)
+        rates[f"rate_{r}"] = rate
+        excess.append(rate - SURE * F.sqrt(rate * (1 - rate) / (n + strength + 1)) - (m + HALFWAY * (1 - m)))
+    return counts.withColumns({**rates, "host_ok": F.greatest(*excess) <= 0})
 
 
 def apply_host_verdicts(rows: DataFrame, verdicts: DataFrame, host: str = "source", struct: str = "__m") -> DataFrame:
@@ -115,17 +125,19 @@ def apply_host_verdicts(rows: DataFrame, verdicts: DataFrame, host: str = "sourc
 
 
 def filter_quality(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that the rules keep, with the columns they came with.
+    """The documents that the rules keep, with the columns they came with, of any names.
 
     Null and empty texts have no words and fail. Texts of any length are
-    measured whole; rows that repeat are judged alike. The measures are
+    measured whole; rows that repeat are judged alike; rows with a null host
+    keep their own verdict. An empty table stays empty. The measures are
     taken twice, once for the hosts and once for the filter, so that no text
     is shuffled or stored.
     """
-    own = docs.columns
-    seen = measured(docs.select(F.col(text).alias("__t"), F.col(host).alias("__h")), "__t").drop("__t")
+    plain, names = plain_names(docs)
+    seen = measured(plain.select(F.col(names[text]).alias("__t"), F.col(names[host]).alias("__h")), "__t").drop("__t")
     verdicts = host_verdicts(seen, "__h")
-    return apply_host_verdicts(measured(docs, text), verdicts, host).where("__kept").select(*own)
+    kept = apply_host_verdicts(measured(plain, names[text]), verdicts, names[host]).where("__kept")
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +177,8 @@ WITH d AS (
   SELECT t.*, CASE WHEN docs - squares / docs > 0 THEN (s - (hosts - 1) * m * (1 - m)) / (docs - squares / docs) ELSE 0 END AS between
   FROM t JOIN (SELECT h.rule, sum(n * (k / n - m) ** 2) AS s FROM h JOIN t USING (rule) GROUP BY 1) USING (rule)
 ), p AS (SELECT rule, m, CASE WHEN between > 0 THEN greatest(1, m * (1 - m) / between - 1) ELSE docs END AS s FROM v
-), ok AS (SELECT source, max((k + m * s) / (n + s)) <= 0.8 AS host_ok FROM h JOIN p USING (rule) GROUP BY 1)
+), g AS (SELECT source, rule, m, n, s, (k + m * s) / (n + s) AS rate FROM h JOIN p USING (rule)
+), ok AS (SELECT source, max(rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) - (m + 0.5 * (1 - m))) <= 0 AS host_ok FROM g GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
   NOT (short OR repetitive) AND coalesce(host_ok, true) AS kept
 FROM f LEFT JOIN ok USING (source)

@@ -92,6 +92,20 @@ def test_host_verdicts(spark):
     assert kept == set(range(len(bad), len(bad) + len(good)))
 
 
+def test_hosts_by_their_share_of_junk(spark):
+    """Of hosts that are junk to 0, 30, 50, 70 and 90 percent, by a rule that rejects no document itself, the last two go; one with three documents can't be told."""
+    rng = random.Random(11)
+    clean = lambda: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(60))
+    rows = []
+    for host, share in [(f"good{i}", 0.0) for i in range(20)] + [("h30", 0.3), ("h50", 0.5), ("h70", 0.7), ("h90", 0.9)]:
+        rows += [(clean() + " " + "#" * 200 if i < 100 * share else clean(), host) for i in range(100)]
+    rows += [(clean() + "$" * 200, "few")] * 3
+    df = spark.createDataFrame(rows, "text string, source string")
+    hosts = {r.host: r.host_ok for r in quality.host_verdicts(quality.measured(df)).collect()}
+    assert sorted(h for h, ok in hosts.items() if not ok) == ["h70", "h90"]
+    assert quality.filter_quality(df).count() == len(rows) - 200
+
+
 def test_quality_odd(spark, odd_docs):
     out = quality.filter_quality(odd_docs)
     assert out.columns == odd_docs.columns
@@ -483,3 +497,17 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     out = lines.drop_lines(df)
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect())) == [(i, f"own {i}" if i < 5 else f"{line}\nown 5", i, i) for i in range(6)]
+
+
+def test_long_urls_and_odd_tables(spark):
+    """A url of 100 kB with as many slashes and labels costs little; no rules, no rows, clashing names."""
+    pages = ["http://" + "a." * 30_000 + "com/" + "x/" * 50_000, "http://a.net/es/" + "/" * 100_000, None, "http://a.net/es/" + "/" * 100_000]
+    names = ["__url", "__best", "url", "short"]
+    df = spark.createDataFrame([(i, i, u, i) for i, u in enumerate(pages)], "__url bigint, __best bigint, url string, short bigint")
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    began = time.time()
+    rows = sorted(map(tuple, urls.judge_urls(df, rules).select(*names[:2], "short", "__rule", "__verdict").collect()))
+    assert rows == [(0, 0, 0, "com/", "allow"), (1, 1, 1, "net/es/", "block"), (2, 2, 2, None, "allow"), (3, 3, 3, "net/es/", "block")]
+    assert time.time() - began < 30
+    assert urls.judge_urls(df.limit(0), rules).count() == 0
+    assert {r["__verdict"] for r in urls.judge_urls(df, rules.limit(0)).collect()} == {"allow"}

@@ -12,13 +12,13 @@ from tesserine.llm import bpe
 
 
 def brute_quality(docs):
-    """Text rules, then a beta prior by moments for each rule over hosts; a host goes when a shrunk rate is over 0.8."""
+    """Text rules, then a beta prior by moments for each rule over hosts; a host goes when a rate, less 1.645 deviations, is over halfway from the mean to 1."""
     broken = []
     for d in docs:
         words, chars, symbols, dup, repeated = brute_measures(d["text"])
         full = sum(1 for x in (d["text"] or "").split("\n") if x.strip(" \t\n\x0b\x0c\r"))
         broken.append((words < 50, 100 * repeated > 50 * words, 10 * symbols > chars, dup > 0 and 2 * dup > full))
-    hosts, worst = defaultdict(list), defaultdict(float)
+    hosts, worst = defaultdict(list), defaultdict(bool)
     for d, b in zip(docs, broken):
         if d["source"] is not None:
             hosts[d["source"]].append(b)
@@ -31,8 +31,9 @@ def brute_quality(docs):
         between = (spread - (len(hosts) - 1) * m * (1 - m)) / share if share > 0 else 0
         strength = max(1, m * (1 - m) / between - 1) if between > 0 else total
         for h, own in hosts.items():
-            worst[h] = max(worst[h], (failed[h] + m * strength) / (len(own) + strength))
-    return [d for d, b in zip(docs, broken) if not b[0] and not b[1] and worst[d["source"]] <= 0.8]
+            rate = (failed[h] + m * strength) / (len(own) + strength)
+            worst[h] |= rate - 1.645 * (rate * (1 - rate) / (len(own) + strength + 1)) ** 0.5 > m + 0.5 * (1 - m)
+    return [d for d, b in zip(docs, broken) if not b[0] and not b[1] and not worst[d["source"]]]
 
 
 def brute_line_dedup(docs):
