@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a bucket holds on average, the most buckets, and the cuts that narrow a percentile down.
-BUCKET_ROWS, MOST_BUCKETS, CUTS = 256, 65_536, 128
+#: Rows that a bucket holds on average, the most buckets, the cuts that narrow a percentile down, and the distinct values of a group that one task may sort.
+BUCKET_ROWS, MOST_BUCKETS, CUTS, ONE_TASK = 256, 65_536, 128, 1 << 20
 
 
 def bucket_count(rows: int) -> int:
@@ -36,24 +36,41 @@ def rank_position(n: Column, q: float) -> Column:
 def nearest_ranks(df: DataFrame, group: str, value: str, fractions: list[float]) -> DataFrame:
     """(group, q, value): for each fraction the nearest-rank percentile of each group.
 
-    Approximate quantiles only cut each group's values into ranges; exact
-    counts of the ranges tell which one holds a rank and how far in; only the
-    rows of those ranges are then sorted. So the result is exact, and a task
-    sorts about a CUTS-th of a group.
+    Equal values are counted together before anything is shuffled, so ``df``
+    is read once and only distinct values go on. Where a group can have more
+    than ONE_TASK of them, approximate cuts deal them into ranges first:
+    totals of ranges tell which one holds a rank, and values are summed up
+    within their range only. So the result is exact, and a task sorts about
+    a CUTS-th of a group's distinct values. Groups may be null.
     """
-    cuts = df.groupBy(F.col(group).alias("__group")).agg(
-        F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], 4 * CUTS).alias("__cuts"), F.count(value).alias("__n")
-    )
-    rows = df.where(F.col(value).isNotNull()).join(cuts, F.col(group) == F.col("__group"))
-    ranged = rows.select(group, F.col(value).alias("__v"), "__n", F.size(F.filter("__cuts", lambda c: c < F.col(value))).alias("__range"))
-    counts = ranged.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__in"), F.first("__n").alias("__n"))
-    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0)))
-    wanted = F.array(*(F.struct(F.lit(q).cast("double").alias("q"), rank_position(F.col("__n"), q).alias("at")) for q in fractions))
-    targets = counts.select(F.col(group).alias("__of"), F.col("__range").alias("__r2"), F.explode(wanted).alias("__w"), "__before", "__in")
-    targets = targets.where("__w.at >= __before and __w.at < __before + __in")
-    places = targets.groupBy("__of", "__r2").agg(F.collect_list(F.struct(F.col("__w.q").alias("q"), (F.col("__w.at") - F.col("__before")).alias("at"))).alias("__want"))
-    hit = ranged.join(places, (F.col(group) == F.col("__of")) & (F.col("__range") == F.col("__r2")))
-    numbered = hit.withColumn("__at", F.row_number().over(Window.partitionBy(group, "__range").orderBy("__v")) - 1)
-    found = numbered.select(group, "__v", F.explode(F.filter("__want", lambda w: w["at"] == F.col("__at"))).alias("__w"))
-    return found.select(group, F.col("__w.q").alias("q"), F.col("__v").alias("value"))
+    spark = df.sparkSession
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")).persist()
+    try:
+        groups = counts.groupBy("__g").agg(F.count(F.lit(1)).alias("__distinct"), F.sum("__n").alias("__of"))
+        most = groups.agg(F.max("__distinct")).first()[0] or 0
+        ranged = counts.withColumn("__r", F.lit(0))
+        if most > ONE_TASK:
+            cuts = counts.groupBy(F.col("__g").alias("__cg")).agg(F.percentile_approx("__v", [i / CUTS for i in range(1, CUTS)], 4 * CUTS).alias("__cuts"))
+            ranged = counts.join(cuts, F.col("__g").eqNullSafe(F.col("__cg"))).select("__g", "__v", "__n", _range_of("__v", "__cuts").alias("__r"))
+        before = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+        totals = ranged.groupBy("__g", "__r").agg(F.sum("__n").alias("__in"))
+        totals = totals.select(F.col("__g").alias("__tg"), F.col("__r").alias("__tr"), F.coalesce(F.sum("__in").over(before), F.lit(0)).alias("__before"), F.sum("__in").over(Window.partitionBy("__g")).alias("__of"))
+        placed = ranged.join(totals, F.col("__g").eqNullSafe(F.col("__tg")) & (F.col("__r") == F.col("__tr")))
+        upto = F.col("__before") + F.sum("__n").over(Window.partitionBy("__g", "__r").orderBy("__v"))
+        wanted = F.array(*(F.struct(F.lit(q).cast("double").alias("q"), rank_position(F.col("__of"), q).alias("at")) for q in fractions))
+        placed = placed.select("__g", "__v", (upto - F.col("__n")).alias("__from"), upto.alias("__to"), wanted.alias("__w"))
+        found = placed.select("__g", "__v", F.explode(F.filter("__w", lambda w: (w["at"] >= F.col("__from")) & (w["at"] < F.col("__to")))).alias("__w"))
+        rows = found.select(F.col("__g").alias(group), F.col("__w.q").alias("q"), F.col("__v").alias("value"))
+        return spark.createDataFrame(rows.toArrow(), rows.schema)  # a row for each group and fraction
+    finally:
+        counts.unpersist()
+
+
+def _range_of(value: str, cuts: str) -> Column:
+    """How many of the sorted cuts are below a value, by halving."""
+    at = F.lit(0)
+    step = CUTS // 2
+    while step:
+        at = at + F.when(F.get(F.col(cuts), at + (step - 1)) < F.col(value), F.lit(step)).otherwise(F.lit(0))
+        step //= 2
+    return at

@@ -280,25 +280,6 @@ def box_map(spark: SparkSession, d: str) -> DataFrame:
 # --- images, generators, streams ----------------------------------------------------------------------
 
 
-def features(mode: str):
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        """Features of the synthetic line images."""
-        import pyarrow as pa
-        import numpy as np
-
-        rows, _ = synthetic_lines(spark)
-        config = images.VectorConfig(12, 12, mode)
-
-        def run(batches):
-            for batch in batches:
-                found = [images.gray_vector(np.array(x).reshape(12, 12), config).tolist() for x in batch.column("features").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("label"), pa.array(found, pa.list_(pa.float64()))], names=["sample_id", "label", "vector"])
-
-        return rows.select("sample_id", "label", "features").mapInArrow(run, "sample_id bigint, label bigint, vector array<double>")
-
-    return query
-
-
 def points(spark: SparkSession, d: str) -> DataFrame:
     return synthetic_points(spark)[0]
 
@@ -354,8 +335,6 @@ QUERIES = {
     "box_rank_largest": box_rank("largest"),
     "box_rank_all": box_rank("all"),
     "box_map": box_map,
-    "img_features_rich_texture": features("rich-texture"),
-    "img_features_rich_layout": features("rich-layout"),
     "src_synthetic_points": points,
     "stream_window_rates": stream_rates,
 }

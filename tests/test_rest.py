@@ -30,7 +30,9 @@ def test_scaling(spark):
     assert out == [[0.0, 0.0], [1.0, 1.0], [0.0, 0.5]]
 
 
-def test_nearest_rank(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 10])
+def test_nearest_rank(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ranking, "ONE_TASK", one_task)  # beyond it, values are dealt into ranges
     df = spark.createDataFrame([(1, float(x)) for x in (1, 2, 3, 4)], "g int, v double")
     assert ranking.nearest_ranks(df, "g", "v", [0.5]).first().value == 3.0
     rng = random.Random(1)
@@ -40,6 +42,9 @@ def test_nearest_rank(spark):
     for g in (0, 1):
         s = sorted(v for h, v in rows if h == g)
         assert all(got[g, q] == s[int((len(s) - 1) * q + 0.5)] for q in qs)
+    odd = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, None), (2, 5.0), (2, 5.0)], "g int, v double")
+    assert sorted(map(tuple, ranking.nearest_ranks(odd, "g", "v", [0.0, 1.0]).collect()), key=str) == [(2, 0.0, 5.0), (2, 1.0, 5.0), (None, 0.0, 1.0), (None, 1.0, 3.0)]
+    assert ranking.nearest_ranks(odd.limit(0), "g", "v", [0.5]).count() == 0
 
 
 def test_split(spark):
