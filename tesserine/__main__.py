@@ -1,4 +1,4 @@
-"""python -m tesserine COMMAND: evaluate, train, score, curve, matrix, scan, demo."""
+"""python -m tesserine COMMAND: evaluate, train, score, predict, curve, matrix, scan, search, search-scan, debug, demo."""
 
 from __future__ import annotations
 
@@ -11,28 +11,22 @@ from .session import get_session
 from .sources import sinks
 
 
-#: What a matrix varies besides its seeds.
-MATRIX = {"models": str, "features": str, "resize_modes": str, "image_sizes": int, "intervals": int, "correction_modes": str}
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tesserine", description=__doc__)
-    p.add_argument("command", choices=["evaluate", "train", "score", "curve", "matrix", "scan", "demo"])
+    p.add_argument("command", choices=["evaluate", "train", "score", "predict", "curve", "matrix", "scan", "search", "search-scan", "debug", "demo"])
     p.add_argument("--model", choices=commands.MODELS, default="interval")
     p.add_argument("--config", help="a JSON file of settings")
     p.add_argument("--search", help="a JSON file with the result of a search")
     p.add_argument("--artifact", help="folder of a saved model")
     p.add_argument("--out", help="folder of the report")
     p.add_argument("--form", choices=["json", "csv"], default="json")
-    listed = lambda kind: lambda text: [kind(x.strip()) for x in text.split(",") if x.strip()]
-    p.add_argument("--seeds", "--matrix-seeds", type=listed(int), help="seeds of a matrix, by commas")
-    for name, kind in MATRIX.items():
-        p.add_argument(f"--matrix-{name.replace('_', '-')}", dest=f"matrix_{name}", type=listed(kind), help=f"{name.replace('_', ' ')} of a matrix, by commas")
-    p.add_argument("--matrix-top", type=int, default=0, help="how many of the best rows of a matrix are reported on their own")
+    p.add_argument("--report-out", help="where the report goes besides an artifact or other output")
+    p.add_argument("--image", help="the image of a single prediction")
     p.add_argument("--show-sources", action="store_true", help="print where each setting came from")
     for f in fields(commands.Settings):
         kind = commands.blocks_of if f.name == "blocks" else {"int": int, "float": float, "float | None": float}.get(str(f.type), str)
-        p.add_argument(f"--{f.name.replace('_', '-')}", dest=f.name, type=kind)
+        names = [f"--{f.name.replace('_', '-')}"] + (["--seeds"] if f.name == "matrix_seeds" else [])
+        p.add_argument(*names, dest=f.name, type=kind)
     return p
 
 
@@ -47,32 +41,46 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "demo":
         print(commands.demo(spark))
         return
+    one = lambda found: spark.createDataFrame([(json.dumps(found, default=str),)], "report string")
+    out = a.out
     if a.command == "evaluate":
-        out = spark.createDataFrame([(json.dumps(commands.evaluate(spark, a.model, s)),)], "report string")
+        told = one(commands.evaluate(spark, a.model, s))
     elif a.command == "train":
         (commands.train_library if a.model in ("library", "binary") else commands.train_artifact)(spark, s, a.artifact)
         return
     elif a.command == "score":
-        out = commands.score_artifact(spark, s, a.artifact, a.model)
+        told = commands.score_artifact(spark, s, a.artifact, a.model)
+    elif a.command == "predict":
+        if a.form == "csv":
+            raise commands.ConfigError("a single prediction has no form as CSV")
+        told = one(commands.predict_one(spark, s, a.artifact, a.image, a.model))
     elif a.command == "curve":
-        out = spark.createDataFrame(commands.curve(spark, s))
+        told = spark.createDataFrame(commands.curve(spark, s))
     elif a.command == "matrix":
+        numbers = lambda text: commands.listed(text, int)
+        models, seeds = commands.listed(s.matrix_models) or list(commands.MODELS), numbers(s.matrix_seeds) or [s.seed]
         rows = commands.run_matrix(
-            spark, s, a.matrix_models or list(commands.MODELS), a.seeds or [s.seed], a.matrix_intervals, a.matrix_features, a.matrix_resize_modes, a.matrix_image_sizes, a.matrix_correction_modes
+            spark, s, models, seeds, numbers(s.matrix_intervals), commands.listed(s.matrix_features), commands.listed(s.matrix_resize_modes), numbers(s.matrix_image_sizes), commands.listed(s.matrix_correction_modes)
         )
-        for part, found in (("rows", rows), ("summaries", matrix.summarize(rows)), ("top_rows", matrix.top_rows(rows, a.matrix_top))):
+        for part, found in (("rows", rows), ("summaries", matrix.summarize(rows)), ("top_rows", matrix.top_rows(rows, s.matrix_top))):
             if a.out:
                 sinks.write_report(found, f"{a.out}/{part}", a.form)
             else:
                 for row in found.toJSON().toLocalIterator():
                     print(f'{{"{part}":{row}}}')
         return
+    elif a.command == "search":
+        told, out = one(commands.search_libraries(spark, s, a.out)), a.report_out
+    elif a.command == "search-scan":
+        told, out = one(commands.search_scans(spark, s, s.data, a.out)), a.report_out
+    elif a.command == "debug":
+        told, out = one(commands.debug_bundle(spark, s, a.model, s.debug_out or a.out)), a.report_out
     else:
-        out = commands.patch_scan(spark, s, s.data)
-    if a.out:
-        sinks.write_report(out, a.out, a.form)
+        told = one(commands.scan_report(spark, s, s.data))
+    if out:
+        sinks.write_report(told, out, a.form)
     else:
-        for row in out.toJSON().toLocalIterator():
+        for row in told.toJSON().toLocalIterator():
             print(row)
 
 

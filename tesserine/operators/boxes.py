@@ -14,7 +14,7 @@ def box_area(box: Column) -> Column:
     return side(0, 2) * side(1, 3)
 
 
-def select_detections(detections: DataFrame, selection: str = "best", limit: int = 1, allowed: list[str] | None = None, source_class: str | None = None) -> DataFrame:
+def select_detections(detections: DataFrame, selection: str = "best", limit: int = 1, allowed: list[str] | None = None, source_class: str | Column | None = None) -> DataFrame:
     """The first detections of each image: by score times area (``best``), area (``largest``) or score (``all``); the limit holds for all three.
 
     ``detections`` has image_id, detection_id, label, score and box. Labels
@@ -24,8 +24,8 @@ def select_detections(detections: DataFrame, selection: str = "best", limit: int
     rows = rows.withColumn("rank_score", F.col("score") * F.greatest("area", F.lit(1.0)))
     if allowed:
         rows = rows.where(F.col("label").isin([a.lower() for a in allowed]))
-    if source_class:
-        rows = rows.where(F.col("label") == F.lower(source_class))
+    if source_class is not None:
+        rows = rows.where(F.col("label") == F.lower(F.lit(source_class) if isinstance(source_class, str) else source_class))
     if selection not in ("best", "largest", "all"):
         raise ConfigError(f"unknown selection {selection}")
     keys = {"best": ["rank_score", "score"], "largest": ["area", "score"], "all": ["score"]}[selection]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -383,6 +385,18 @@ def vectorize(images: DataFrame, configs: dict[str, VectorConfig], keep: tuple[s
     return images.select(*keep, "image").mapInArrow(run, schema)
 
 
+def stats(images: DataFrame) -> DataFrame:
+    """(path, width, height, aspect, brightness, contrast, crop_loss) of images (path, image)."""
+    names = ["width", "height", "aspect", "brightness", "contrast", "crop_loss"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [image_stats(decode_row(r["data"], r["height"], r["width"], r["nChannels"])) for r in batch.column("image").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array([float(f[n]) for f in found], pa.float64()) for n in names)], names=["path", *names])
+
+    return images.select("path", "image").mapInArrow(run, "path string, " + ", ".join(f"{n} double" for n in names))
+
+
 def vectorize_patches(images: DataFrame, config: VectorConfig, patch: int, stride: int, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """(keep, x, y, w, h, vector) for every patch of each image, clipped to it, from one decode."""
     schema = ", ".join([*(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in keep), "x bigint, y bigint, w bigint, h bigint, vector array<double>"])
@@ -403,6 +417,16 @@ def vectorize_patches(images: DataFrame, config: VectorConfig, patch: int, strid
     return images.select(*keep, "image").mapInArrow(run, schema)
 
 
+def encode_png(image: np.ndarray) -> bytes:
+    """A PNG file of RGB or RGBA bytes."""
+    h, w, n = image.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.zeros((h, 1 + w * n), np.uint8)
+    lines[:, 1:] = image.reshape(h, w * n)
+    header = struct.pack(">IIBBBBB", w, h, 8, 2 if n == 3 else 6, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
 # --- crops and heat maps ------------------------------------------------------------------------------
 
 

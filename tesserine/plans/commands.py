@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..functions import bits
-from ..operators import anomaly, centroid, images, library, metrics, prep
+from ..operators import centroid, failures, images, library, metrics, prep
 from ..operators.interval_model import Correction, IntervalModel, learning_curve
 from ..sources import images as image_sources
+from ..sources import sinks
 from ..sources import vectors as vector_sources
-from . import matrix
+from . import matrix, scan
+from . import search as searching
 
 MODELS = ("interval", "library", "binary", "centroid")
 SOURCES = ("iris", "synthetic", "image-synthetic", "embedding-csv", "image-folder", "image-manifest")
+SEARCHES = ("binary-search", "scan-search")
 #: Names of settings in the results of a search, and what such a result reports besides its recipe.
 ALIASES = {"image_features": "features", "image_resize": "resize", "active_blocks": "blocks", "max_train_patches": "max_patches", "threshold_quantile": "quantile", "patch_score_fraction": "fraction"}
 REPORTED = ("fitness", "best_fitness", "generation", "similarity", "active_block_count", "accuracy", "auroc", "f1", "validation_accuracy", "validation_auroc", "validation_f1", "validation_ms", "eval_accuracy", "memory_bytes")
@@ -53,6 +56,33 @@ class Settings:
     quantile: float = 0.95
     fraction: float = 0.10
     target_mse: float | None = None
+    population: int = 32
+    generations: int = 20
+    elite: int = 4
+    mutation: float = 0.2
+    validation_ratio: float = 0.2
+    memory_penalty: float = 0.0
+    time_penalty: float = 0.0
+    search_sizes: str | None = None
+    search_features: str | None = None
+    search_resizes: str | None = None
+    search_top_ks: str | None = None
+    search_patch_sizes: str | None = None
+    search_patch_strides: str | None = None
+    search_max_patches: str | None = None
+    search_quantiles: str | None = None
+    search_fractions: str | None = None
+    matrix_models: str | None = None
+    matrix_features: str | None = None
+    matrix_resize_modes: str | None = None
+    matrix_image_sizes: str | None = None
+    matrix_seeds: str | None = None
+    matrix_intervals: str | None = None
+    matrix_correction_modes: str | None = None
+    matrix_top: int = 0
+    debug_out: str | None = None
+    debug_limit: int = 24
+    debug_samples: str = "misclassified"
 
 
 def blocks_of(value: int | str) -> int:
@@ -60,8 +90,15 @@ def blocks_of(value: int | str) -> int:
     return bits.normal_blocks(int(value, 0) if isinstance(value, str) else value)
 
 
+def listed(text: str | None, kind: type = str) -> list | None:
+    """The values of a setting that is a list, written with commas; None if it isn't set."""
+    return None if text is None else [kind(x.strip()) for x in text.split(",") if x.strip()]
+
+
 def recipe(found: dict) -> dict:
-    """The settings in a search's result: its best genome or recipe, or all of it, without what it only reports."""
+    """The settings in a search's result: its best genome or recipe, or all of it, without what it only reports. A result of another kind of search raises."""
+    if found.get("model") not in (None, *SEARCHES):
+        raise ConfigError(f"not the result of a search: {found['model']}")
     found = found.get("best_genome") or found.get("best_recipe") or found
     own = {ALIASES.get(k.replace("-", "_"), k.replace("-", "_")): v for k, v in found.items() if k.replace("-", "_") not in REPORTED}
     if own.pop("variant", 0):
@@ -70,7 +107,7 @@ def recipe(found: dict) -> dict:
 
 
 def layered(call: dict, config: str | None = None, search: str | None = None) -> tuple[Settings, dict[str, str]]:
-    """(settings, where each came from). ``config`` and ``search`` are JSON texts; unknown keys raise, but for what a search reports besides its recipe; dashes may stand for underscores."""
+    """(settings, where each came from). ``config`` and ``search`` are JSON texts; unknown keys raise, but for what a search reports besides its recipe; dashes may stand for underscores, and a list for its values with commas."""
     known, values, origin = {f.name for f in fields(Settings)}, {}, {f.name: "default" for f in fields(Settings)}
     layers = [("config", json.loads(config) if config else {}), ("search", recipe(json.loads(search)) if search else {}), ("call", call)]
     for name, layer in layers:
@@ -79,6 +116,7 @@ def layered(call: dict, config: str | None = None, search: str | None = None) ->
             if key not in known:
                 raise ConfigError(f"unknown setting {key}")
             if value is not None:
+                value = ",".join(map(str, value)) if isinstance(value, list) else value
                 values[key], origin[key] = blocks_of(value) if key == "blocks" else value, name
     return Settings(**values), origin
 
@@ -102,7 +140,8 @@ def load(spark: SparkSession, s: Settings, path: str | None = None) -> tuple[Dat
     rows, dim = read(spark, path)
     keep = tuple(c for c in ("path", "label", "class_name", "source_name", "split") if c in rows.columns)
     out = images.vectorize(rows, {"features": images.VectorConfig(s.image_size, s.image_size, s.features, s.resize)}, keep)
-    return out.withColumn("sample_id", F.xxhash64("path")), dim
+    root = path if s.source == "image-folder" else path.rpartition("/")[0]
+    return out.withColumn("sample_id", F.xxhash64(image_sources.within("path", root))), dim  # the same wherever the files lie
 
 
 def split(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,9 +198,12 @@ def evaluate(spark: SparkSession, model: str, s: Settings) -> dict:
     train, test, dim = split(spark, s)
     train, test, _ = scaled(train, test)
     classes, began = dim.count(), time.time()
-    told, size = predictions(s, model, train.persist(), test, classes)
+    train = train.persist()
+    told, size = predictions(s, model, train, test, classes)
     told = told.persist()
     row = metrics.classification_metrics(told, dim).first().asDict(recursive=True)
+    train.unpersist()
+    told.unpersist()
     return {**row, "model": model, "memory_bytes": size, "seconds": time.time() - began, "settings": asdict(s)}
 
 
@@ -246,25 +288,207 @@ def run_matrix(
     return matrix.row_columns(spark.createDataFrame(rows, schema))
 
 
-def patch_scan(spark: SparkSession, s: Settings, root: str) -> DataFrame:
-    """(path, class_name, score, threshold, predicted, expected) of an inspection category's test images, scored against its normal training images."""
-    anomaly.check_settings(s.patch_size, s.patch_stride, s.quantile, s.fraction)
-    found = image_sources.read_images(spark, root)
-    entries = image_sources.industrial_entries(found.select("path"), root).where("split <> 'masks'")
-    rows = found.join(entries, "path").withColumn("image_id", F.xxhash64("path"))
-    normal = rows.where("split = 'train'").select("image_id")
-    part = prep.train_test_split(normal, 0.2, s.seed, "image_id").select("image_id", F.when(F.col("split") == "test", "cal").otherwise("ref").alias("role"))
-    rows = rows.join(part, "image_id", "left").withColumn("role", F.coalesce("role", F.lit("eval")))
-    config = images.VectorConfig(s.image_size, s.image_size, s.features, s.resize)
-    patches = images.vectorize_patches(rows, config, s.patch_size, s.patch_stride, ("image_id", "role")).withColumn("patch_id", F.xxhash64("image_id", "x", "y")).persist()
-    refs = anomaly.cap_references(patches.where("role = 'ref'").select(F.col("patch_id").alias("ref_id"), F.col("vector"), F.lit(0).cast("long").alias("label")), s.max_patches)
-    ranges = prep.min_max_ranges(refs, "vector")
-    refs, others = prep.min_max_scale(refs, ranges, "vector"), prep.min_max_scale(patches.where("role <> 'ref'"), ranges, "vector")
-    scored = anomaly.patch_scores(others, refs, s.metric)
-    threshold = anomaly.calibrate(anomaly.image_scores(scored.where("role = 'cal'"), s.fraction), s.quantile)
-    told = anomaly.verdicts(anomaly.image_scores(scored.where("role = 'eval'"), s.fraction), threshold)
-    named = rows.select("image_id", "path", "class_name", "source_name", (F.col("class_name") != "normal").alias("expected"))
-    return anomaly.ordered_results(told.join(named, "image_id"))
+def patch_scan(spark: SparkSession, s: Settings, path: str) -> DataFrame:
+    """(path, class_name, score, threshold, predicted, expected, mask_iou, ...) of an inspection category's test images, scored against its normal training images."""
+    return scan.anomaly.ordered_results(scan.run_scan(scan.load_category(spark, path), s).results)
+
+
+def scan_report(spark: SparkSession, s: Settings, path: str) -> dict:
+    """The measures of a patch scan, and its results; with ``debug_out`` also the files for a closer look."""
+    category = scan.load_category(spark, path)
+    scanned = scan.run_scan(category, s)
+    if s.debug_out:
+        scan.write_debug(scanned, s, s.debug_out, s.debug_limit)
+    rows = [r.asDict() for r in scan.anomaly.ordered_results(scanned.results).collect()]
+    return {"model": "patch-scan", "dataset": category.name, "settings": asdict(s), **scan.report(scanned), "results": rows}
+
+
+def search_config(s: Settings) -> searching.SearchConfig:
+    return searching.SearchConfig(s.population, s.generations, s.elite, s.mutation, s.seed).normalized()
+
+
+def _searched(spark: SparkSession, s: Settings, kind: str, out: str | None, run) -> dict:
+    """Run a search whose history is written after every generation, and its artifact at the end."""
+    rows: list[dict] = []
+
+    def after(history: list[dict]) -> None:
+        rows[:] = history
+        if out:
+            sinks.write_siblings(spark, out, {"history": rows})
+
+    found = {"version": 1, "model": kind, "seed": s.seed, "population_size": s.population, "generations": s.generations, "validation_ratio": s.validation_ratio, **run(after)}
+    if out:
+        sinks.write_files(spark, {out.rpartition("/")[2]: json.dumps(found).encode()}, out.rpartition("/")[0] or ".")
+    return found | {"history": rows}
+
+
+def search_libraries(spark: SparkSession, s: Settings, out: str | None = None) -> dict:
+    """Search binary libraries over image sizes, features and resize modes: a seeded share of the training images validates, and evaluation data are used once, for the best recipe."""
+    if s.source != "image-folder" or not s.data:
+        raise ConfigError("a search over libraries needs an image folder")
+    specs = list(product(listed(s.search_sizes, int) or [64], listed(s.search_features) or ["rich-texture"], listed(s.search_resizes) or ["center-crop"]))
+    variants, rest = [], []
+    for size, features, resize in specs:
+        own = replace(s, image_size=size, features=features, resize=resize)
+        samples, dim = load(spark, own)
+        parts = prep.train_test_split(samples, s.validation_ratio, s.seed)
+        train, held = parts.where("split = 'train'"), parts.where("split = 'test'")
+        ranges = prep.min_max_ranges(train)
+        refs = prep.min_max_scale(train, ranges).select(F.col("sample_id").alias("ref_id"), F.col("features").alias("vector"), "label").persist()
+        asked = lambda rows, r=ranges: prep.min_max_scale(rows, r).select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector"), F.col("label").alias("expected"))
+        variants.append((asked(held).persist(), refs))
+        rest.append((own, dim, asked))
+
+    def run(after) -> dict:
+        space = searching.library_space(len(specs), listed(s.search_top_ks, int))
+        score = lambda g: searching.evaluate_libraries(g, variants, s.memory_penalty, s.time_penalty)
+        genome, history = searching.search(space, search_config(s), score, lambda g: (specs[g["variant"]][0], g["top_k"]), after)
+        queries, refs = variants[genome["variant"]]
+        own, dim, asked = rest[genome["variant"]]
+        judged = lambda q: metrics.classification_metrics(searching.evaluate_one(genome, q, refs).join(q.select("query_id", "expected"), "query_id"), dim).first().asDict(recursive=True)
+        found = {"best_genome": searching.recipe_of(genome, specs), "best_fitness": history[-1]["best_fitness"], "validation_accuracy": judged(queries)["accuracy"], "eval_accuracy": None}
+        if s.eval_data:
+            other, _ = load(spark, own, s.eval_data)
+            told = judged(asked(prep.remap_labels(other.drop("label"), "class_name", dim)))
+            found |= {"eval_accuracy": told["accuracy"], "eval_per_class_accuracy": told["per_class_accuracy"], "eval_confusion_matrix": told["confusion_matrix"]}
+        return found
+
+    try:
+        return _searched(spark, s, "binary-search", out, run)
+    finally:
+        for queries, refs in variants:
+            queries.unpersist()
+            refs.unpersist()
+
+
+def search_scans(spark: SparkSession, s: Settings, path: str, out: str | None = None) -> dict:
+    """Search patch scans: a seeded share of the test images, normal and anomalous alike, validates; the rest judge the best recipe once."""
+    category = scan.load_category(spark, path)
+    validation, holdout = scan.split_evaluation(category, s.validation_ratio, s.seed)
+    validation, holdout = validation.persist(), holdout.persist()
+    if validation.isEmpty():
+        raise ConfigError("a search over scans needs an image that validates")
+    space = searching.scan_space(
+        image_size=listed(s.search_sizes, int), features=listed(s.search_features), resize=listed(s.search_resizes), patch_size=listed(s.search_patch_sizes, int), patch_stride=listed(s.search_patch_strides, int),
+        max_patches=listed(s.search_max_patches, int), top_k=listed(s.search_top_ks, int), quantile=listed(s.search_quantiles, float), fraction=listed(s.search_fractions, float),
+    )
+
+    def judged(genome: dict, images_: DataFrame) -> dict:
+        return scan.report(scan.run_scan(category, replace(s, **genome), images_))
+
+    def fitness(genome: dict) -> float:
+        began = time.time()
+        try:
+            told = judged(genome, validation)
+        except ValueError:
+            return float("-inf")
+        width = images.VectorConfig(genome["image_size"], genome["image_size"], genome["features"], genome["resize"]).length
+        penalty = library.memory_bytes(told["reference_patches"], width) / 2**20 * max(s.memory_penalty, 0.0) + (time.time() - began) * 1000 * max(s.time_penalty, 0.0)
+        return searching.scan_fitness(told["auroc"], told["f1"], told["accuracy"] or 0.0, penalty)
+
+    def run(after) -> dict:
+        order = lambda g: (g["image_size"], g["patch_size"], g["patch_stride"])
+        genome, history = searching.search(space, search_config(s), lambda gs: [fitness(g) for g in gs], order, after)
+        found = {"best_recipe": genome, "best_fitness": history[-1]["best_fitness"]}
+        for name, part in (("validation", validation), ("holdout", validation if holdout.isEmpty() else holdout)):
+            told = judged(genome, part)
+            found |= {f"{name}_{k}": told[k] for k in ("accuracy", "auroc", "f1")}
+        return found
+
+    try:
+        return _searched(spark, s, "scan-search", out, run)
+    finally:
+        validation.unpersist()
+        holdout.unpersist()
+
+
+def predict_one(spark: SparkSession, s: Settings, path: str, image: str, kind: str = "interval") -> dict:
+    """The prediction of a saved model for one image, with all classes' scores, and the neighbours for a library; a library asked with k = 0 still looks at one."""
+    found = image_sources.read_images(spark, image)
+    rows = images.vectorize(found, {"features": images.VectorConfig(s.image_size, s.image_size, s.features, s.resize)}, ("path",)).withColumn("sample_id", F.lit(0).cast("long"))
+    if rows.isEmpty():
+        raise ConfigError(f"no image at {image}")
+    rows, dim = prep.min_max_scale(rows, spark.read.parquet(f"{path}/ranges")), {r["label"]: r["class_name"] for r in spark.read.parquet(f"{path}/classes").collect()}
+    if kind == "interval":
+        scores = list(enumerate(IntervalModel.load(spark, path).forward(rows).first()["scores"]))
+        near = []
+    else:
+        asked = rows.select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector"))
+        near = [r.asDict() for r in library.top_k(asked, spark.read.parquet(f"{path}/references"), max(s.top_k, 1), s.metric).orderBy("rank").collect()]
+        sums: dict[int, float] = {}
+        for n in near:
+            sums[n["label"]] = sums.get(n["label"], 0.0) + n["score"]
+        scores = [(c, sums.get(c, 0.0)) for c in dim]
+    ranked = sorted(scores, key=lambda x: -x[1])
+    best = max(scores, key=lambda x: (x[1], x[0]))[0]  # the last on ties
+    told = [{"class_index": c, "class_name": dim[c], "score": v} for c, v in ranked]
+    return {"model": kind, "image": image, "predicted_index": best, "predicted_label": dim[best], "scores": told, "neighbors": [n | {"class_name": dim[n["label"]]} for n in near]}
+
+
+def resize_comparisons(spark: SparkSession, s: Settings, model: str, chosen: DataFrame, train: DataFrame, ranges: DataFrame, classes: int) -> DataFrame:
+    """(sample_id, mode, predicted): what the model says of the chosen images (sample_id, path) in each resize mode."""
+    paths = chosen.select("path").collect()
+    found = image_sources.read_images(spark, [r["path"] for r in paths]).join(chosen.select("path", "sample_id"), "path")
+    out = None
+    for mode in images.RESIZE_MODES:
+        rows = images.vectorize(found, {"features": images.VectorConfig(s.image_size, s.image_size, s.features, mode)}, ("sample_id",))
+        told, _ = predictions(s, model, train, prep.min_max_scale(rows, ranges).withColumn("label", F.lit(0).cast("long")), classes)
+        own = told.select("sample_id", F.lit(mode).alias("mode"), "predicted")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def debug_bundle(spark: SparkSession, s: Settings, model: str, path: str) -> list[str]:
+    """Everything for a closer look at a model's mistakes, below a path; returns the failure analysis' sentences.
+
+    Settings, metrics by class, predictions with margins, failure analysis by
+    buckets of image properties; of a few samples the images on the way to
+    the vector, the vector, and how other resize modes would be judged.
+    """
+    train, test, dim = split(spark, s)
+    train, test, ranges = scaled(train, test)
+    train, classes = train.persist(), dim.count()
+    told, _ = predictions(s, model, train, test, classes)
+    refs = train.select(F.col("sample_id").alias("ref_id"), F.col("features").alias("vector"), "label")
+    asked = test.select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector"))
+    near = library.top_k(asked, refs, max(s.top_k, 1), s.metric)
+    margin = library.margins(near).select(F.col("query_id").alias("sample_id"), "score_margin")
+    names = [c for c in ("path", "class_name") if c in test.columns]
+    rows = told.join(margin, "sample_id", "left").join(test.select("sample_id", *names), "sample_id").withColumns({"correct": F.col("expected") == F.col("predicted"), "score_margin": F.coalesce("score_margin", F.lit(0.0))}).persist()
+    per, matrix_ = metrics.per_class_accuracy(rows, dim), metrics.confusion(rows, dim)
+    common = metrics.most_common_confusion(matrix_)
+    said = failures.findings(metrics.worst_class(per), common, failures.confidence_summary(rows))
+    frames = {"predictions": rows, "per_class": per, "confusion": matrix_, "high_confidence_wrong": failures.ranked_wrong(rows, True), "ambiguous_wrong": failures.ranked_wrong(rows, False)}
+    files = {"config.json": json.dumps(asdict(s)), "failure_analysis.json": json.dumps(said), "metrics.json": json.dumps(metrics.classification_metrics(rows, dim).first().asDict(recursive=True))}
+    page = []
+    if "path" in names:
+        found = image_sources.read_images(spark, s.eval_data or s.data)
+        stats = images.stats(found).join(rows.select("path", "sample_id", "correct"), "path")
+        frames["buckets"] = failures.bucket_summaries(stats, {"brightness": failures.brightness_bucket(F.col("brightness")), "contrast": failures.contrast_bucket(F.col("contrast")), "orientation": failures.orientation_bucket(F.col("aspect")), "crop_loss": failures.crop_loss_bucket(F.col("crop_loss"))})
+        chosen = failures.select_samples(rows, s.debug_samples, s.debug_limit).join(rows, "sample_id").join(test.select("sample_id", "features"), "sample_id").orderBy("place").collect()
+        if chosen:
+            some = spark.createDataFrame([(r["sample_id"], r["path"]) for r in chosen], "sample_id bigint, path string")
+            compared = resize_comparisons(spark, s, model, some, train, ranges, classes)
+            frames |= {"resize_comparisons": compared, "resize_disagreements": failures.resize_disagreements(compared, rows)}
+            pictures = {r["path"]: r["image"] for r in image_sources.read_images(spark, [r["path"] for r in chosen]).collect()}
+            config = images.VectorConfig(s.image_size, s.image_size, s.features, s.resize)
+            closest: dict[int, list] = {}
+            for n in near.join(some.select(F.col("sample_id").alias("query_id")), "query_id").orderBy("query_id", "rank").collect():
+                closest.setdefault(n["query_id"], []).append({"ref_id": n["ref_id"], "label": n["label"], "score": n["score"], "distance": 1.0 / n["score"] - 1.0 if s.metric == "euclidean" and n["score"] else None})
+            for r in chosen:
+                name = f"{r['place']:03d}-{sinks.safe_name(r['path'].rpartition('/')[2].rpartition('.')[0])}"
+                m = pictures[r["path"]]
+                for step, picture in images.processing_steps(images.decode_row(m["data"], m["height"], m["width"], m["nChannels"]), config):
+                    files[f"samples/{name}/{step}.png"] = images.encode_png(picture)
+                files[f"samples/{name}/features.csv"] = sinks.csv_text([{"feature": i, "value": v} for i, v in enumerate(r["features"])])
+                files[f"samples/{name}/neighbors.json"] = json.dumps(closest.get(r["sample_id"], []))
+                page.append({"sample": name, "path": r["path"], "expected": r["expected"], "predicted": r["predicted"], "margin": r["score_margin"]})
+    files["index.html"] = sinks.index_html(f"{model} on {s.source}", page)
+    sinks.write_bundle(frames, path, "overwrite")
+    sinks.write_files(spark, {k: v if isinstance(v, bytes) else v.encode() for k, v in files.items()}, path)
+    train.unpersist()
+    rows.unpersist()
+    return said
 
 
 def demo(spark: SparkSession) -> int:

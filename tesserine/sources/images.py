@@ -18,10 +18,24 @@ EVAL_FOLDERS = ("eval", "validation", "test")
 MASK_ENDINGS = ("_mask.png", ".png", "_mask.jpg", ".jpg")
 
 
-def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
-    """(path, image) of readable JPEG and PNG files; broken ones are left out."""
+def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = True, names: str = IMAGE_NAMES) -> DataFrame:
+    """(path, image) of readable files, JPEG and PNG unless other names are given; broken ones are left out, and ``unread`` tells them."""
     reader = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", recursive)
-    return reader.load(paths).where(F.col("image.origin").rlike(IMAGE_NAMES)).select(F.col("image.origin").alias("path"), "image")
+    path = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))  # the source writes blanks and other signs as %20 and so on
+    return reader.load(paths).where(F.col("image.origin").rlike(names)).select(path.alias("path"), "image")
+
+
+def within(path: str, root: str):
+    """A path below a root, without the root; others stay whole. So the same files have the same names wherever they lie."""
+    return F.regexp_replace(path, r"^.*?" + _escaped(root.rstrip("/").removeprefix("file:")) + "/", "")
+
+
+def unread(spark: SparkSession, paths: str | list[str], names: str = IMAGE_NAMES) -> DataFrame:
+    """(path) of files that have an image's name and can't be decoded: what ``read_images`` leaves out."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).where(F.col("path").rlike(names)).select("path")
+    plain = lambda c: F.regexp_replace(c, r"^file:/*", "/")  # the two sources write the scheme in different ways
+    read = read_images(spark, paths, names=names).select(plain("path").alias("__read"))
+    return listed.join(read, plain("path") == F.col("__read"), "left_anti")
 
 
 def stem(path):
@@ -63,28 +77,34 @@ def _resolved(path: str, base: str) -> str:
     return path if path.startswith("/") or "://" in path else base if path == "." else f"{base.rstrip('/')}/{path}"
 
 
-def read_image_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images with split, classes) of a manifest; a path may be a file or a folder with any depth. A class's number is its place by name in train."""
+def read_manifest_entries(spark: SparkSession, path: str) -> tuple[str, str, DataFrame]:
+    """(name, root, images with path, split, masks among them, class_name and source_name) of a manifest; a path in it may be a file or a folder of any depth."""
     text = "\n".join(r[0] for r in spark.read.text(path).collect())
-    entries = [e for e in parse_manifest(text, path.rpartition("/")[0]) if e[0] != "masks"]
+    folder, manifest = path.rpartition("/")[0], json.loads(text)
     parts = [
         read_images(spark, p).select("path", "image", F.lit(split).alias("split"), F.lit(name).alias("class_name"), F.lit(source).alias("source_name"))
-        for split, name, source, p in entries
+        for split, name, source, p in parse_manifest(text, folder)
     ]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p)
+    return manifest.get("name") or "image-manifest", _resolved(manifest.get("root") or ".", folder), rows
+
+
+def read_image_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(images with split, classes) of a manifest. A class's number is its place by name in train."""
+    rows = read_manifest_entries(spark, path)[2].where("split <> 'masks'")
     dim = label_dim(rows.where("split = 'train'"), "class_name")
     return remap_labels(rows, "class_name", dim), dim
 
 
-def industrial_entries(paths: DataFrame, root: str) -> DataFrame:
-    """(path, split, class_name, source_name) of an inspection category: train/good, test/good, test/<defect>, ground_truth/<defect>."""
+def industrial_entries(paths: DataFrame, root: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, split, class_name, source_name, keep) of an inspection category: train/good, test/good, test/<defect>, ground_truth/<defect>."""
     inside = F.regexp_extract("path", _escaped(root.rstrip("/")) + r"/(.*)/[^/]+$", 1)
     part, source = F.element_at(F.split(inside, "/"), 1), F.element_at(F.split(inside, "/"), -1)
     split = F.when(part == "train", "train").when(part == "test", "eval").when(part == "ground_truth", "masks")
     name = F.when(source == "good", "normal").otherwise("anomaly")
-    return paths.select("path", split.alias("split"), name.alias("class_name"), source.alias("source_name")).where("split is not null")
+    return paths.select("path", split.alias("split"), name.alias("class_name"), source.alias("source_name"), *keep).where("split is not null")
 
 
 def match_masks(entries: DataFrame) -> DataFrame:

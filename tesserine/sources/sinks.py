@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import html
+import io
+import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +66,30 @@ def index_html(title: str, rows: list[dict]) -> str:
     return f"<!doctype html><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>"
 
 
-def write_text(df_session, text: str, path: str) -> None:
-    """A small text through Spark's own file systems."""
-    df_session.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def write_files(spark: SparkSession, files: dict[str, bytes], path: str) -> None:
+    """Small files, by their names below a path, through Spark's own file systems; for reports and the few samples chosen for a closer look."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, data in files.items():
+        at = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+        out = at.getFileSystem(conf).create(at, True)
+        try:
+            out.write(bytearray(data), 0, len(data))
+        finally:
+            out.close()
+
+
+def csv_text(rows: list[dict]) -> str:
+    """Rows of one form as CSV with a header, nested values as JSON."""
+    out = io.StringIO()
+    if rows:
+        writer = csv.DictWriter(out, [*rows[0]], lineterminator="\n")
+        writer.writeheader()
+        writer.writerows([{k: json.dumps(v) if isinstance(v, (list, dict)) else v for k, v in r.items()} for r in rows])
+    return out.getvalue()
+
+
+def write_siblings(spark: SparkSession, out: str, tables: dict[str, list[dict]]) -> None:
+    """<out without its ending>.<name>.csv for each table."""
+    folder, _, name = out.rstrip("/").rpartition("/")
+    stem = name.rpartition(".")[0] or name
+    write_files(spark, {f"{stem}.{k}.csv": csv_text(rows).encode() for k, rows in tables.items()}, folder or ".")
