@@ -161,12 +161,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = QUE
     are used; vectors may differ in length, and the missing components count
     as zero. Scores are exact, and one that isn't a long raises. Queries are numbered and go
     out in blocks of at most ``query_block`` rows, one pass over all vectors
-    for each; only that many rows are ever on the driver or in a task. Each
-    task merges its own blocks' best, then the tasks' best are merged.
+    for each, finished before the next; only that many rows are ever on the
+    driver or in a task. Each task merges its own blocks' best, then the
+    tasks' best are merged.
 
     Ids equal to the query's are left out; ids that repeat compete as
-    separate rows; a query that repeats is answered once for each id. Empty
-    tables give no rows.
+    separate rows; of a query that repeats, one row is answered. Vectors of
+    any length are taken whole, and an empty one scores 0. Empty tables give
+    no rows.
     """
     spark = vectors.sparkSession
     queries = materialize(queries.dropDuplicates(["id"]), "queries")
@@ -174,7 +176,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = QUE
     numbered = queries.withColumn("__bucket", F.pmod(F.xxhash64("id"), F.lit(bucket_count(total))))
     if total > query_block:
         numbered = materialize(exact_rank(numbered, [], "__bucket", ["id"], "__n").withColumn("__block", F.expr(f"__n div {query_block}")), "blocks")
-    passes = []
+    found = None
     for b in range(max(1, -(-total // query_block))):
         own = numbered.where(F.col("__block") == b) if total > query_block else numbered
         table = own.select("id", "q").toArrow().combine_chunks()
@@ -182,12 +184,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = QUE
         lists = table.column("q").combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         sent = spark.sparkContext.broadcast((ids, lists.cast(pa.list_(lists.type.value_type))))
-        passes.append(vectors.mapInArrow(_search(sent, k), "query_id bigint, vec_id bigint, score bigint"))
-    found = passes[0]
-    for other in passes[1:]:
-        found = found.union(other)
+        best = vectors.mapInArrow(_search(sent, k), "query_id bigint, vec_id bigint, score bigint")
+        if total > query_block:  # each pass is finished and stored before the next block of queries goes out
+            best = materialize(_ranked(best, k).drop("rank"), "best")
+            sent.destroy()
+        found = best if found is None else found.union(best)
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
