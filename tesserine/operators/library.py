@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..errors import ConfigError, DimensionError, EmptyInputError
 from ..functions import bits as B
 from ..functions.vectors import EPSILON, METRICS, contributions, top_contributions
+from ..session import kept
 from .interval_model import as_matrix
 from .ranking import bucket_count, exact_rank
 
-#: Stored vectors that are sent to the tasks at once, and queries that are scored at once.
-REFERENCE_BLOCK, QUERY_BLOCK = 16_384, 64
+#: Vectors that are sent to the tasks at once, and queries that are scored at once.
+BLOCK, QUERY_BLOCK = 16_384, 64
 
 NEIGHBORS = "query_id bigint, ref_id bigint, label bigint, score double"
 
@@ -84,58 +85,104 @@ def best(scores: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int, by_lab
     return order[np.take_along_axis(at, inner, axis=1)]
 
 
-def _blocks(refs: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The stored vectors in blocks of bounded size: (ids, labels, matrix)."""
-    n = refs.count()
-    if not n:
-        raise EmptyInputError("the library is empty")
-    if n > REFERENCE_BLOCK:
-        keyed = refs.withColumn("__bucket", F.pmod(F.xxhash64("ref_id"), F.lit(bucket_count(n))))
-        refs = exact_rank(keyed, [], "__bucket", ["ref_id"], "__n").withColumn("__block", F.expr(f"__n div {REFERENCE_BLOCK}")).persist()
-    for b in range(-(-n // REFERENCE_BLOCK)):
-        table = (refs.where(F.col("__block") == b) if n > REFERENCE_BLOCK else refs).select("ref_id", "label", "vector").toArrow().combine_chunks()
-        lists = table.column("vector").combine_chunks()
-        yield table.column("ref_id").to_numpy(), table.column("label").to_numpy(), as_matrix(lists)
+def _blocks(rows: DataFrame, key: str, n: int, columns: list[str]) -> Iterator[pa.Table]:
+    """The rows in blocks of at most BLOCK, one after the other."""
+    if n > BLOCK:
+        keyed = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(bucket_count(n))))
+        rows = kept(exact_rank(keyed, [], "__bucket", [key], "__n").withColumn("__block", F.expr(f"__n div {BLOCK}")).select(*columns, "__block"))
+    for b in range(-(-n // BLOCK)):
+        yield (rows.where(F.col("__block") == b) if n > BLOCK else rows).select(*columns).toArrow().combine_chunks()
+
+
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    lists = table.column("vector")
+    return as_matrix(lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists)
+
+
+def _column(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    column = table.column(name)
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
+def _found(queries, refs, k: int, scorer, by_label: bool, exclude_self: bool) -> tuple[np.ndarray, ...]:
+    """(query, ref, label, score) of the k best of some stored vectors for each of some queries."""
+    own, q, ids, labels, r = _column(queries, "query_id"), _matrix(queries), _column(refs, "ref_id"), _column(refs, "label"), _matrix(refs)
+    if q.shape[1] != r.shape[1]:
+        raise DimensionError(f"{q.shape[1]} features, expected {r.shape[1]}")
+    parts = []
+    for begin in range(0, len(own), QUERY_BLOCK):
+        mine = own[begin : begin + QUERY_BLOCK]
+        scores = scorer(q[begin : begin + QUERY_BLOCK], r)
+        if exclude_self:
+            scores = np.where(mine[:, None] == ids[None, :], -np.inf, scores)
+        at = best(scores, ids, labels, k, by_label)
+        s = np.take_along_axis(scores, at, axis=1)
+        keep = s > -np.inf
+        parts.append((np.broadcast_to(mine[:, None], at.shape)[keep], ids[at][keep], labels[at][keep].astype(np.int64), s[keep]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], k: int, by_label: bool) -> tuple[np.ndarray, ...]:
+    """The k best of both for each query."""
+    q, r, label, s = (np.concatenate(x) for x in zip(a, b))
+    order = np.lexsort((r, label, -s, q) if by_label else (r, -s, q))
+    q = q[order]
+    keep = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+    return q[np.arange(len(q)) - np.searchsorted(q, q) < k], r[keep], label[keep], s[keep]
 
 
 def _search(queries: DataFrame, refs: DataFrame, k: int, scorer, by_label: bool, exclude_self: bool) -> DataFrame:
-    """Top k of each query: a pass over the queries for each block of stored vectors, then a merge by query."""
-    spark, passes = queries.sparkSession, []
-    for block in _blocks(refs):
-        sent = spark.sparkContext.broadcast(block)
+    """Top k of each query.
+
+    The smaller side goes out in blocks of bounded size, one after the other;
+    the other stays where it is and is passed over once for each block. A task
+    keeps only the k best of what it has seen for each query, and these are
+    merged by query. With several blocks each pass is finished before the next.
+    """
+    stored = refs.count()
+    if not stored:
+        raise EmptyInputError("the library is empty")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    number = queries.count()
+    names, ties = ["query_id", "ref_id", "label", "score"], ["label", "ref_id"] if by_label else ["ref_id"]
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ties)
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    send_queries = 0 < number < stored
+    columns, key, sent_rows, n = (["query_id", "vector"], "query_id", asked, number) if send_queries else (["ref_id", "label", "vector"], "ref_id", refs, stored)
+    passed = refs.select("ref_id", "label", "vector") if send_queries else asked
+
+    found = None
+    for table in _blocks(sent_rows, key, n, columns):
+        sent = queries.sparkSession.sparkContext.broadcast(table)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, labels, matrix = sent.value
+            kept_ = None
             for batch in batches:
-                for begin in range(0, batch.num_rows, QUERY_BLOCK):
-                    part = batch.slice(begin, QUERY_BLOCK)
-                    q, own = as_matrix(part.column("vector")), part.column("query_id").to_numpy(zero_copy_only=False)
-                    if q.shape[1] != matrix.shape[1]:
-                        raise DimensionError(f"{q.shape[1]} features, expected {matrix.shape[1]}")
-                    scores = scorer(q, matrix)
-                    if exclude_self:
-                        scores = np.where(own[:, None] == ids[None, :], -np.inf, scores)
-                    at = best(scores, ids, labels, k, by_label)
-                    s = np.take_along_axis(scores, at, axis=1)
-                    keep = s > -np.inf
-                    query = np.broadcast_to(own[:, None], at.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (query, ids[at], labels[at].astype(np.int64), s)], names=["query_id", "ref_id", "label", "score"])
-
-        passes.append(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(search, NEIGHBORS))
-    found = passes[0]
-    for other in passes[1:]:
-        found = found.union(other)
-    ties = ["label", "ref_id"] if by_label else ["ref_id"]
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ties)
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+                if not batch.num_rows:
+                    continue
+                if send_queries:
+                    for begin in range(0, batch.num_rows, BLOCK):
+                        own = _found(sent.value, batch.slice(begin, BLOCK), k, scorer, by_label, exclude_self)
+                        kept_ = own if kept_ is None else _merged(kept_, own, k, by_label)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _found(batch, sent.value, k, scorer, by_label, exclude_self)], names=names)
+            if kept_ is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept_], names=names)
+
+        rows = top(passed.mapInArrow(search, NEIGHBORS))
+        if n > BLOCK:
+            rows = kept(rows.drop("rank"))
+            sent.destroy()
+        found = rows if found is None else found.unionByName(rows)
+    return found if n <= BLOCK else top(found)
 
 
 def top_k(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean", threshold: float = 0.5, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, ref_id, label, score): the k most similar stored vectors, ties to the smaller id.
 
     ``queries`` has query_id and vector; ``refs`` has ref_id, vector, label.
-    Stored vectors go out in blocks of bounded size; queries stay where they
-    are. Only k rows for each query and block are shuffled.
+    The smaller side goes out in blocks of bounded size; the other stays where
+    it is. Only k rows for each query, task and block are shuffled.
     """
     if metric not in METRICS:
         raise ConfigError(f"unknown metric {metric}")

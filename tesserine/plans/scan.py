@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, EmptyInputError
 from ..operators import anomaly, images, metrics, prep
+from ..session import kept
 from ..sources import images as image_sources
 
 if TYPE_CHECKING:
@@ -123,7 +124,7 @@ def run_scan(category: Category, s: Settings, evaluated: DataFrame | None = None
         refs = prep.min_max_scale(refs, ranges, "vector")
         others = prep.min_max_scale(patches.where("role <> 'ref'"), ranges, "vector")
         scored = anomaly.patch_scores(others, refs, s.metric).drop("vector")
-        scored = _kept(scored)
+        scored = kept(scored)
         threshold = anomaly.calibrate(anomaly.image_scores(scored.where("role in ('cal', 'both')"), s.fraction), s.quantile).first()["threshold"]
         count = part.groupBy("role").count().collect()
         by_role = {r["role"]: r["count"] for r in count}
@@ -135,7 +136,7 @@ def run_scan(category: Category, s: Settings, evaluated: DataFrame | None = None
     named = held.select("image_id", "path", "class_name", "source_name", "expected", "mask_path")
     verdicts = anomaly.image_scores(scored, s.fraction).withColumns({"threshold": F.lit(threshold), "predicted": F.col("score") >= threshold})
     found = scored.join(named, "image_id")
-    truth = _kept(against_masks(found, category.masks, threshold))
+    truth = kept(against_masks(found, category.masks, threshold))
     results = verdicts.join(named, "image_id").join(truth.select("image_id", F.col("iou").alias("mask_iou")), "image_id", "left")
     overlaps = truth.select(F.explode("overlaps").alias("o")).select("o.patch_id", "o.ratio")
     ratio = F.when(F.col("expected"), F.col("ratio")).otherwise(0.0)  # a normal image has no defect; a defect without a mask can't be told
@@ -144,12 +145,6 @@ def run_scan(category: Category, s: Settings, evaluated: DataFrame | None = None
     return Scanned(results, patches, threshold, counts)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint where the session has a folder for it, else by keeping the rows in memory and on disk."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if folder else df.persist()
-
-
 def report(scanned: Scanned) -> dict:
     """The measures of a scan: of images, and of patches where masks tell them apart (null without masks)."""
     results = scanned.results.persist()

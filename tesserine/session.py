@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
@@ -19,3 +19,13 @@ def get_session(name: str = "tesserine", **settings: str) -> SparkSession:
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, computed once: by a checkpoint where the session has a folder for it, which survives lost executors; else kept in memory and on disk."""
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    rows = df.persist()
+    rows.count()
+    return rows

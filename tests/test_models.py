@@ -132,13 +132,24 @@ def test_library(spark):
         library.Library(refs(spark, [((1,), 0), ((1, 2), 1)]))
 
 
-def test_many_blocks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("asked", [20, 50, 80])
+def test_many_blocks_give_the_same(spark, monkeypatch, asked):
+    """Either side goes out, in one block or in many; equal scores go to the smaller label or id."""
     rng = np.random.default_rng(3)
     rows = [(rng.random(4).round(1), int(rng.integers(0, 3))) for _ in range(50)]
-    q = query(spark, *[v for v, _ in rows[:20]])
-    whole = sorted(map(tuple, library.top_k(q, refs(spark, rows), 4).collect()))
-    monkeypatch.setattr(library, "REFERENCE_BLOCK", 7)
-    assert sorted(map(tuple, library.top_k(q, refs(spark, rows), 4).collect())) == whole
+    q = query(spark, *[rng.random(4).round(1) for _ in range(asked)]).repartition(3)
+    stored = refs(spark, rows).repartition(4)
+    distance = lambda x, y: 1 / (1 + sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5)
+    for block in (16_384, 7):
+        monkeypatch.setattr(library, "BLOCK", block)
+        got = {}
+        for r in library.top_k(q, stored, 4).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.ref_id))
+        for r in q.collect():
+            best = sorted((-distance(r.vector, v), i) for i, (v, _) in enumerate(rows))[:4]
+            assert sorted(got[r.query_id]) == [(k + 1, i) for k, (_, i) in enumerate(best)]
+        bits = [sorted(map(tuple, library.top_k_bits(q, stored, 3, 0.5).select("query_id", "rank", "ref_id", "score").collect()))]
+    assert bits[0] == bits[-1] and len(bits[0]) == 3 * asked
 
 
 def test_bits():
