@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from functools import cache
 from math import ceil, comb
 
@@ -19,11 +20,25 @@ from .store import materialize, plain_names, read_table, scratch
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Retained values of the sketches of all texts, of those that the rounds of pruning leave, and the chance of missing a pair in a round.
-K_FIRST, K_NEXT, K, MISS = 32, 128, 512, 1e-9
+#: The chance of missing a pair in a round of pruning.
+MISS = 1e-9
 #: Members of an inverted list in a block; 64-bit words of a parity sketch.
 LIST_BLOCK, WORDS_OF_PARITY = 64, 16
 
+
+@dataclass(frozen=True)
+class Sketches:
+    """Values that are retained of the sets of all texts, and of those that the rounds of pruning leave."""
+
+    first: int = 32
+    middle: int = 128
+    last: int = 512
+
+
+#: Nothing is left to chance: whole sets are their own sketches.
+WHOLE = 2**31 - 1
+EXACT = Sketches(WHOLE, WHOLE, WHOLE)
+
 # --- shingle sets ---------------------------------------------------------------------------------
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -84,14 +99,14 @@ def _sketches(texts: pa.Array, k: int, parity: bool) -> pa.Array:
     return pa.array(rows, pa.struct(fields))
 
 
-@arrow_udf(_SKETCH_TYPE)
-def _first_sketch(texts: pa.Array) -> pa.Array:
-    return _sketches(texts, K_FIRST, False)
+def _sketch(text, k: int, parity: bool = False):
+    """A column with the size, the digest and the k least values of a text's set, and its parity sketch if asked for."""
 
+    @arrow_udf(T.StructType([*_SKETCH_TYPE.fields, T.StructField("parity", _LONGS)]) if parity else _SKETCH_TYPE)
+    def sketch(texts: pa.Array) -> pa.Array:
+        return _sketches(texts, k, parity)
 
-@arrow_udf(T.StructType([*_SKETCH_TYPE.fields, T.StructField("parity", _LONGS)]))
-def _sketch(texts: pa.Array) -> pa.Array:
-    return _sketches(texts, K, True)
+    return sketch.asNondeterministic()(text)
 
 
 @arrow_udf(T.ArrayType(T.LongType()))
@@ -125,13 +140,16 @@ def least_shared(k: int) -> int:
 
 def needed_overlap(n: str, k: int) -> str:
     """SQL for the values that the sketches of k of a set of n and of any linked set share. Exact where no union exceeds k."""
-    return f"if(100 * {n} <= {PERCENT} * {k}, ({PERCENT} * {n} + 99) div 100, least(({PERCENT} * {n} + 99) div 100, {least_shared(k)}))"
+    return _bounded(n, k, f"({PERCENT} * {n} + 99) div 100")
 
 
 def needed_by_smaller(n: str, k: int) -> str:
     """The same for linked sets that are at least as large: they share PERCENT / (100 + PERCENT) of both sizes."""
-    exact = f"({2 * PERCENT} * {n} + {99 + PERCENT}) div {100 + PERCENT}"
-    return f"if(100 * {n} <= {PERCENT} * {k}, {exact}, least({exact}, {least_shared(k)}))"
+    return _bounded(n, k, f"({2 * PERCENT} * {n} + {99 + PERCENT}) div {100 + PERCENT}")
+
+
+def _bounded(n: str, k: int, exact: str) -> str:
+    return exact if k >= WHOLE else f"if(100 * {n} <= {PERCENT * k}, {exact}, least({exact}, {least_shared(k)}))"
 
 
 # --- candidates -----------------------------------------------------------------------------------
@@ -145,7 +163,7 @@ def _survivors(nodes: DataFrame, k: int) -> DataFrame:
     return shared.where(f"size(shared) >= {needed_overlap('n', k)}")
 
 
-def inverted_lists(nodes: DataFrame) -> DataFrame:
+def inverted_lists(nodes: DataFrame, k: Sketches = Sketches()) -> DataFrame:
     """(v, node, n, as_smaller): the retained values through which every linked pair meets.
 
     Two linked sets share at least o of the s retained values of either, so
@@ -156,26 +174,26 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     share fewer than o values with any others are gone. So a passage that
     many texts share takes part only where it makes up most of a text.
     """
-    left = materialize(_survivors(nodes, K_NEXT).select("node", "n"), "survivors")
-    last = materialize(_survivors(nodes.join(left, ["node", "n"], "left_semi"), K), "survivors")
-    length = lambda o: f"int(least(n, {K}) - ({o}) + 1 - (least(n, {K}) - size(shared)))"
-    cut = last.withColumns({"larger": F.expr(length(needed_overlap("n", K))), "smaller": F.expr(length(needed_by_smaller("n", K)))})
+    left = materialize(_survivors(nodes, k.middle).select("node", "n"), "survivors")
+    last = materialize(_survivors(nodes.join(left, ["node", "n"], "left_semi"), k.last), "survivors")
+    length = lambda o: f"int(least(n, {k.last}) - ({o}) + 1 - (least(n, {k.last}) - size(shared)))"
+    cut = last.withColumns({"larger": F.expr(length(needed_overlap("n", k.last))), "smaller": F.expr(length(needed_by_smaller("n", k.last)))})
     lists = cut.where("larger > 0").select("node", "n", "smaller", F.posexplode(F.slice("shared", F.lit(1), F.col("larger"))).alias("at", "x"))
     lists = lists.groupBy(F.col("x.v").alias("v"), "node", "n").agg(F.max(F.col("at") < F.col("smaller")).alias("as_smaller"))
     return materialize(lists, "lists")
 
 
-def _union_sketch_passes(a: str, b: str) -> str:
+def _union_sketch_passes(a: str, b: str, k: int) -> str:
     """SQL: whether as many of the union's k least values are shared as a linked pair has."""
-    union = f"slice(array_sort(array_union({a}, {b})), 1, {K})"
+    union = f"slice(array_sort(array_union({a}, {b})), 1, {k})"
     shared = f"size(array_intersect(array_intersect({union}, {a}), {b}))"
-    return f"{shared} >= {needed_overlap(f'size({union})', K)}"
+    return f"{shared} >= {needed_overlap(f'size({union})', k)}"
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) whose union's sketch lets a link be possible."""
     at = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"))
-    return pairs.join(at("a"), "a").join(at("b"), "b").where(_union_sketch_passes("sa", "sb")).select("a", "b").distinct()
+    return pairs.join(at("a"), "a").join(at("b"), "b").where(_union_sketch_passes("sa", "sb", k)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -238,12 +256,12 @@ def _apart(lists: DataFrame, parts: DataFrame, sketches: DataFrame) -> DataFrame
     return meet.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: Sketches = Sketches()) -> DataFrame:
     """(__id, __n_shingles, __component) for every row of ``docs``.
 
-    1. Each text becomes a set of shingle hashes and its K_FIRST least values.
+    1. Each text becomes a set of shingle hashes and its k.first least values.
        Equal sets, by a 128-bit digest, are one node under the least id.
-       Only nodes whose values are shared enough get sketches of K values.
+       Only nodes whose values are shared enough get sketches of k.last values.
     2. Inverted lists of retained values, only those that a linked pair must
        meet in (``inverted_lists``).
     3. Each member of a list is paired with the list's least node, the union's
@@ -253,31 +271,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
        pair that meets is either linked through others or checked itself,
        without all pairs within a group of copies.
 
-    A linked pair is missed with a chance of a few MISS at most; links
-    themselves are confirmed on full sets. Null and empty texts have no
+    A linked pair of sets too large for the sketches is missed with a chance
+    of a few MISS at most, and with ``EXACT``, which retains whole sets, never;
+    links themselves are confirmed on full sets. Null and empty texts have no
     shingles and are alone. Rows that share an id count as one document; a
     row with a null id is alone, with a null component. An empty table stays
     empty; texts of any length count whole. What is stored on the way goes at the end.
     """
     with scratch(docs.sparkSession):
         slim = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-        seen = slim.select("__id", _first_sketch.asNondeterministic()("__text").alias("s")).select("__id", "s.*")
+        seen = slim.select("__id", _sketch("__text", k.first).alias("s")).select("__id", "s.*")
         seen = materialize(seen, "sketches")
         full = seen.where("__id is not null and n > 0")
         nodes = full.groupBy("digest").agg(F.min(F.struct("__id", "n", "sketch")).alias("x"))
         nodes = materialize(nodes.select(F.col("x.__id").alias("node"), "x.n", "x.sketch", "digest"), "nodes")
-        left = materialize(nodes.join(_survivors(nodes, K_FIRST).select("node", "n"), ["node", "n"], "left_semi").select("node", "digest"), "survivors")
-        again = slim.join(left, slim["__id"] == left["node"], "left_semi").select("__id", _sketch.asNondeterministic()("__text").alias("s"))
+        left = materialize(nodes.join(_survivors(nodes, k.first).select("node", "n"), ["node", "n"], "left_semi").select("node", "digest"), "survivors")
+        again = slim.join(left, slim["__id"] == left["node"], "left_semi").select("__id", _sketch("__text", k.last, True).alias("s"))
         again = again.select(F.col("__id").alias("node"), "s.*").join(left, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"])
         sketches = materialize(again.select("node", "n", "sketch", "parity"), "sketches")
-        lists = inverted_lists(sketches)
+        lists = inverted_lists(sketches, k)
 
         pivots = lists.groupBy("v").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
         stars = lists.join(pivots, "v").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-        edges = materialize(_verified(materialize(_estimated(stars, sketches), "pairs"), slim), "edges")
+        edges = materialize(_verified(materialize(_estimated(stars, sketches, k.last), "pairs"), slim), "edges")
         parts = materialize(components(edges), "parts")
 
-        apart = materialize(_estimated(_apart(lists, parts, sketches), sketches), "pairs")
+        apart = materialize(_estimated(_apart(lists, parts, sketches), sketches, k.last), "pairs")
         edges = edges.union(_verified(apart, slim))
         same_id = full.groupBy("__id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("__id")
         copies = nodes.select("digest", "node")
@@ -312,3 +331,19 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__component").alias("component_id"),
         F.coalesce(F.col("__id") == F.col("__component"), F.lit(True)).alias("kept"),
     )
+
+
+#: All pairs that share a shingle, and what they reach; for tables that bear it.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w
+), n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1
+), e AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+), r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT doc_id, n AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM n JOIN r USING (doc_id) GROUP BY doc_id, n
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_tokens
 from .lines import OP5_SQL, op5_line_dedup
-from .neardup import op6_near_dedup
+from .neardup import OP6_SQL, op6_near_dedup
 from .packing import op3_packing
 from .pieces import op7_pieces
 from .quality import OP2_SQL, op2_quality
@@ -30,6 +30,7 @@ ORACLE_SQL = {
     "op1_shards": OP1_SQL,
     "op2_quality": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op6_near_dedup": OP6_SQL,
     "op8_topk": OP8_SQL,
     "op9_secrets": OP9_SQL,
     "op10_urls": OP10_SQL,

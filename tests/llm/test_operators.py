@@ -301,6 +301,21 @@ def test_near_duplicates(spark, seed):
     assert {r[0]: (r[1], r[2]) for r in found} == brute_components(list(enumerate(texts)))
 
 
+def test_exact_near_duplicates_of_large_sets(spark):
+    """Sets far beyond the sketches, just above and just below the bound."""
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10**9)}" for _ in range(3000)]
+    texts = [" ".join(base)]
+    for changed in (60, 80, 84, 86, 88, 100):
+        words = list(base)
+        for i in rng.sample(range(10, 2990, 10), changed):
+            words[i] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    found = neardup.near_duplicates(docs_of(spark, texts), k=neardup.EXACT).collect()
+    want = brute_components(list(enumerate(texts)))
+    assert {r[0]: (r[1], r[2]) for r in found} == want and len({c for _, c in want.values()}) > 1
+
+
 def test_near_duplicates_of_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     found = neardup.op6_near_dedup(spark, sf_dir).collect()
