@@ -85,7 +85,15 @@ def materialize(df: DataFrame, label: str, outlive: bool = False) -> DataFrame:
     scopes = _open.get()[: -1 if outlive else None]
     if scopes:
         scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored = path
+    return stored
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` has stored; nothing may read it any more. Other tables stay."""
+    if path := getattr(df, "_stored", None):
+        remove(df.sparkSession, path)
 
 
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
