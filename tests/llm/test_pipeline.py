@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 
@@ -81,11 +82,12 @@ def brute_pieces(docs):
 def test_every_stage_of_run_against_brute_force(spark, sf_dir, monkeypatch):
     seen, store = [], corpus_pipeline.materialize
 
-    def kept(df, label):
-        seen.append(store(df, label))
+    def kept(df, label, **options):
+        seen.append(store(df, label, **options))
         return seen[-1]
 
     monkeypatch.setattr(corpus_pipeline, "materialize", kept)
+    monkeypatch.setattr(corpus_pipeline, "release", lambda docs: None)  # all stages' results are read below
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     docs = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows = lambda docs: sorted((tuple(d.values()) for d in docs), key=repr)
@@ -123,3 +125,38 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_odd_rows_through_all_stages(spark, sf_dir):
+    """Nulls in any column, empty and long texts, repeated rows, columns with the operators' own names."""
+    words = lambda n, k: " ".join(f"w{(i * 7919 + k) % 100_003}" for i in range(n))
+    line = "a line of more than forty characters that is in many documents"
+    texts = [None, "", "  ", words(60, 1), words(60, 1), words(30_000, 2), words(50, 3) + " token=abcdefghijkl0123"]
+    texts += [f"{words(55, 10 + i)}\n{line}" for i in range(6)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or ""), i, i, i, i) for i, t in enumerate(texts)]
+    rows += [rows[3], (None, words(70, 50), None, None, None, None, None, None, None)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "__id", "__Blob", "c1", "kept"]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'lang', 'source') else 'bigint'}" for n in names))
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "odd")
+        assert docs.columns == names
+        seen.append(docs.collect())
+    quality, lines, near, secret = ([r.doc_id for r in s] for s in seen)
+    assert sorted(quality, key=str) == sorted([3, 3, 4, 5, 6, *range(7, 13), None], key=str)
+    assert {r.doc_id for r in seen[1] if line in r.text} == {12}
+    assert sorted(near, key=str) == sorted([3, 3, 5, 6, *range(7, 13), None], key=str)  # the copy of 3 goes, both rows of 3 stay
+    assert [r.text for r in seen[3] if r.doc_id == 6] == [words(50, 3) + " [secret]"]
+    assert all(r["__id"] == r.doc_id == r.c1 for r in seen[3])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert packed.where("piece = 0").count() == len(secret)
+
+
+def test_run_leaves_only_its_result(spark, sf_dir):
+    from tesserine.llm import store
+
+    folder = f"{store.shared_dir(spark)}/tesserine".removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = set(os.listdir(folder)) - before
+    assert {x.rpartition("-")[0] for x in left} == {"packing"} and out.count() > 0
