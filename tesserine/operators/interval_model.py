@@ -17,6 +17,8 @@ from ..errors import ConfigError, DimensionError, EmptyInputError, UnsupportedCo
 from ..functions.vectors import EPSILON, argmax_last
 from .intervals import Distributor, Intervals, encode_array, fit_intervals
 
+#: Weights of a step from which on a group of outputs is worth a copy of the samples.
+STEP_WEIGHTS = 50_000
 CORRECTIONS = ("least-squares", "proportional", "ratio")
 
 
@@ -98,7 +100,7 @@ class IntervalModel:
     # constructors
 
     @classmethod
-    def with_unit_ranges(cls, features: int, intervals: int, outputs: int, distributor: Distributor = Distributor("hard"), **options) -> IntervalModel:
+    def with_unit_ranges(cls, features: int, intervals: int, outputs: int, distributor: Distributor = Distributor(), **options) -> IntervalModel:
         return cls(Intervals(intervals, (0.0,) * features, (1.0,) * features, None, distributor), outputs, **options)
 
     @classmethod
@@ -150,10 +152,19 @@ class IntervalModel:
         after = forward_array(np.array([x], dtype=float), self.weights, self.intervals)[0]
         return {"output_before": before.tolist(), "output_after": after.tolist(), "error_before": error.tolist(), "mse_before": float(np.mean(error**2)), "active_count": int(valid.sum())}
 
+    def _groups(self, spark: SparkSession) -> int:
+        return max(1, min(self.outputs, spark.sparkContext.defaultParallelism, self.intervals.features * self.outputs // STEP_WEIGHTS))
+
     def prepare(self, samples: DataFrame, label: str = "label", order: str = "ord", vector: str = "features") -> DataFrame:
-        """Samples dealt out by groups of outputs and put in training order; cache it when several epochs follow."""
-        spark = samples.sparkSession
-        groups = max(1, min(self.outputs, spark.sparkContext.defaultParallelism))
+        """Samples in training order, dealt out by groups of outputs where there are several; cache it when several epochs follow.
+
+        The order is what online training is, so each group is one task that
+        all samples go through; for tables where that takes too long there is
+        ``train_epoch_batch``, whose tasks share the samples. Groups only pay,
+        and samples are only copied for them, where a step corrects so many
+        weights that numpy takes longer than the loop around it.
+        """
+        groups = self._groups(samples.sparkSession)
         rows = samples.select(F.col(order).alias("ord"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
         return rows.repartitionByRange(groups, "part").sortWithinPartitions("part", "ord")
 
@@ -169,7 +180,7 @@ class IntervalModel:
         correction = self.correction
         if epoch_mode == "reference" and correction.mode != "ratio":
             correction = replace(correction, mode="least-squares")
-        groups = max(1, min(self.outputs, prepared.sparkSession.sparkContext.defaultParallelism))
+        groups = self._groups(prepared.sparkSession)
         weights, counts, intervals, outputs = self.weights, self.counts, self.intervals, self.outputs
 
         def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ DISTRIBUTORS = ("hard", "triangular", "gaussian")
 class Distributor:
     """How a value activates intervals: the one it is in, the two around it, or a truncated bell."""
 
-    kind: str = "triangular"
+    kind: str = "hard"
     radius: int = 1
     sigma: float = 1.0
 
@@ -33,6 +33,10 @@ class Distributor:
         return {"hard": 1, "triangular": 2, "gaussian": 2 * self.radius + 1}[self.kind]
 
 
+#: What whole commands use.
+TRIANGULAR = Distributor("triangular")
+
+
 @dataclass(frozen=True)
 class Intervals:
     """Fitted intervals of all features: ends, and inner and outer edges if they were fitted to quantiles."""

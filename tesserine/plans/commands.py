@@ -15,6 +15,7 @@ from ..errors import ConfigError
 from ..functions import bits
 from ..operators import centroid, failures, images, library, metrics, prep
 from ..operators.interval_model import Correction, IntervalModel, learning_curve
+from ..operators.intervals import TRIANGULAR
 from ..sources import images as image_sources
 from ..sources import sinks
 from ..sources import vectors as vector_sources
@@ -179,7 +180,7 @@ def predictions(s: Settings, model: str, train: DataFrame, test: DataFrame, clas
     """((sample_id, expected, predicted) of the test part, bytes of the model)."""
     width = prep.check_rectangular(train)
     if model == "interval":
-        fitted = IntervalModel.from_training_data(train, s.intervals, classes, correction=Correction(s.correction))
+        fitted = IntervalModel.from_training_data(train, s.intervals, classes, distributor=TRIANGULAR, correction=Correction(s.correction))
         fitted.fit(train, s.epochs, s.epoch_mode)
         out, size = fitted.predict(test), fitted.memory_bytes()
     elif model == "centroid":
@@ -211,7 +212,7 @@ def train_artifact(spark: SparkSession, s: Settings, path: str) -> IntervalModel
     """An interval model of all data, shuffled, with its scaling ranges and classes beside it."""
     samples, dim = load(spark, s)
     train, _, ranges = scaled(prep.train_test_split(samples, 0.0, s.seed), samples)
-    model = IntervalModel.from_training_data(train, s.intervals, dim.count(), correction=Correction(s.correction))
+    model = IntervalModel.from_training_data(train, s.intervals, dim.count(), distributor=TRIANGULAR, correction=Correction(s.correction))
     model.fit(train, s.epochs, s.epoch_mode)
     model.save(spark, path, settings=asdict(s))
     ranges.write.mode("overwrite").parquet(f"{path}/ranges")
@@ -246,7 +247,7 @@ def curve(spark: SparkSession, s: Settings) -> list[dict]:
     """Errors and accuracies by epoch, until the target."""
     train, test, dim = split(spark, s)
     train, test, _ = scaled(train, test)
-    model = IntervalModel.from_training_data(train, s.intervals, dim.count(), correction=Correction(s.correction))
+    model = IntervalModel.from_training_data(train, s.intervals, dim.count(), distributor=TRIANGULAR, correction=Correction(s.correction))
     return learning_curve(model, train, test, s.epochs, s.target_mse)
 
 

@@ -19,7 +19,7 @@ def ordered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fresh(samples: DataFrame, **correction) -> IntervalModel:
-    return IntervalModel.from_training_data(samples, D, OUTPUTS, correction=Correction(**correction))
+    return IntervalModel.from_training_data(samples, D, OUTPUTS, distributor=I.TRIANGULAR, correction=Correction(**correction))
 
 
 def weights_out(spark: SparkSession, model: IntervalModel, counts: bool = True) -> DataFrame:
@@ -83,7 +83,7 @@ def fixed_model(samples: DataFrame) -> IntervalModel:
     """Weights by a formula, so that inference can be held against SQL."""
     import numpy as np
 
-    model = IntervalModel.from_training_data(samples, 4, OUTPUTS)
+    model = IntervalModel.from_training_data(samples, 4, OUTPUTS, distributor=I.TRIANGULAR)
     f, i, o = np.indices(model.weights.shape)
     model.weights = ((f * 7 + i * 3 + o * 5) % 11 - 5) / 10.0
     return model
@@ -133,7 +133,7 @@ def train_evaluate(spark: SparkSession, d: str) -> DataFrame:
     train, test = v.where("split = 'train'"), v.where("split = 'test'")
     ranges = prep.min_max_ranges(train)
     train, test = prep.min_max_scale(train, ranges), prep.min_max_scale(test, ranges)
-    model = IntervalModel.from_training_data(train, 8, OUTPUTS)
+    model = IntervalModel.from_training_data(train, 8, OUTPUTS, distributor=I.TRIANGULAR)
     model.fit(train, 3)
     told = model.predict(test).select("sample_id", F.col("label").alias("expected"), "predicted")
     return metrics.per_class_accuracy(told, classes(spark, d))

@@ -120,7 +120,7 @@ def encode_hard(spark: SparkSession, d: str) -> DataFrame:
 
 def encode_triangular(spark: SparkSession, d: str) -> DataFrame:
     v = scaled(spark, d)
-    return entries(I.encode(v, I.fit_intervals(v, 4)))
+    return entries(I.encode(v, I.fit_intervals(v, 4, distributor=I.TRIANGULAR)))
 
 
 def encode_gaussian(spark: SparkSession, d: str) -> DataFrame:
@@ -130,12 +130,12 @@ def encode_gaussian(spark: SparkSession, d: str) -> DataFrame:
 
 def encode_quantile(spark: SparkSession, d: str) -> DataFrame:
     v = event_values(spark, d)
-    return entries(I.encode(v, I.fit_intervals(v, 6, "quantile")))
+    return entries(I.encode(v, I.fit_intervals(v, 6, "quantile", distributor=I.TRIANGULAR)))
 
 
 def activation_matrix(spark: SparkSession, d: str) -> DataFrame:
     v = scaled(spark, d)
-    out = I.activation_matrix(I.encode(v, I.fit_intervals(v, 4)), "sample_id", 4)
+    out = I.activation_matrix(I.encode(v, I.fit_intervals(v, 4, distributor=I.TRIANGULAR)), "sample_id", 4)
     return out.select("sample_id", "k", r6("a").alias("a"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, boxes, failures, images, metrics, prep
 from ..operators.library import top_k_bits, vote
 from ..plans import matrix, search
-from ..sources.vectors import synthetic_lines, synthetic_points
+from ..sources import sinks
+from ..sources.vectors import JITTER, synthetic_lines, synthetic_points, uniform_sql
 from ..streaming.scoring import window_rates
 from .base import (
     PREDICTIONS_SQL,
@@ -281,7 +282,28 @@ def box_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic_points(spark)[0]
+    rows, dim = synthetic_points(spark)
+    return rows.join(dim, "label").select("sample_id", "label", "class_name", *(r6(F.col("features")[i]).alias(c) for i, c in enumerate("xy")))
+
+
+def line_images(spark: SparkSession, d: str) -> DataFrame:
+    rows, dim = synthetic_lines(spark)
+    long = rows.join(dim, "label").select("sample_id", "class_name", F.posexplode("features").alias("i", "value"))
+    return long.select("sample_id", "class_name", F.col("i").cast("long").alias("i"), r6("value").alias("value"))
+
+
+def formatted(spark: SparkSession, d: str) -> DataFrame:
+    """The reports' flat texts, from counts of orders by priority and status."""
+    t = table(spark, d, "orders")
+    per = t.groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("correct"), F.count(F.lit(1)).alias("total"))
+    per = per.select(F.struct(F.col("o_orderpriority").alias("class_name"), (F.col("correct") / F.col("total")).alias("accuracy"), "correct", "total").alias("s"))
+    counts = t.groupBy("o_orderpriority").agg(*(F.count_if(F.col("o_orderstatus") == x).alias(x) for x in "FOP"))
+    rows = counts.select(F.struct(F.col("o_orderpriority").alias("actual_name"), F.array("F", "O", "P").alias("predicted_counts")).alias("c"))
+    scores = t.groupBy("o_orderpriority").agg(F.round(F.avg(F.col("o_orderkey") % 100), 3).alias("score"))
+    scores = scores.select(F.struct(F.col("o_orderpriority").alias("class_name"), "score").alias("p"))
+    gathered = lambda df, c: df.agg(F.array_sort(F.collect_list(c)).alias(c))
+    one = gathered(per, "s").crossJoin(gathered(rows, "c")).crossJoin(gathered(scores, "p"))  # three rows of one each
+    return one.select(sinks.format_per_class("s").alias("per_class"), sinks.format_confusion("c").alias("confusion"), sinks.format_scores("p").alias("scores"))
 
 
 def stream_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -336,6 +358,8 @@ QUERIES = {
     "box_rank_all": box_rank("all"),
     "box_map": box_map,
     "src_synthetic_points": points,
+    "src_synthetic_lines": line_images,
+    "rep_formatted": formatted,
     "stream_window_rates": stream_rates,
 }
 
@@ -377,7 +401,21 @@ ru AS (SELECT k AS interval_count, size AS image_size, query_id % 3 + 1 AS seed,
 _RES = f"""WITH {V_SQL}, {_RUNS}, re AS (SELECT interval_count, image_size, seed, round(sum(correct) / sum(total), 6) AS test_accuracy, round(max(correct / total), 6) AS train_accuracy,
   min_by(format('class-{{:02d}}', class_index), correct / total * 1000 + class_index * 1e-6) AS worst_class_name, min(correct / total) AS worst_class_accuracy FROM ru GROUP BY 1, 2, 3)"""
 
+_LINES = f"""WITH s AS (SELECT id, id // 12 AS label FROM range(36) t(id)), c AS (
+  SELECT *, 6 + floor({uniform_sql(123, "id", str(JITTER + 1))} * 3)::INT - 1 AS cx, 6 + floor({uniform_sql(123, "id", str(JITTER + 2))} * 3)::INT - 1 AS cy FROM s
+), p AS (SELECT *, i % 12 AS x, i // 12 AS y, {uniform_sql(123, "id", "i")} AS draw FROM c, range(144) r(i))
+SELECT id AS sample_id, CASE label WHEN 0 THEN 'vertical' WHEN 1 THEN 'horizontal' ELSE 'diagonal' END AS class_name, i,
+  round(CASE WHEN CASE label WHEN 0 THEN abs(x - cx) <= 1 WHEN 1 THEN abs(y - cy) <= 1 ELSE abs(x - y) <= 1 OR abs(x - greatest(11 - y, 0)) <= 1 END THEN 0.85 + draw * 0.15 ELSE draw * 0.12 END, 6) AS value FROM p"""
+_POINTS = f"""SELECT id AS sample_id, label, ['a', 'b', 'c'][label + 1] AS class_name,
+  round(least(greatest([0.15, 0.85, 0.5][label + 1]::DOUBLE + {uniform_sql(42, "id", "0")} * 0.1::DOUBLE - 0.05::DOUBLE, 0), 1), 6) AS x,
+  round(least(greatest([0.15, 0.2, 0.85][label + 1]::DOUBLE + {uniform_sql(42, "id", "1")} * 0.1::DOUBLE - 0.05::DOUBLE, 0), 1), 6) AS y FROM (SELECT id, id // 80 AS label FROM range(240) t(id))"""
+_FORMATTED = """WITH p AS (SELECT o_orderpriority AS n, count_if(o_orderstatus = 'F') AS c, count(*) AS t, count_if(o_orderstatus = 'O') AS o, count_if(o_orderstatus = 'P') AS p, round(avg(o_orderkey % 100), 3) AS s FROM orders GROUP BY 1)
+SELECT string_agg(format('{}={:.6f}({}/{})', n, c / t, c, t), ';' ORDER BY n) AS per_class, string_agg(format('{}=[{}|{}|{}]', n, c, o, p), ';' ORDER BY n) AS confusion, string_agg(format('{}={:.6f}', n, s), ';' ORDER BY n) AS scores FROM p"""
+
 SQL = {
+    "src_synthetic_points": _POINTS,
+    "src_synthetic_lines": _LINES,
+    "rep_formatted": _FORMATTED,
     "cls_accuracy": f"{_P} SELECT count_if(correct) AS correct, count(*) AS total, round(avg(correct::INT), 6) AS accuracy FROM pr",
     "cls_per_class": f"{_P}, {_PER} SELECT class_index, class_name, correct, total, round(accuracy, 6) AS accuracy FROM pc",
     "cls_confusion": f"{_P}, {_CF} SELECT * FROM cf",

@@ -58,9 +58,28 @@ def read_parquet_vectors(spark: SparkSession, path: str, key: str, vector: str,
     return spark.read.parquet(path).select(F.col(key).cast("long").alias("sample_id"), F.col(vector).cast("array<double>").alias("features"), F.col(label).cast("long").alias("label"))
 
 
+#: Keys of what isn't a pixel begin here.
+JITTER = 1_000_000
+
+
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number within 0..1 from a seed and keys; the same wherever it is computed."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number within 0..1 from a seed and keys below 2**31, by arithmetic on 32 bits; the same wherever it is computed, in SQL too."""
+    most = F.lit(1 << 32)
+    h = F.lit(seed % (1 << 32))
+    for k in keys:
+        h = (h * 69_069 + k.cast("long") * 2_654_435_761 + 12_345) % most
+    for _ in range(2):
+        h = h.bitwiseXOR(F.shiftright(h, 16)) * 73_244_475 % most
+    return h.bitwiseXOR(F.shiftright(h, 16)) / F.lit(float(1 << 32))
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """The same in DuckDB's SQL."""
+    h = f"{seed % (1 << 32)}::BIGINT"
+    for k in keys:
+        h = f"(({h}) * 69069 + ({k})::BIGINT * 2654435761 + 12345) % 4294967296"
+    spread = "list_reduce([({h}), 73244475, 73244475], lambda a, m: xor(a, a >> 16) * m % 4294967296)".format(h=h)
+    return f"list_transform([{spread}], lambda a: xor(a, a >> 16) / 4294967296::DOUBLE)[1]"
 
 
 def synthetic_points(spark: SparkSession, seed: int = 42, per_class: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +96,7 @@ def synthetic_lines(spark: SparkSession, width: int = 12, height: int = 12, per_
     rows = spark.range(3 * per_class).select(F.col("id").alias("sample_id"), F.floor(F.col("id") / per_class).alias("label"))
 
     def centre(size: int, key: int) -> Column:
-        jitter = F.floor(uniform(seed, F.col("sample_id"), F.lit(-key)) * 3).cast("int") - 1
+        jitter = F.floor(uniform(seed, F.col("sample_id"), F.lit(JITTER + key)) * 3).cast("int") - 1
         return F.lit(size // 2) + (jitter if size > 2 else F.lit(0))
 
     def pixel(i: Column) -> Column:

@@ -87,7 +87,7 @@ def test_class_parallel_equals_one_loop(spark):
     rows = [(*rng.random(3), int(rng.integers(0, 5))) for _ in range(60)]
     df = samples(spark, rows)
     for mode in ("least-squares", "proportional", "ratio"):
-        m = IntervalModel.from_training_data(df, 4, 5, correction=Correction(mode, max_factor=2.0, freeze_after=9))
+        m = IntervalModel.from_training_data(df, 4, 5, distributor=I.TRIANGULAR, correction=Correction(mode, max_factor=2.0, freeze_after=9))
         alone = IntervalModel(m.intervals, 5, correction=m.correction)
         m.fit(df, 2, "honour")
         for _ in range(2):
