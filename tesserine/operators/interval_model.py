@@ -189,7 +189,9 @@ class IntervalModel:
                 parts = batch.column("part").to_numpy()
                 x, labels = as_matrix(batch.column("x")), batch.column("label").to_numpy(zero_copy_only=False)
                 at, c, valid = encode_array(x, intervals)
-                for i in range(batch.num_rows):
+                plain = correction.mode != "ratio" and correction.freeze_after is None
+                starts = np.flatnonzero(np.diff(parts, prepend=-1)) if plain else range(batch.num_rows)
+                for i, end in zip(starts, [*starts[1:], batch.num_rows]):
                     if parts[i] != part:
                         if state is not None:
                             yield _emit(part, *state)
@@ -197,6 +199,11 @@ class IntervalModel:
                         own = np.arange(part, outputs, groups)
                         state = [own, weights[:, :, own].copy(), counts[:, :, own].copy(), 0.0, 0]
                     own, w, n, _, _ = state
+                    if plain:
+                        run = slice(i, end)
+                        state[3] += plain_steps(w, n, at[run], c[run], valid[run], (own == labels[run][:, None]).astype(float), correction.mode == "proportional")
+                        state[4] += end - i
+                        continue
                     error = step(w, n, at[i], c[i], valid[i], (own == labels[i]).astype(float), correction)
                     state[3] += float((error**2).sum())
                     state[4] += 1
@@ -312,6 +319,31 @@ class IntervalModel:
         return cls(intervals, info["outputs"], get("weight"), get("access_count"), Correction(**info["correction"]))
 
 
+def plain_steps(weights: np.ndarray, counts: np.ndarray, at: np.ndarray, c: np.ndarray, valid: np.ndarray, targets: np.ndarray, proportional: bool) -> float:
+    """``step`` for several samples in order, where the correction adds the error alone; the sum of squared errors before.
+
+    Weights are looked at as rows by feature and interval, so that a step is
+    a few gathers and products; what isn't valid is added as 0.
+    """
+    features, d, outputs = weights.shape
+    rows = weights.reshape(features * d, outputs)
+    index = (np.arange(features)[None, :, None] * d + at).transpose(0, 2, 1).copy()
+    share = (c * valid).transpose(0, 2, 1).copy()
+    den = np.maximum(valid.sum(axis=(1, 2)), 1.0) if proportional else np.maximum((c * c * valid).sum(axis=(1, 2)), EPSILON)
+    squares = 0.0
+    for i, target in enumerate(targets):
+        where, much = index[i], share[i]
+        before = [rows.take(k, axis=0) for k in where]
+        error = target - sum(m @ b for m, b in zip(much, before))
+        squares += float(error @ error)
+        own = error / den[i]
+        rows[where[0]] = before[0] + much[0][:, None] * own
+        for k, m in zip(where[1:], much[1:]):
+            rows[k] += m[:, None] * own
+    counts.reshape(features * d, outputs)[:] += np.bincount(index.transpose(0, 2, 1)[valid], minlength=features * d)[:, None]
+    return squares
+
+
 def _emit(part: int, own: np.ndarray, w: np.ndarray, n: np.ndarray, squares: float, count: int) -> pa.RecordBatch:
     lists = [pa.array([own.tolist()], pa.list_(pa.int32())), pa.array([w.ravel().tolist()], pa.list_(pa.float64())), pa.array([n.ravel().tolist()], pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays([pa.array([int(part)], pa.int32()), *lists, pa.array([squares]), pa.array([count], pa.int64())], names=["part", "outputs", "weights", "counts", "squares", "n"])
