@@ -107,7 +107,13 @@ def best_in_block(queries: Vectors, block: Vectors, k: int) -> tuple[np.ndarray,
     most = int(max(terms.max(initial=-1), queries.terms.max(initial=-1))) + 1
     of_rows = np.searchsorted(terms, np.arange(most + 1))
     of_queries = np.searchsorted(queries.terms, np.arange(most + 1))
+    whole = np.diff(of_rows) == len(ids)  # all rows of the block have the term: its postings are a dense array
+    dense = {}
+    for t in np.flatnonzero(whole):
+        dense[t] = np.empty(len(ids), np.int64)
+        dense[t][columns[of_rows[t] : of_rows[t + 1]]] = weights[of_rows[t] : of_rows[t + 1]]
     step = max(1, CELLS // max(1, len(ids)))
+    added = np.empty((step, len(ids)), np.int64)
     found = []
     for begin in range(0, len(queries.ids), step):
         own = queries.ids[begin : begin + step]
@@ -117,8 +123,14 @@ def best_in_block(queries: Vectors, block: Vectors, k: int) -> tuple[np.ndarray,
             a, b = of_queries[t] + np.searchsorted(queries.rows[of_queries[t] : of_queries[t + 1]], [begin, begin + len(own)])
             if a < b and at < to:
                 into = queries.rows[a:b] - begin
-                added = queries.weights[a:b, None] * weights[None, at:to]
-                scores[into[:, None], columns[None, at:to]] += added
+                if whole[t]:
+                    much = np.multiply(queries.weights[a:b, None], dense[t][None, :], out=added[: b - a])
+                    if b - a == len(own):
+                        scores += much
+                    else:
+                        scores[into] += much
+                else:
+                    scores[into[:, None], columns[None, at:to]] += queries.weights[a:b, None] * weights[None, at:to]
         other = ordered[None, :] != own[:, None]
         scores = np.where(other, scores, np.iinfo(np.int64).min)
         n = min(k, len(ids))
