@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +26,24 @@ RULES = {
 BASE = ("short", "repetitive")
 
 
+def repeated_words(words: list[bytes]) -> int:
+    """The words in windows of three that are found twice or more. Windows are numbers made of their words' numbers, and are compared by sorting."""
+    known: dict[bytes, int] = {}
+    ids = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+    n = len(known)
+    if len(ids) < 4 or n == len(ids):
+        return 0
+    pairs = ids[:-2] * n + ids[1:-1]
+    if n >= 1 << 21:  # three numbers don't fit a long
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    _, at, counts = np.unique(pairs * n + ids[2:], return_inverse=True, return_counts=True)
+    often = counts[at] > 1
+    covered = np.zeros(len(ids), bool)
+    for i in range(3):
+        covered[i : len(often) + i] |= often
+    return int(covered.sum())
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """The measures of one text, and its number of lines that have a word. bytes.split() splits at exactly the ASCII white space."""
     if not text:
@@ -36,16 +53,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     spaces = len(raw) - len(raw.translate(None, SPACES))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeated = 0
-    if len(words) > 3:
-        windows = list(zip(words, words[1:], words[2:]))
-        found = Counter(windows)
-        if len(found) < len(windows):
-            end = 0
-            for i, window in enumerate(windows):
-                if found[window] > 1:
-                    repeated += i + 3 - max(end, i)
-                    end = i + 3
+    repeated = repeated_words(words)
     return len(words), len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranks import bucket_count, exact_rank
-from .store import materialize, read_table
+from .store import materialize, plain_names, read_table
 
 
 def interleave_shards(rows: DataFrame, shards: int, key: str = "doc_id", stratum: str = "source", seed: int = 17) -> DataFrame:
@@ -16,14 +16,18 @@ def interleave_shards(rows: DataFrame, shards: int, key: str = "doc_id", stratum
     with rank r of the n in its stratum stands at the fraction (2r - 1) / 2n;
     all rows are ordered by that fraction and cut into ``shards`` runs whose
     counts differ by one at most. Adds ``shard`` and ``slot`` (both long, slot
-    gapless from 0); columns of these names are replaced, others stay.
+    gapless from 0); the caller's columns of these names are replaced, all
+    others stay, whatever their names.
 
     Null strata form one stratum, null keys sort first. Rows that repeat are
     placed one by one. An empty table stays empty; with fewer rows than
-    shards, some shards are empty. Keep ``rows`` slim: it is shuffled twice.
+    shards, some shards are empty. Texts are values like others. Keep
+    ``rows`` slim: it is shuffled twice.
     """
+    true = rows.drop("shard", "slot")
+    rows, names = plain_names(true)
+    key, stratum = names[key], names[stratum]
     spread = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = rows.drop("shard", "slot")
     own = rows.columns
     total = rows.count()
     buckets = bucket_count(total)
@@ -41,7 +45,7 @@ def interleave_shards(rows: DataFrame, shards: int, key: str = "doc_id", stratum
     shard = F.floor(F.col("__place") * shards / F.lit(max(total, 1))) if total * shards < 2**52 else F.expr(f"__place * {shards} div {total}")
     dealt = dealt.withColumn("shard", shard.cast("long"))
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
-    return dealt.withColumn("slot", F.col("__place") - first).select(*own, "shard", "slot")
+    return dealt.withColumn("slot", F.col("__place") - first).select(*own, "shard", "slot").toDF(*true.columns, "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str, shards: int, **options) -> None:

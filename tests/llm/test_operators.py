@@ -55,6 +55,12 @@ def test_shards_counts_and_mixture(spark):
             assert abs(sum(r.source == source and r.shard == s for r in rows) - n / 7) <= 2
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "s", i, i, i) for i in range(20)], "doc_id bigint, source string, __spread bigint, __Bucket bigint, slot bigint")
+    out = shards.interleave_shards(df, 3)
+    assert out.columns == ["doc_id", "source", "__spread", "__Bucket", "shard", "slot"] and all(r.doc_id == r["__spread"] for r in out.collect())
+
+
 def test_shards_odd(spark, odd_docs):
     out = shards.interleave_shards(odd_docs, 4)
     assert out.count() == odd_docs.count() and set(out.columns) == set(odd_docs.columns)
@@ -83,6 +89,13 @@ def test_measures(text):
     assert quality.measure(text)[:5] == brute_measures(text)
 
 
+def test_measures_of_long_and_random_texts():
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += [" ".join(f"w{rng.randint(0, 4000)}" for _ in range(100_000)), "x " * 200_000]
+    assert all(quality.measure(t)[:5] == brute_measures(t) for t in texts)
+
+
 def test_host_verdicts(spark):
     rng = random.Random(1)
     bad = [prose(rng, 5) for _ in range(60)] + [" ".join(f"w{rng.random()}" for _ in range(60))]
@@ -357,6 +370,15 @@ def test_top_k(spark):
     assert topk.top_k(q.limit(0), q, 5).count() == 0 and topk.top_k(q, q.limit(0), 5).count() == 0
 
 
+def test_top_k_odd(spark):
+    """Ids that repeat, columns with the operator's own names, long vectors, an id that is null."""
+    rows = [(0, [1.0], 1, 1), (0, [9.0], 1, 1), (1, [2.0], 1, 1), (1, [3.0], 1, 1), (2, [1.0] + [0.0] * 20_000 + [5.0], 1, 1), (None, [7.0], 1, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank bigint, q bigint")
+    q = topk.quantised(df, scale=1)
+    got = [tuple(r) for r in topk.top_k(q, q.where("id = 2"), 9).collect()]
+    assert sorted(got) == [(2, 1, 0, 9), (2, 2, 1, 3), (2, 3, 1, 2), (2, 4, 0, 1)]
+
+
 def test_top_k_keeps_every_finite_vector(spark):
     rng = random.Random(7)
     vectors = [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(60)]
