@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .store import read_table
-from .words import Words, last_bytes, ragged, text_bytes, white_space
+from .words import Words, give_back, last_bytes, ragged, text_bytes, white_space
 
 #: Pieces, and bytes of the longer ones, that a worker remembers; bytes of the texts in a batch, and of the new pieces in a string for the library.
-REMEMBERED, REMEMBERED_BYTES, BATCH_BYTES, STRING_BYTES = 1_000_000, 1 << 26, 1 << 22, 1 << 14
+REMEMBERED, REMEMBERED_BYTES, BATCH_BYTES, STRING_BYTES = 1_000_000, 1 << 26, 1 << 20, 1 << 14
+#: Batches after which freed memory goes back to the system.
+GIVE_BACK = 8
 #: Fixed value: the pattern of the pre-tokenizer, byte-level without an added space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space that is too long for the encoder by ranks.
@@ -127,7 +129,7 @@ class Encoder:
         self.ranked, self.special, vocabulary = rank_encoder(path)
         self.opens = np.zeros(max([*vocabulary.values(), 0]) + 1 + len(self.special), bool)
         self.opens[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True  # these stand for a space and a line feed
-        self.words, self.pool = Words(), Pool(lengths_only)
+        self.words, self.pool, self.batches = Words(), Pool(lengths_only), 0
 
     @classmethod
     def at(cls, path: str, lengths_only: bool = False) -> Encoder:
@@ -224,6 +226,9 @@ class Encoder:
         begin = 0
         while begin < len(ends) - 1:
             end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + BATCH_BYTES, side="right")) - 1)
+            self.batches += 1
+            if self.batches % GIVE_BACK == 0:
+                give_back()
             self._shrink()
             own = np.zeros(ends[end] - ends[begin] + 32, np.uint8)
             own[:-32] = raw[ends[begin] : ends[end]]

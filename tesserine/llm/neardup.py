@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .store import materialize, plain_names, read_table, scratch
+from .words import give_back
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -96,6 +97,7 @@ def _sketches(texts: pa.Array, k: int, parity: bool) -> pa.Array:
         s = shingle_set(t.as_py())
         row = {"n": len(s), "digest": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "sketch": s[:k].copy()}
         rows.append(row | {"parity": parity_sketch(s)} if parity else row)
+    give_back()
     return pa.array(rows, pa.struct(fields))
 
 
@@ -111,6 +113,7 @@ def _sketch(text, k: int, parity: bool = False):
 
 @arrow_udf(T.ArrayType(T.LongType()))
 def _full_set(texts: pa.Array) -> pa.Array:
+    give_back()
     return pa.array([shingle_set(t.as_py()) for t in texts], pa.list_(pa.int64()))
 
 

@@ -38,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import arrow_udf
 
-from .bpe import BATCH_BYTES, REMEMBERED, REMEMBERED_BYTES, Pool, default_path
+from .bpe import BATCH_BYTES, GIVE_BACK, REMEMBERED, REMEMBERED_BYTES, Pool, default_path
 from .store import read_table
-from .words import Table, Words, ragged, text_bytes
+from .words import Table, Words, give_back, ragged, text_bytes
 
 MARK = "▁"
 #: Pairs of neighbours that a worker remembers; characters of the parts whose paths are found at once, and of the longest such part.
@@ -243,7 +243,7 @@ class Transducer:
         self.near: dict[tuple[int, int], bool] = {}
         self.apart = np.full(256, bool(self.of_byte))  # ASCII characters that no piece has: each is a part of its own
         self.apart[[*range(128, 256), SPACE, *{ord(c) for t in self.ids for c in t if c < "\x80"}]] = False
-        self.words, self.pool = Words(), Pool()
+        self.words, self.pool, self.batches = Words(), Pool(), 0
         self.whole = np.empty(0, bool)  # by a part's number: whether decoding gives it back
 
     @classmethod
@@ -506,6 +506,9 @@ class Transducer:
         begin = 0
         while begin < len(ends) - 1:
             end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + BATCH_BYTES, side="right")) - 1)
+            self.batches += 1
+            if self.batches % GIVE_BACK == 0:
+                give_back()
             if self.words.n > REMEMBERED or self.words.long_bytes > REMEMBERED_BYTES:
                 picked = np.flatnonzero(self.pool.uses[: self.pool.n] > 1)
                 picked = picked if 2 * len(picked) <= REMEMBERED and 2 * self.words.long_bytes <= REMEMBERED_BYTES else picked[:0]

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .store import materialize, plain_names, read_table
+from .words import give_back
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -59,7 +60,8 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 @arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in (*MEASURES, "n_lines")]))
 def _measures(texts: pa.Array) -> pa.Array:
-    columns = zip(*(measure(t.as_py()) for t in texts)) if len(texts) else [[]] * 6
+    columns = [*zip(*(measure(t.as_py()) for t in texts))] if len(texts) else [[]] * 6
+    give_back()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*MEASURES, "n_lines"])
 
 

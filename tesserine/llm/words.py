@@ -7,6 +7,7 @@ are kept in a dictionary.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -24,6 +25,15 @@ _KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = 2
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system where the C library can: a worker keeps running, and idle, beside those of later stages."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1 and so on of each run, one run after the other."""
     ends = np.cumsum(lengths)
