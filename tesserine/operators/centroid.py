@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import finite, squared_distance
+from .library import top_k
 from .prep import check_rectangular, long_form
 
+#: The most bytes of centroids that are sent to every task.
+SENT_BYTES = 64 << 20
+
 
 def fit_centroids(samples: DataFrame, label: str = "label", vector: str = "features") -> DataFrame:
     """(label, centroid, n): sums over finite values only, divided by the count of all samples of the class. Map-side combined."""
@@ -19,12 +23,28 @@ def fit_centroids(samples: DataFrame, label: str = "label", vector: str = "featu
 
 
 def predict_centroid(samples: DataFrame, centroids: DataFrame, vector: str = "features") -> DataFrame:
-    """Add ``predicted`` (lowest class on ties) and ``distance``, squared. Centroids, a row per class, are one broadcast row."""
+    """Add ``predicted`` (lowest class on ties) and ``distance``, squared.
+
+    Centroids of up to SENT_BYTES in all go out as one row; more of them are
+    searched like a library, block by block.
+    """
+    n, width = centroids.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    if centroid_memory_bytes(n, width or 0) > SENT_BYTES:
+        return _by_search(samples, centroids, vector)
     row = centroids.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("__c"))
     near = F.transform("__c", lambda c: F.struct(squared_distance(F.col(vector).cast("array<double>"), c["centroid"]).alias("distance"), c["label"].alias("label")))
     joined = samples.crossJoin(F.broadcast(row)).withColumn("__best", F.array_min(near))
     return joined.withColumns({"predicted": F.col("__best.label"), "distance": F.col("__best.distance")}).drop("__c", "__best")
 
 
+def _by_search(samples: DataFrame, centroids: DataFrame, vector: str) -> DataFrame:
+    refs = centroids.select(F.col("label").alias("ref_id"), F.col("centroid").alias("vector"), "label")
+    best = top_k(samples.select(F.col("sample_id").alias("query_id"), F.col(vector).alias("vector")), refs, 1).select("query_id", F.col("ref_id").alias("predicted"))
+    told = samples.join(best, F.col("sample_id") == F.col("query_id")).drop("query_id")
+    own = centroids.select(F.col("label").alias("__label"), F.col("centroid").alias("__centroid"))
+    distance = squared_distance(F.col(vector).cast("array<double>"), F.col("__centroid"))
+    return told.join(own, F.col("predicted") == F.col("__label")).withColumn("distance", distance).drop("__label", "__centroid")
+
+
 def centroid_memory_bytes(classes: int, features: int) -> int:
     return 8 * classes * features + 8 * classes

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..functions.vectors import EPSILON, safe_div
 
+#: Classes up to which a confusion matrix is written out with its zeros.
+DENSE_CLASSES = 2_048
+
 _as_int = lambda c: c.cast("long")
 
 
@@ -25,9 +29,16 @@ def per_class_accuracy(predictions: DataFrame, dim: DataFrame, expected: str = "
     return joined.select(F.col("label").alias("class_index"), "class_name", _as_int(correct).alias("correct"), _as_int(total).alias("total"), share.alias("accuracy"))
 
 
+def confusion_cells(predictions: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
+    """(actual_index, predicted_index, n) of the cells that aren't zero, for any number of classes."""
+    return predictions.groupBy(F.col(expected).cast("long").alias("actual_index"), F.col(predicted).cast("long").alias("predicted_index")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion(predictions: DataFrame, dim: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
-    """(actual_index, predicted_index, n): the dense matrix in long form. The two dimensions are classes, not rows."""
-    counts = predictions.groupBy(F.col(expected).cast("long").alias("__a"), F.col(predicted).cast("long").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    """(actual_index, predicted_index, n): the dense matrix in long form, of up to DENSE_CLASSES classes. The two dimensions are classes, not rows."""
+    if dim.count() > DENSE_CLASSES:
+        raise ConfigError(f"more than {DENSE_CLASSES} classes have no dense matrix; see confusion_cells")
+    counts = confusion_cells(predictions, expected, predicted).toDF("__a", "__p", "__n")
     cells = dim.select(F.col("label").alias("actual_index")).crossJoin(dim.select(F.col("label").alias("predicted_index")))
     joined = cells.join(counts, (F.col("actual_index") == F.col("__a")) & (F.col("predicted_index") == F.col("__p")), "left")
     return joined.select("actual_index", "predicted_index", F.coalesce("__n", F.lit(0)).cast("long").alias("n"))
@@ -80,11 +91,11 @@ def f1_columns(predicted: Column, expected: Column) -> dict[str, Column]:
 
 
 def classification_metrics(predictions: DataFrame, dim: DataFrame) -> DataFrame:
-    """One row: accuracy, per_class and confusion as nested arrays."""
+    """One row: accuracy, per_class and confusion as nested arrays, whose size DENSE_CLASSES bounds."""
     per = per_class_accuracy(predictions, dim)
     nested = per.agg(F.array_sort(F.collect_list(F.struct("class_index", "class_name", "correct", "total", "accuracy"))).alias("per_class_accuracy"))
     rows = confusion_rows(confusion(predictions, dim)).agg(F.array_sort(F.collect_list(F.struct("actual_index", "predicted_counts"))).alias("confusion_matrix"))
-    return accuracy(predictions).crossJoin(F.broadcast(nested)).crossJoin(F.broadcast(rows))
+    return accuracy(predictions).crossJoin(nested).crossJoin(rows)  # of one row each
 
 
 def misclassified(predictions: DataFrame, order: str = "sample_id", limit: int = 25) -> DataFrame:

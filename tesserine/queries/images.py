@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import images as I
-from .base import r6, table
+from ..plans import scan
+from .base import SEED, key_sql, r6, table
 
 SIDE = 12
 
@@ -34,7 +35,11 @@ def made_images(spark: SparkSession, d: str) -> DataFrame:
             made = [{"height": SIDE, "width": SIDE, "nChannels": 3, "data": p[:, :, ::-1].tobytes()} for p in pixels(ids)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], names=["id", "image"])
 
-    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id")).mapInArrow(run, schema)
+    return supplier_ids(spark, d).mapInArrow(run, schema)
+
+
+def supplier_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id"))
 
 
 def unpivoted(vectors: DataFrame) -> DataFrame:
@@ -57,7 +62,7 @@ def in_gray(mode: str):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([I.gray_vector(g, config).tolist() for g in made], pa.list_(pa.float64()))], names=["id", "v"])
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return unpivoted(table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id")).mapInArrow(run, "id bigint, v array<double>"))
+        return unpivoted(supplier_ids(spark, d).mapInArrow(run, "id bigint, v array<double>"))
 
     return query
 
@@ -71,7 +76,7 @@ def geometry(spark: SparkSession, d: str) -> DataFrame:
             found = [I.image_stats(p[: 3 + n % 10, : 2 + n % 11]) for n, p in zip(ids, pixels(ids))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([float(f[c]) for f in found]) for c in STATS)], names=["id", *STATS])
 
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id")).mapInArrow(run, "id bigint, " + ", ".join(f"{c} double" for c in STATS))
+    rows = supplier_ids(spark, d).mapInArrow(run, "id bigint, " + ", ".join(f"{c} double" for c in STATS))
     return rows.select("id", *(r6(c).alias(c) for c in STATS))
 
 
@@ -87,12 +92,76 @@ def cropped(kind: str):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6, names=list("nyxrgb"))
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id")).mapInArrow(run, ", ".join(f"{c} bigint" for c in "nyxrgb"))
+        rows = supplier_ids(spark, d).mapInArrow(run, ", ".join(f"{c} bigint" for c in "nyxrgb"))
         return rows.withColumnRenamed("n", "id")
 
     return query
 
 
+def resized(width: int, height: int):
+    """Triangle-filter resizes, pixel by pixel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            rows = [(n, y, x, *m[y, x].tolist()) for n, p in zip(ids.tolist(), pixels(ids)) for m in [I.resize(p, width, height)] for y in range(height) for x in range(width)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6, names=list("nyxrgb"))
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return supplier_ids(spark, d).mapInArrow(run, ", ".join(f"{c} bigint" for c in "nyxrgb")).withColumnRenamed("n", "id")
+
+    return query
+
+
+def border(spark: SparkSession, d: str) -> DataFrame:
+    """Mean colours of the borders, and the distances from them that make a pixel foreground."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [I.border_background(p) for p in pixels(batch.column(0).to_numpy())]
+            columns = [pa.array([float(b[i]) for b, _ in found], pa.float64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([t for _, t in found], pa.float64())], names=["id", "r", "g", "b", "threshold"])
+
+    rows = supplier_ids(spark, d).mapInArrow(run, "id bigint, r double, g double, b double, threshold double")
+    return rows.select("id", *(r6(c).alias(c) for c in ("r", "g", "b", "threshold")))
+
+
+def patches(spark: SparkSession, d: str) -> DataFrame:
+    """The grey values of all patches of 8 pixels, 3 apart."""
+    found = I.vectorize_patches(made_images(spark, d), I.VectorConfig(8, 8, "pixels"), 8, 3, ("id",))
+    return found.select("id", "x", "y", "w", "h", F.posexplode("vector").alias("i", "v")).select("id", "x", "y", "w", "h", F.col("i").cast("long").alias("i"), r6("v").alias("value"))
+
+
+def mask_images(spark: SparkSession, d: str) -> DataFrame:
+    """(mask_path, mask): a pixel is set where x + y * id is divisible by 3."""
+    kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, x = np.arange(SIDE)[:, None], np.arange(SIDE)[None, :]
+            made = [{"height": SIDE, "width": SIDE, "nChannels": 1, "data": (((x + y * n) % 3 == 0) * 255).astype(np.uint8).tobytes()} for n in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([str(n) for n in batch.column(0).to_pylist()]), pa.array(made, kind)], names=["mask_path", "mask"])
+
+    return supplier_ids(spark, d).mapInArrow(run, "mask_path string, mask struct<height: int, width: int, nChannels: int, data: binary>")
+
+
+def masked_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Masks against the patches over a threshold; every ninth image has no mask."""
+    at = supplier_ids(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("k", F.col("k").cast("long"))
+    place = {"x": (F.col("id") * 5 + F.col("k") * 7) % 11, "y": (F.col("id") * 3 + F.col("k") * 4) % 10, "w": F.lit(5).cast("long"), "h": F.lit(4).cast("long")}
+    score = ((F.col("id") * 13 + F.col("k") * 29) % 100) / 100.0
+    rows = at.where("id % 9 <> 0").select(F.col("id").alias("image_id"), F.col("id").cast("string").alias("mask_path"), (F.col("id") * 10 + F.col("k")).alias("patch_id"), *(v.alias(c) for c, v in place.items()), score.alias("anomaly_score"))
+    told = scan.against_masks(rows, mask_images(spark, d), 0.6)
+    return told.select("image_id", r6("iou").alias("iou"), F.explode("overlaps").alias("o")).select("image_id", "iou", "o.patch_id", r6("o.ratio").alias("ratio"))
+
+
+def evaluation_split(spark: SparkSession, d: str) -> DataFrame:
+    """Images dealt out to validation and holdout, normal and anomalous ones by seeds of their own."""
+    rows = supplier_ids(spark, d).select(F.col("id").alias("image_id"), F.lit("eval").alias("split"), (F.col("id") % 3 == 0).alias("expected"))
+    validation, holdout = scan.split_evaluation(scan.Category("made", rows, rows), 0.3, SEED)
+    return validation.withColumn("part", F.lit("validation")).union(holdout.withColumn("part", F.lit("holdout")))
+
+
 STATS = ("width", "height", "aspect", "brightness", "contrast", "crop_loss")
 
 # --- SQL --------------------------------------------------------------------------------------------
@@ -222,8 +291,44 @@ WHERE y >= top AND y < top + side AND x >= lead AND x < lead + side GROUP BY ALL
 LETTERBOX_SQL = f"""WITH {CUT_SQL}, b AS (SELECT id, y + ({SIDE} - h) // 2 AS y, x + ({SIDE} - w) // 2 AS x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM cut GROUP BY ALL)
 SELECT a.id, a.y, a.x, coalesce(r, 127) AS r, coalesce(g, 127) AS g, coalesce(b, 127) AS b FROM (SELECT s_suppkey::BIGINT AS id, y, x FROM supplier, range({SIDE}) t(y), range({SIDE}) u(x)) a LEFT JOIN b USING (id, y, x)"""
 
+
+
+def _weights_sql(n: int, m: int) -> str:
+    """(o, i, k): what sample i of n counts in the triangle filter's output o of m."""
+    support, ratio = max(n / m, 1.0), n / m
+    raw = f"greatest(0, 1 - abs((i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {ratio!r}::DOUBLE) / {support!r}::DOUBLE))"
+    return f"SELECT o, i, k / sum(k) OVER (PARTITION BY o) AS k FROM (SELECT o, i, {raw} AS k FROM range({m}) a(o), range({n}) b(i)) WHERE k > 0"
+
+
+def resize_sql(width: int, height: int) -> str:
+    return f"""WITH {RAW_SQL}, wy AS ({_weights_sql(SIDE, height)}), wx AS ({_weights_sql(SIDE, width)}),
+rows_ AS (SELECT id, c, wy.o AS y, x, sum(k * v) AS v FROM raw JOIN wy ON wy.i = raw.y GROUP BY ALL),
+both_ AS (SELECT id, c, y, wx.o AS x, least(greatest(round_even(sum(k * v), 0), 0), 255)::BIGINT AS v FROM rows_ JOIN wx ON wx.i = rows_.x GROUP BY ALL)
+SELECT id, y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM both_ GROUP BY ALL"""
+
+
+BORDER_SQL = f"""WITH {RAW_SQL}, e AS (SELECT id, y, x, max(v) FILTER (c = 0) / 255::DOUBLE AS r, max(v) FILTER (c = 1) / 255::DOUBLE AS g, max(v) FILTER (c = 2) / 255::DOUBLE AS b FROM raw
+  WHERE y IN (0, {SIDE - 1}) OR x IN (0, {SIDE - 1}) GROUP BY ALL), m AS (SELECT *, avg(r) OVER o AS mr, avg(g) OVER o AS mg, avg(b) OVER o AS mb FROM e WINDOW o AS (PARTITION BY id)),
+q AS (SELECT *, least(sqrt(((r - mr) ** 2 + (g - mg) ** 2 + (b - mb) ** 2) / 3), 1) AS q FROM m)
+SELECT id, round(any_value(mr), 6) AS r, round(any_value(mg), 6) AS g, round(any_value(mb), 6) AS b, round(least(greatest(avg(q) + 2 * stddev_pop(q), 0.08), 0.35), 6) AS threshold FROM q GROUP BY id"""
+PATCHES_SQL = f"""WITH {RAW_SQL}, p AS (SELECT id, y, x, (2126 * max(v) FILTER (c = 0) + 7152 * max(v) FILTER (c = 1) + 722 * max(v) FILTER (c = 2)) // 10000 / 255::DOUBLE AS v FROM raw GROUP BY ALL),
+s AS (SELECT unnest([0, 3, 4]) AS a)
+SELECT id, u.a AS x, t.a AS y, 8 AS w, 8 AS h, (p.y - t.a) * 8 + p.x - u.a AS i, round(v, 6) + 0 AS value FROM p, s t, s u WHERE p.y >= t.a AND p.y < t.a + 8 AND p.x >= u.a AND p.x < u.a + 8"""
+MASKED_SQL = f"""WITH b AS (SELECT s_suppkey::BIGINT AS id, k, s_suppkey * 10 + k AS patch_id, (s_suppkey * 5 + k * 7) % 11 AS px, (s_suppkey * 3 + k * 4) % 10 AS py, ((s_suppkey * 13 + k * 29) % 100) / 100::DOUBLE AS s FROM supplier, range(6) t(k) WHERE s_suppkey % 9 <> 0),
+g AS (SELECT s_suppkey::BIGINT AS id, y, x, (x + y * s_suppkey) % 3 = 0 AS truth FROM supplier, range({SIDE}) t(y), range({SIDE}) u(x) WHERE s_suppkey % 9 <> 0),
+j AS (SELECT g.*, patch_id, s FROM g JOIN b ON b.id = g.id AND x >= px AND x < px + 5 AND y >= py AND y < py + 4),
+c AS (SELECT g.id, g.y, g.x, any_value(truth) AS truth, coalesce(bool_or(s >= 0.6), false) AS told FROM g LEFT JOIN (SELECT id, y, x, s FROM j) k USING (id, y, x) GROUP BY ALL),
+i AS (SELECT id, coalesce(count_if(truth AND told) / nullif(count_if(truth OR told), 0), 0) AS iou FROM c GROUP BY id)
+SELECT id AS image_id, round(iou, 6) + 0 AS iou, patch_id, round(avg(truth::INT), 6) + 0 AS ratio FROM j JOIN i USING (id) GROUP BY id, iou, patch_id"""
+_PART = "SELECT id, row_number() OVER (ORDER BY {key}, id) - 1 < round(count(*) OVER () * 0.3::DOUBLE) AS test FROM s WHERE {which}"
+EVALUATION_SQL = f"""WITH s AS (SELECT s_suppkey::BIGINT AS id FROM supplier), p AS (
+  {_PART.format(key=key_sql("id", SEED + 1), which="id % 3 <> 0")} UNION ALL {_PART.format(key=key_sql("id", SEED + 2), which="id % 3 = 0")})
+SELECT id AS image_id, CASE WHEN test THEN 'validation' ELSE 'holdout' END AS part FROM p"""
+
 MODES = [*I.FEATURE_MODES]
 QUERIES = {f"img_{m.replace('-', '_')}_{kind}": make(m) for m in MODES for kind, make in (("color", in_color), ("gray", in_gray))}
 QUERIES |= {"img_stats": geometry, "img_center_crop": cropped("center"), "img_letterbox": cropped("letterbox")}
 SQL = {f"img_{m.replace('-', '_')}_{kind}": mode_sql(m, kind == "gray") for m in MODES for kind in ("color", "gray")}
 SQL |= {"img_stats": STATS_SQL, "img_center_crop": CENTER_SQL, "img_letterbox": LETTERBOX_SQL}
+QUERIES |= {"img_resize_down": resized(5, 7), "img_resize_up": resized(17, 13), "img_border": border, "img_patches": patches, "scan_against_masks": masked_patches, "scan_evaluation_split": evaluation_split}
+SQL |= {"img_resize_down": resize_sql(5, 7), "img_resize_up": resize_sql(17, 13), "img_border": BORDER_SQL, "img_patches": PATCHES_SQL, "scan_against_masks": MASKED_SQL, "scan_evaluation_split": EVALUATION_SQL}

@@ -230,6 +230,26 @@ f(step, output, w, c, y, t) AS (
 {select or f"SELECT (i // {D})::BIGINT AS feature, (i % {D})::BIGINT AS interval, output::BIGINT AS output, round(w[i + 1], 5) + 0::DOUBLE AS weight, c[i + 1]::BIGINT AS access_count FROM (SELECT output, w, c, unnest(range(len(w))) AS i FROM f WHERE step = (SELECT max(step) FROM f))"}"""
 
 
+def _train_evaluate_sql() -> str:
+    """The whole run: ranges and intervals come from the training part alone, three epochs in its order, then the test part's classes."""
+    of_train = "WHERE id IN (SELECT id FROM tr) GROUP BY feature)"
+    split = f"sp AS (SELECT id, row_number() OVER (ORDER BY {key_sql('id')}, id) - 1 < round((SELECT count(*) FROM v) * 0.2::DOUBLE) AS test FROM v), tr AS (SELECT id FROM sp WHERE NOT test)"
+    inner = SCALED_SQL.replace(", l AS (", f", {split}, l AS (", 1).replace("FROM l GROUP BY feature)", f"FROM l {of_train}")
+    dot = "list_sum(list_transform(list_zip(w, a), lambda z: z[1] * z[2]))"
+    return f"""WITH RECURSIVE {_refit(inner).replace("FROM sl GROUP BY feature)", f"FROM sl {of_train}")}, {_dense(8)},
+o AS (SELECT id, label, a, list_sum(list_transform(a, lambda x: CASE WHEN x = 2 THEN 2::DOUBLE ELSE x * x END)) AS den, row_number() OVER (ORDER BY {key_sql("id")}, id) AS ord, count(*) OVER () AS n FROM (SELECT ac.* FROM ac JOIN tr USING (id))),
+f(step, output, w) AS (
+  SELECT 0::BIGINT, k, list_transform(o.a, lambda x: 0::DOUBLE) FROM o, range({OUTPUTS}) r(k) WHERE ord = 1
+  UNION ALL
+  SELECT step + 1, output, list_transform(list_zip(w, a), lambda z: z[1] + z[2] * e / den) FROM (
+    SELECT f.step, f.output, f.w, o.a, o.den, (o.label = f.output)::INT::DOUBLE - {dot} AS e FROM f JOIN o ON o.ord = f.step % o.n + 1 WHERE f.step < 3 * o.n)
+), m AS (SELECT output, w FROM f WHERE step = (SELECT max(step) FROM f)),
+p AS (SELECT id, any_value(label) AS label, arg_max(output, struct_pack(s := s, o := output)) AS predicted FROM (SELECT ac.id, ac.label, output, {dot} AS s FROM ac, m WHERE ac.id NOT IN (SELECT id FROM tr)) GROUP BY id),
+dim AS (SELECT row_number() OVER (ORDER BY n) - 1 AS label, n AS class_name FROM (SELECT DISTINCT format('class-{{:02d}}', label) AS n FROM embeddings))
+SELECT dim.label AS class_index, class_name, count_if(predicted = p.label) AS correct, count(p.id) AS total, CASE WHEN count(p.id) > 0 THEN count_if(predicted = p.label) / count(p.id) ELSE 0 END AS accuracy
+FROM dim LEFT JOIN p USING (label) GROUP BY ALL"""
+
+
 def _batch_sql(epochs: int, proportional: bool = False) -> str:
     den = "sum((a > 0)::INT)" if proportional else "sum(a * a)"
     parts = [f"WITH {_refit(SCALED_SQL)}, {_dense(D)}, am AS (SELECT id, label, feature * {D} + interval AS k, a FROM en WHERE a > 0), dn AS (SELECT id, {den}::DOUBLE AS den FROM am GROUP BY id), us AS (SELECT k, count(*) AS usage FROM am GROUP BY k), ks AS (SELECT DISTINCT feature * {D} + interval AS k FROM en)"]
@@ -271,3 +291,4 @@ SELECT id AS sample_id, label AS predicted, round(distance, 6) AS distance FROM
 p AS (SELECT expected, predicted FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY q, predicted) AS r FROM d) WHERE r = 1)
 SELECT a AS actual_index, b AS predicted_index, count(expected) AS n FROM range(2) x(a), range(2) y(b) LEFT JOIN p ON expected = a AND predicted = b GROUP BY 1, 2""",
 }
+SQL["iw_train_evaluate"] = _train_evaluate_sql()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tesserine.errors import ConfigError, DimensionError, EmptyInputError, UnsupportedCorrectionError
-from tesserine.operators import centroid, library
+from tesserine.operators import centroid, library, metrics
 from tesserine.operators import intervals as I
 from tesserine.operators.interval_model import Correction, IntervalModel, learning_curve
 from tesserine.sources.vectors import synthetic_lines
@@ -174,6 +174,26 @@ def test_centroid(spark):
         centroid.fit_centroids(samples(spark, [(0, 0, 0), (1, 1)]))
 
 
+def test_many_centroids(spark, monkeypatch):
+    """More centroids than are sent at once are searched, with the same results, ties going to the lowest class."""
+    rng = np.random.default_rng(6)
+    df = samples(spark, [(*rng.integers(0, 5, 3), int(rng.integers(0, 9))) for _ in range(60)])
+    c = centroid.fit_centroids(df)
+    whole = sorted(map(tuple, centroid.predict_centroid(df, c).select("sample_id", "predicted", "distance").collect()))
+    monkeypatch.setattr(centroid, "SENT_BYTES", 0)
+    assert sorted(map(tuple, centroid.predict_centroid(df, c).select("sample_id", "predicted", "distance").collect())) == whole
+
+
+def test_confusion_is_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([(0, 1), (0, 1), (1, 1)], "expected bigint, predicted bigint")
+    dim = spark.createDataFrame([(0, "a"), (1, "b")], "label bigint, class_name string")
+    assert sorted(map(tuple, metrics.confusion(df, dim).collect())) == [(0, 0, 0), (0, 1, 2), (1, 0, 0), (1, 1, 1)]
+    monkeypatch.setattr(metrics, "DENSE_CLASSES", 1)
+    assert sorted(map(tuple, metrics.confusion_cells(df).collect())) == [(0, 1, 2), (1, 1, 1)]
+    with pytest.raises(ConfigError):
+        metrics.confusion(df, dim)
+
+
 def test_bad_settings():
     with pytest.raises(ConfigError):
         I.Distributor("other")

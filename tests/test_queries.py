@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -11,6 +14,7 @@ from tesserine.queries import catalog
 from tools.compare import rows_of
 
 NAMES = ["prep_min_max_ranges", "prep_percentile_clip_ranges", "prep_train_test_split", "iv_encode_quantile", "iw_forward_arrow", "lib_topk_cosine", "blib_topk_masked_blend", "cls_confusion", "scan_positions", "scan_auroc_events", "box_map", "stream_window_rates"]
+NAMES += ["img_pixels_color", "img_rich_edge_color", "img_rich_layout_gray", "img_resize_down", "img_border", "img_patches", "scan_against_masks", "scan_evaluation_split", "src_synthetic_lines", "iw_train_evaluate", "rep_formatted"]
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +36,10 @@ def test_equal_to_sql(spark, sf_dir, duck, name):
 
 def test_names():
     assert set(catalog.SQL) <= set(catalog.QUERIES)
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    told = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and not [k for k in q if k.startswith('op') or k == 'pipeline'] and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", told], cwd=tmp_path / "r", check=True, timeout=100)
