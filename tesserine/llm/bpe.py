@@ -34,9 +34,9 @@ from .store import read_table
 from .words import Words, give_back, last_bytes, ragged, text_bytes, white_space
 
 #: Pieces, and bytes of the longer ones, that a worker remembers; bytes of the texts in a batch, and of the new pieces in a string for the library.
-REMEMBERED, REMEMBERED_BYTES, BATCH_BYTES, STRING_BYTES = 1_000_000, 1 << 26, 1 << 20, 1 << 14
+REMEMBERED, REMEMBERED_BYTES, BATCH_BYTES, STRING_BYTES = 300_000, 1 << 24, 1 << 19, 1 << 14
 #: Batches after which freed memory goes back to the system.
-GIVE_BACK = 8
+GIVE_BACK = 4
 #: Fixed value: the pattern of the pre-tokenizer, byte-level without an added space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space that is too long for the encoder by ranks.

@@ -43,7 +43,7 @@ EXACT = Sketches(WHOLE, WHOLE, WHOLE)
 # --- shingle sets ---------------------------------------------------------------------------------
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
-_REMEMBERED = 100_000
+_REMEMBERED = 50_000
 _words: dict[bytes, int] = {}
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What goes to Python at once while an intermediate table is made, at most; sets of shingles and long texts make wide rows.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 #: The tables made within each open ``scratch``, innermost last.
 _open: ContextVar[tuple[list, ...]] = ContextVar("open", default=())

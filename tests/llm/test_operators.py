@@ -221,6 +221,26 @@ def test_plan_holds_every_constraint(score):
         assert sum(sizes) <= capacity.tokens and len(sizes) <= capacity.documents and sum(x * x for x in sizes) <= capacity.cost
 
 
+@pytest.mark.parametrize("score", ["residual", "dot"])
+@pytest.mark.parametrize("capacity", [packing.Capacity(100, 4, 10_000), packing.Capacity(100, 50, 2_600)])
+def test_pack_under_binding_capacities(spark, capacity, score):
+    """Whole tables of pieces under capacities of which documents, or attention cost, fill up before tokens do."""
+    rng = random.Random(14)
+    rows = [(i, 0, rng.randint(1, 50)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint")
+    out = packing.pack(df, capacity, score=score).collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in out) == rows
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in map(sorted, bins.values()):
+        sizes = [n for _, n in own]
+        assert [o for o, _ in own] == [sum(sizes[:i]) for i in range(len(sizes))]
+        assert sum(sizes) <= capacity.tokens and len(sizes) <= capacity.documents and sum(n * n for n in sizes) <= capacity.cost
+    least = max(sum(n for *_, n in rows) / capacity.tokens, len(rows) / capacity.documents, sum(n * n for *_, n in rows) / capacity.cost)
+    assert least > sum(n for *_, n in rows) / capacity.tokens and len(bins) <= 1.1 * least + 1
+
+
 def test_packing_odd(spark, odd_docs):
     out = packing.pack_documents(odd_docs)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
