@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from ..errors import ConfigError
 from ..functions.vectors import EPSILON
 
+#: What is lacking to a half at most where a sum of fractions is one.
+TIE = 1e-9
 GRID, COLOR_BINS, HSV_BINS, HOG_BINS, LBP_BINS = 4, 8, 8, 8, 16
 CELLS = GRID * GRID
 
@@ -82,12 +84,12 @@ def _triangle_weights(n: int, m: int) -> np.ndarray:
 
 
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Triangle-filter resize to exactly this size, rows first."""
+    """Triangle-filter resize to exactly this size, rows first; halves go up, whatever sums of fractions make of them."""
     if image.shape[:2] == (height, width):
         return image
     rows = np.tensordot(_triangle_weights(image.shape[0], height), image.astype(float), axes=(1, 0))
     both = np.tensordot(_triangle_weights(image.shape[1], width), rows, axes=(1, 1)).swapaxes(0, 1)
-    return np.clip(np.round(both), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(both + (0.5 + TIE)), 0, 255).astype(np.uint8)
 
 
 def contain(image: np.ndarray, width: int, height: int) -> np.ndarray:

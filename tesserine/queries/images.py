@@ -303,7 +303,7 @@ def _weights_sql(n: int, m: int) -> str:
 def resize_sql(width: int, height: int) -> str:
     return f"""WITH {RAW_SQL}, wy AS ({_weights_sql(SIDE, height)}), wx AS ({_weights_sql(SIDE, width)}),
 rows_ AS (SELECT id, c, wy.o AS y, x, sum(k * v) AS v FROM raw JOIN wy ON wy.i = raw.y GROUP BY ALL),
-both_ AS (SELECT id, c, y, wx.o AS x, least(greatest(round_even(sum(k * v), 0), 0), 255)::BIGINT AS v FROM rows_ JOIN wx ON wx.i = rows_.x GROUP BY ALL)
+both_ AS (SELECT id, c, y, wx.o AS x, least(greatest(floor(sum(k * v) + 0.5::DOUBLE + 1e-9::DOUBLE), 0), 255)::BIGINT AS v FROM rows_ JOIN wx ON wx.i = rows_.x GROUP BY ALL)
 SELECT id, y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM both_ GROUP BY ALL"""
 
 
