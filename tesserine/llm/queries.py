@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_tokens
+from .fim import OP13_SQL, op13_fill_in_middle
 from .lines import OP5_SQL, op5_line_dedup
 from .neardup import OP6_SQL, op6_near_dedup
 from .packing import op3_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_urls": op10_urls,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op8_topk": OP8_SQL,
     "op9_secrets": OP9_SQL,
     "op10_urls": OP10_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
