@@ -13,6 +13,7 @@ from .secrets import OP9_SQL, op9_secrets
 from .shards import OP1_SQL, op1_shards
 from .topk import OP8_SQL, op8_topk
 from .urls import OP10_SQL, op10_urls
+from .warc import OP11_SQL, op11_warc
 
 QUERIES = {
     "op1_shards": op1_shards,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_urls": op10_urls,
+    "op11_warc": op11_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -36,5 +38,6 @@ ORACLE_SQL = {
     "op8_topk": OP8_SQL,
     "op9_secrets": OP9_SQL,
     "op10_urls": OP10_SQL,
+    "op11_warc": OP11_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
