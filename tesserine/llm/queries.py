@@ -7,6 +7,7 @@ from .fim import OP13_SQL, op13_fill_in_middle
 from .lines import OP5_SQL, op5_line_dedup
 from .neardup import OP6_SQL, op6_near_dedup
 from .packing import op3_packing
+from .phrases import OP12_SQL, op12_collocations
 from .pieces import op7_pieces
 from .quality import OP2_SQL, op2_quality
 from .secrets import OP9_SQL, op9_secrets
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_urls": op10_urls,
     "op11_warc": op11_warc,
+    "op12_collocations": op12_collocations,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -39,5 +41,6 @@ ORACLE_SQL = {
     "op9_secrets": OP9_SQL,
     "op10_urls": OP10_SQL,
     "op11_warc": OP11_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
