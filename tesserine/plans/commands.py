@@ -340,9 +340,11 @@ def search_libraries(spark: SparkSession, s: Settings, out: str | None = None) -
         variants.append((asked(held).persist(), refs))
         rest.append((own, dim, asked))
 
+    scored = searching.Population(variants)
+
     def run(after) -> dict:
         space = searching.library_space(len(specs), listed(s.search_top_ks, int))
-        score = lambda g: searching.evaluate_libraries(g, variants, s.memory_penalty, s.time_penalty)
+        score = lambda g: searching.evaluate_libraries(g, scored, s.memory_penalty, s.time_penalty)
         genome, history = searching.search(space, search_config(s), score, lambda g: (specs[g["variant"]][0], g["top_k"]), after)
         queries, refs = variants[genome["variant"]]
         own, dim, asked = rest[genome["variant"]]
@@ -357,6 +359,7 @@ def search_libraries(spark: SparkSession, s: Settings, out: str | None = None) -
     try:
         return _searched(spark, s, "binary-search", out, run)
     finally:
+        scored.close()
         for queries, refs in variants:
             queries.unpersist()
             refs.unpersist()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, boxes, failures, images, metrics, prep
 from ..operators.library import top_k_bits, vote
 from ..plans import matrix, search
+from ..plans.population import Population
 from ..sources import sinks
 from ..sources.vectors import JITTER, synthetic_lines, synthetic_points, uniform_sql
 from ..streaming.scoring import window_rates
@@ -222,11 +223,12 @@ def halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return test.select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector"), F.col("label").alias("expected")), as_refs(train)
 
 
-#: Fixed recipes, so that one generation's fitness can be held against SQL.
+#: Fixed recipes, so that one generation's fitness can be held against SQL; some share thresholds or masks.
 GENOMES = [
-    {"variant": 0, "top_k": 1, "threshold": 0.0, "jaccard_weight": 0.0, "blocks": 0xFFFF},
-    {"variant": 0, "top_k": 3, "threshold": 0.05, "jaccard_weight": 1.0, "blocks": 0x7E57},
-    {"variant": 0, "top_k": 5, "threshold": -0.05, "jaccard_weight": 0.5, "blocks": 0x00FF},
+    {"variant": 0, "top_k": k, "threshold": t, "jaccard_weight": w, "blocks": m}
+    for t, masks in ((0.0, (0xFFFF, 0x00FF)), (0.05, (0x7E57,)), (-0.05, (0x00FF, 0x8001, 0xFFFF)))
+    for m in masks
+    for k, w in ((1, 0.0), (3, 1.0), (5, 0.5))
 ]
 
 
@@ -236,11 +238,13 @@ def ga_fitness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ga_run(spark: SparkSession, d: str) -> DataFrame:
-    """A seeded search; its history."""
-    queries, refs = halves(spark, d)
-    variants = [(queries.persist(), refs.persist())]
+    """A seeded search of 32 genomes over 20 generations; its history."""
     space = search.Space({"variant": (0,), "top_k": (1, 3)}, {"threshold": (-0.2, 0.2, 0.05), "jaccard_weight": (0.0, 1.0, 0.25)}, True)
-    _, history = search.search(space, search.SearchConfig(4, 2, 1), lambda g: search.evaluate_libraries(g, variants), lambda g: (g["variant"], g["top_k"]))
+    scored = Population([halves(spark, d)])
+    try:
+        _, history = search.search(space, search.SearchConfig(32, 20), lambda g: search.evaluate_libraries(g, scored), lambda g: (g["variant"], g["top_k"]))
+    finally:
+        scored.close()
     return spark.createDataFrame([(h["generation"], h["best_fitness"], h["top_k"], h["threshold"], h["jaccard_weight"], h["blocks"]) for h in history], "generation bigint, best_fitness double, top_k bigint, threshold double, jaccard_weight double, blocks bigint")
 
 
@@ -387,7 +391,7 @@ def _genome_sql(i: int, g: dict) -> str:
     chosen = [x + 1 for b in range(16) if g["blocks"] >> b & 1 for x in range(4 * b, 4 * b + 4)]
     w = g["jaccard_weight"]
     return f"""SELECT {i}::BIGINT AS genome, round(avg((label = expected)::INT::DOUBLE), 6) AS fitness FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, c DESC, label) AS r FROM (
-  SELECT query_id, any_value(expected) AS expected, label, sum(score) AS s, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, ref_id) AS rank FROM (
+  SELECT query_id, any_value(expected) AS expected, label, list_sum(list(score ORDER BY rank)) AS s, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, ref_id) AS rank FROM (
     SELECT query_id, expected, ref_id, label, (1 - (either - shared) / {len(chosen)}) * {1 - w}::DOUBLE + CASE WHEN either = 0 THEN 1 ELSE shared / either END * {w}::DOUBLE AS score FROM (
       SELECT a.id AS query_id, a.label AS expected, b.id AS ref_id, b.label AS label,
         list_sum(list_transform({chosen}, lambda i: (a.f[i] >= {g["threshold"]} AND b.f[i] >= {g["threshold"]})::INT))::DOUBLE AS shared, list_sum(list_transform({chosen}, lambda i: (a.f[i] >= {g["threshold"]} OR b.f[i] >= {g["threshold"]})::INT))::DOUBLE AS either
