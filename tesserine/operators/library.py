@@ -26,22 +26,22 @@ def dense_scores(q: np.ndarray, r: np.ndarray, metric: str, threshold: float = 0
     """Similarities of all rows of q and r. Sums run over the features in order, so a score depends on its two vectors alone."""
     n, m = len(q), len(r)
     if metric == "cosine":
-        dots = _in_order(q, r, lambda x, y: x * y)
+        dots = in_order(q, r, lambda x, y: x * y)
         a, b = _squares(q), _squares(r)
         small = (a[:, None] <= EPSILON) | (b[None, :] <= EPSILON)
         return np.where(small, 0.0, dots / np.where(small, 1.0, np.sqrt(a)[:, None] * np.sqrt(b)[None, :]))
     if metric == "euclidean":
-        return 1.0 / (1.0 + np.sqrt(_in_order(q, r, lambda x, y: (x - y) ** 2)))
+        return 1.0 / (1.0 + np.sqrt(in_order(q, r, lambda x, y: (x - y) ** 2)))
     a, b = q >= threshold, r >= threshold
     if metric == "hamming":
-        return _in_order(a, b, lambda x, y: x == y) / q.shape[1] if q.shape[1] else np.zeros((n, m))
+        return in_order(a, b, lambda x, y: x == y) / q.shape[1] if q.shape[1] else np.zeros((n, m))
     if metric == "jaccard":
-        both, either = _in_order(a, b, lambda x, y: x & y), _in_order(a, b, lambda x, y: x | y)
+        both, either = in_order(a, b, lambda x, y: x & y), in_order(a, b, lambda x, y: x | y)
         return np.where(either > 0, both / np.where(either > 0, either, 1.0), 1.0)
     raise ConfigError(f"unknown metric {metric}")
 
 
-def _in_order(q: np.ndarray, r: np.ndarray, term) -> np.ndarray:
+def in_order(q: np.ndarray, r: np.ndarray, term) -> np.ndarray:
     total = np.zeros((len(q), len(r)))
     columns = np.ascontiguousarray(r.T)
     for d in range(q.shape[1]):
@@ -85,28 +85,29 @@ def best(scores: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int, by_lab
     return order[np.take_along_axis(at, inner, axis=1)]
 
 
-def _blocks(rows: DataFrame, key: str, n: int, columns: list[str]) -> Iterator[pa.Table]:
-    """The rows in blocks of at most BLOCK, one after the other."""
-    if n > BLOCK:
+def blocks(rows: DataFrame, key: str, n: int, columns: list[str], size: int | None = None) -> Iterator[pa.Table]:
+    """The n rows in blocks of at most ``size`` (BLOCK if not given), one after the other."""
+    size = size or BLOCK
+    if n > size:
         keyed = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(bucket_count(n))))
-        rows = kept(exact_rank(keyed, [], "__bucket", [key], "__n").withColumn("__block", F.expr(f"__n div {BLOCK}")).select(*columns, "__block"))
-    for b in range(-(-n // BLOCK)):
-        yield (rows.where(F.col("__block") == b) if n > BLOCK else rows).select(*columns).toArrow().combine_chunks()
+        rows = kept(exact_rank(keyed, [], "__bucket", [key], "__n").withColumn("__block", F.expr(f"__n div {size}")).select(*columns, "__block"))
+    for b in range(-(-n // size)):
+        yield (rows.where(F.col("__block") == b) if n > size else rows).select(*columns).toArrow().combine_chunks()
 
 
-def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+def matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     lists = table.column("vector")
     return as_matrix(lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists)
 
 
-def _column(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+def column(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     column = table.column(name)
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
 def _found(queries, refs, k: int, scorer, by_label: bool, exclude_self: bool) -> tuple[np.ndarray, ...]:
     """(query, ref, label, score) of the k best of some stored vectors for each of some queries."""
-    own, q, ids, labels, r = _column(queries, "query_id"), _matrix(queries), _column(refs, "ref_id"), _column(refs, "label"), _matrix(refs)
+    own, q, ids, labels, r = column(queries, "query_id"), matrix(queries), column(refs, "ref_id"), column(refs, "label"), matrix(refs)
     if q.shape[1] != r.shape[1]:
         raise DimensionError(f"{q.shape[1]} features, expected {r.shape[1]}")
     parts = []
@@ -152,7 +153,7 @@ def _search(queries: DataFrame, refs: DataFrame, k: int, scorer, by_label: bool,
     passed = refs.select("ref_id", "label", "vector") if send_queries else asked
 
     found = None
-    for table in _blocks(sent_rows, key, n, columns):
+    for table in blocks(sent_rows, key, n, columns):
         sent = queries.sparkSession.sparkContext.broadcast(table)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

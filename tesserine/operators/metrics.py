@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError
 from ..functions.vectors import EPSILON, safe_div
 
-#: Classes up to which a confusion matrix is written out with its zeros.
+#: Classes up to which a report writes a confusion matrix out with its zeros, besides its cells.
 DENSE_CLASSES = 2_048
 
 _as_int = lambda c: c.cast("long")
@@ -35,9 +34,7 @@ def confusion_cells(predictions: DataFrame, expected: str = "expected", predicte
 
 
 def confusion(predictions: DataFrame, dim: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
-    """(actual_index, predicted_index, n): the dense matrix in long form, of up to DENSE_CLASSES classes. The two dimensions are classes, not rows."""
-    if dim.count() > DENSE_CLASSES:
-        raise ConfigError(f"more than {DENSE_CLASSES} classes have no dense matrix; see confusion_cells")
+    """(actual_index, predicted_index, n): the dense matrix in long form. The two dimensions are classes, not rows; ``confusion_cells`` leaves the zeros out."""
     counts = confusion_cells(predictions, expected, predicted).toDF("__a", "__p", "__n")
     cells = dim.select(F.col("label").alias("actual_index")).crossJoin(dim.select(F.col("label").alias("predicted_index")))
     joined = cells.join(counts, (F.col("actual_index") == F.col("__a")) & (F.col("predicted_index") == F.col("__p")), "left")
@@ -91,11 +88,16 @@ def f1_columns(predicted: Column, expected: Column) -> dict[str, Column]:
 
 
 def classification_metrics(predictions: DataFrame, dim: DataFrame) -> DataFrame:
-    """One row: accuracy, per_class and confusion as nested arrays, whose size DENSE_CLASSES bounds."""
+    """One row: accuracy, per_class, the confusion's cells that aren't zero, and up to DENSE_CLASSES classes the matrix with its zeros too (else null), as nested arrays."""
     per = per_class_accuracy(predictions, dim)
     nested = per.agg(F.array_sort(F.collect_list(F.struct("class_index", "class_name", "correct", "total", "accuracy"))).alias("per_class_accuracy"))
-    rows = confusion_rows(confusion(predictions, dim)).agg(F.array_sort(F.collect_list(F.struct("actual_index", "predicted_counts"))).alias("confusion_matrix"))
-    return accuracy(predictions).crossJoin(nested).crossJoin(rows)  # of one row each
+    cells = confusion_cells(predictions).agg(F.array_sort(F.collect_list(F.struct("actual_index", "predicted_index", "n"))).alias("confusion_cells"))
+    told = accuracy(predictions).crossJoin(nested).crossJoin(cells)  # of one row each
+    rows = "array<struct<actual_index: bigint, predicted_counts: array<bigint>>>"
+    if dim.count() > DENSE_CLASSES:
+        return told.withColumn("confusion_matrix", F.lit(None).cast(rows))
+    dense = confusion_rows(confusion(predictions, dim)).agg(F.array_sort(F.collect_list(F.struct("actual_index", "predicted_counts"))).alias("confusion_matrix"))
+    return told.crossJoin(dense)
 
 
 def misclassified(predictions: DataFrame, order: str = "sample_id", limit: int = 25) -> DataFrame:

@@ -353,7 +353,7 @@ def search_libraries(spark: SparkSession, s: Settings, out: str | None = None) -
         if s.eval_data:
             other, _ = load(spark, own, s.eval_data)
             told = judged(asked(prep.remap_labels(other.drop("label"), "class_name", dim)))
-            found |= {"eval_accuracy": told["accuracy"], "eval_per_class_accuracy": told["per_class_accuracy"], "eval_confusion_matrix": told["confusion_matrix"]}
+            found |= {"eval_accuracy": told["accuracy"], "eval_per_class_accuracy": told["per_class_accuracy"], "eval_confusion_matrix": told["confusion_matrix"], "eval_confusion_cells": told["confusion_cells"]}
         return found
 
     try:
@@ -459,10 +459,10 @@ def debug_bundle(spark: SparkSession, s: Settings, model: str, path: str) -> lis
     margin = library.margins(near).select(F.col("query_id").alias("sample_id"), "score_margin")
     names = [c for c in ("path", "class_name") if c in test.columns]
     rows = told.join(margin, "sample_id", "left").join(test.select("sample_id", *names), "sample_id").withColumns({"correct": F.col("expected") == F.col("predicted"), "score_margin": F.coalesce("score_margin", F.lit(0.0))}).persist()
-    per, matrix_ = metrics.per_class_accuracy(rows, dim), metrics.confusion(rows, dim)
-    common = metrics.most_common_confusion(matrix_)
+    per, cells = metrics.per_class_accuracy(rows, dim), metrics.confusion_cells(rows)
+    common = metrics.most_common_confusion(cells)
     said = failures.findings(metrics.worst_class(per), common, failures.confidence_summary(rows))
-    frames = {"predictions": rows, "per_class": per, "confusion": matrix_, "high_confidence_wrong": failures.ranked_wrong(rows, True), "ambiguous_wrong": failures.ranked_wrong(rows, False)}
+    frames = {"predictions": rows, "per_class": per, "confusion": metrics.confusion(rows, dim) if classes <= metrics.DENSE_CLASSES else cells, "high_confidence_wrong": failures.ranked_wrong(rows, True), "ambiguous_wrong": failures.ranked_wrong(rows, False)}
     files = {"config.json": json.dumps(asdict(s)), "failure_analysis.json": json.dumps(said), "metrics.json": json.dumps(metrics.classification_metrics(rows, dim).first().asDict(recursive=True))}
     page = []
     if "path" in names:

@@ -242,3 +242,11 @@ def test_crops(spark, tmp_path):
     with pytest.raises(ConfigError):
         crops.crop_dataset(spark, str(tmp_path / "in"), found, str(tmp_path / "out"), s)
     assert crops.crop_dataset(spark, str(tmp_path / "in"), found, str(tmp_path / "out"), replace(s, overwrite=True, background="blur", output_size=6, match_source_class=False))["crops_written"] == 2
+
+
+def test_thousands_of_classes(spark, tmp_path):
+    path = tmp_path / "e.csv"
+    path.write_text("a,b,label\n" + "".join(f"{i % 55 + 0.01 * k},{i // 55},c{i:04d}\n" for i in range(3000) for k in range(3)))
+    told = commands.evaluate(spark, "centroid", commands.Settings(source="embedding-csv", data=str(path), test_ratio=0.3))
+    assert len(told["per_class_accuracy"]) == 3000 and told["accuracy"] > 0.9 and told["confusion_matrix"] is None
+    assert sum(c["n"] for c in told["confusion_cells"]) == told["total"] and told["correct"] == sum(c["n"] for c in told["confusion_cells"] if c["actual_index"] == c["predicted_index"])

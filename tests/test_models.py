@@ -174,24 +174,35 @@ def test_centroid(spark):
         centroid.fit_centroids(samples(spark, [(0, 0, 0), (1, 1)]))
 
 
-def test_many_centroids(spark, monkeypatch):
-    """More centroids than are sent at once are searched, with the same results, ties going to the lowest class."""
+@pytest.mark.parametrize("limit", [0, 100, 64 << 20])
+def test_many_centroids(spark, monkeypatch, limit):
+    """Results don't depend on how many centroids are sent at once; distances that differ by little, rows that share an id or have none, ties, nulls and what is no number."""
+    monkeypatch.setattr(centroid, "SENT_BYTES", limit)
+    c = spark.createDataFrame([(0, [1e-17]), (1, [0.0]), (2, [5.0]), (7, [0.0])], "label bigint, centroid array<double>")
+    rows = spark.createDataFrame([(1, [0.0]), (2, [1e-17]), (2, [5.0]), (3, [2.5]), (4, None), (5, [float("nan")])], "sample_id bigint, features array<double>")
+    told = [(r.predicted, r.distance) for r in centroid.predict_centroid(rows, c).orderBy("sample_id", "features").collect()]
+    assert told[:5] == [(1, 0.0), (0, 0.0), (2, 0.0), (0, 6.25), (None, None)] and told[5][0] == 0 and np.isnan(told[5][1])
+    assert centroid.predict_centroid(rows.drop("sample_id"), c).columns == ["features", "predicted", "distance"]
     rng = np.random.default_rng(6)
     df = samples(spark, [(*rng.integers(0, 5, 3), int(rng.integers(0, 9))) for _ in range(60)])
-    c = centroid.fit_centroids(df)
-    whole = sorted(map(tuple, centroid.predict_centroid(df, c).select("sample_id", "predicted", "distance").collect()))
-    monkeypatch.setattr(centroid, "SENT_BYTES", 0)
-    assert sorted(map(tuple, centroid.predict_centroid(df, c).select("sample_id", "predicted", "distance").collect())) == whole
+    fitted = centroid.fit_centroids(df)
+    by_label = {r.label: np.array(r.centroid) for r in fitted.collect()}
+    for r in centroid.predict_centroid(df, fitted).collect():
+        assert (r.distance, r.predicted) == min((float(sum((np.array(r.features) - v) ** 2)), label) for label, v in by_label.items())
+    with pytest.raises(EmptyInputError):
+        centroid.predict_centroid(df, fitted.limit(0))
 
 
-def test_confusion_is_bounded(spark, monkeypatch):
+def test_confusion_of_many_classes(spark, monkeypatch):
     df = spark.createDataFrame([(0, 1), (0, 1), (1, 1)], "expected bigint, predicted bigint")
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "label bigint, class_name string")
     assert sorted(map(tuple, metrics.confusion(df, dim).collect())) == [(0, 0, 0), (0, 1, 2), (1, 0, 0), (1, 1, 1)]
+    told = metrics.classification_metrics(df, dim).first()
+    cells = [tuple(c) for c in told.confusion_cells]
+    assert cells == [(0, 1, 2), (1, 1, 1)] and [list(r.predicted_counts) for r in told.confusion_matrix] == [[0, 2], [0, 1]]
     monkeypatch.setattr(metrics, "DENSE_CLASSES", 1)
-    assert sorted(map(tuple, metrics.confusion_cells(df).collect())) == [(0, 1, 2), (1, 1, 1)]
-    with pytest.raises(ConfigError):
-        metrics.confusion(df, dim)
+    told = metrics.classification_metrics(df, dim).first()
+    assert [tuple(c) for c in told.confusion_cells] == cells and told.confusion_matrix is None and told.accuracy == pytest.approx(1 / 3)
 
 
 def test_bad_settings():
