@@ -16,7 +16,7 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Hexadecimal digits of the short prefix that expressions and rules are joined on.
+#: Hexadecimal digits of the short prefix that expressions and rules are joined on, as a number.
 SHORT = 8
 
 
@@ -33,6 +33,10 @@ def digest(expression: Column) -> Column:
     return F.sha2(expression, 256)
 
 
+def short_prefix(full: Column) -> Column:
+    return F.conv(F.substring(full, 1, SHORT), 16, 10).cast("long")
+
+
 def compile_rules(rules: DataFrame) -> DataFrame:
     """Rules (host, path, verdict) with their digests and how deep they go. Of equal rules, ``block`` wins; rules with a null are left out."""
     full = rules.dropna(subset=["host", "path", "verdict"])
@@ -45,7 +49,7 @@ def compile_rules(rules: DataFrame) -> DataFrame:
         "slashed": F.endswith("path", F.lit("/")),
         "path_chars": F.char_length("path"),
     }
-    return named.select(F.substring("digest", 1, SHORT).alias("short"), "digest", "rule", "verdict", *(v.alias(k) for k, v in shape.items()))
+    return named.select(short_prefix(F.col("digest")).alias("short"), "digest", "rule", "verdict", *(v.alias(k) for k, v in shape.items()))
 
 
 def expressions(host: Column, path: Column, labels: int, slashes: int, lengths: list[int]) -> Column:
@@ -88,8 +92,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame
     once = plain.select(F.col(url).alias("__url")).where(F.col("__url").contains("://")).distinct()
     pairs = expressions(host, path, deepest["labels"] or 1, deepest["slashes"] or 0, sorted(deepest["lengths"]))
     tried = once.select("__url", F.explode(pairs).alias("e")).withColumn("e", digest(F.col("e")))
-    fits = tried.join(table, (F.substring("e", 1, SHORT) == table["short"]) & (F.col("e") == table["digest"]))
-    best = fits.groupBy(F.col("__url").alias("__of")).agg(F.max(F.struct(F.char_length("rule"), "host_chars", "rule", "verdict")).alias("__best"))
+    met = tried.withColumn("s", short_prefix(F.col("e"))).join(table, F.col("s") == table["short"])
+    confirmed = F.when(F.col("e") == F.col("digest"), F.struct(F.char_length("rule"), "host_chars", "rule", "verdict"))  # not in a filter, which would become part of the join
+    best = met.groupBy(F.col("__url").alias("__of")).agg(F.max(confirmed).alias("__best"))
     host, path = host_and_path(F.col(url))
     added = {"__host": host, "__path": path, "__rule": F.col("__best.rule"), "__verdict": F.coalesce("__best.verdict", F.lit("allow"))}
     joined = plain.join(best, F.col(url) == F.col("__of"), "left")
@@ -109,7 +114,7 @@ WITH rules(host, path, verdict) AS (VALUES {", ".join(str(r) for r in RULES)}),
 u AS (
   SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), p AS (
-  SELECT r, page_id, lower(regexp_extract(rest, '^[^/?#]*', 0)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), f AS (
   SELECT p.r, max_by(struct_pack(rule := rules.host || rules.path, verdict := rules.verdict), length(rules.host || rules.path)) AS best
   FROM p JOIN rules ON (p.host = rules.host OR suffix(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path) GROUP BY p.r
