@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from .store import materialize, new_path, plain_names, read_table
 
+#: Names that a secret is assigned to, in either case of ASCII letters alone: engines differ in what else they take for one.
+NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key"))
 #: Of each kind, in the order of the digest: pattern, the group whose length counts, and its least length.
 #: Runs of a class are maximal, so hex and access put the least length into the pattern; for assign a match that
 #: is too short still uses up its characters, so it is found first and dropped then.
 RULES = {
-    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "assign": (r"""(""" + NAMES + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     "access": (r"AKIA[A-Z0-9]{14,}", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
@@ -232,9 +234,13 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text",
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of every document, which are read back from the ledger that the scan has appended to; it starts empty, and adds no spans to those of the base rules."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = join_findings(docs, append_unseen(docs, new_path(spark, "ledger")))
+    """Findings of every document, read back from a ledger that was appended to twice: English documents first, then all of them, of which only blobs are scanned that the first pass hasn't seen.
+
+    The ledger starts empty, and adds no spans to those of the base rules.
+    """
+    docs, ledger = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), new_path(spark, "ledger")
+    append_unseen(docs.where("lang = 'en'"), ledger)
+    rows = join_findings(docs.drop("lang"), append_unseen(docs, ledger))
     of_rank = lambda i: F.size(F.filter("__spans", lambda s: s["rank"] == i)).cast("long")
     counts = {f"n_{k}": of_rank(i) for i, k in enumerate(RULES)}
     rows = rows.select("doc_id", *(v.alias(k) for k, v in counts.items()), span_text(F.col("__spans")).alias("spans"))
