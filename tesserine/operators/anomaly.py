@@ -46,7 +46,7 @@ def cap_references(refs: DataFrame, limit: int, order: str = "ref_id") -> DataFr
         return refs
     low, high = refs.agg(F.min(order), F.max(order)).first()
     width = max(1.0, (high - low + 1) / bucket_count(n))
-    keyed = refs.withColumn("__bucket", F.floor((F.col(order) - low) / F.lit(width)))
+    keyed = refs.withColumn("__bucket", F.floor((F.col(order).cast("double") - float(low)) / F.lit(width)))  # ids may span all longs, so their difference isn't one
     ranked = exact_rank(keyed, [], "__bucket", [order], "__n")
     # Place n is taken if some i has floor(i * step) = n: that is the least i with i * step >= n.
     step = n / limit
@@ -72,6 +72,14 @@ def image_scores(scored: DataFrame, fraction: float) -> DataFrame:
     return packed.select("image_id", mean.alias("score"), F.col("__s")[0].alias("max_patch_score"), n.cast("long").alias("patch_count"))
 
 
+def image_scores_at(scored: DataFrame, fractions: list[float]) -> DataFrame:
+    """(image_id, role, fraction, score): what ``image_scores`` gives for each of some fractions, from one pass over the patches (image_id, role, anomaly_score)."""
+    packed = scored.groupBy("image_id", "role").agg(F.sort_array(F.collect_list("anomaly_score"), asc=False).alias("__s"))
+    each = packed.withColumn("fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
+    take = F.greatest(F.lit(1), F.ceil(F.size("__s") * F.col("fraction")).cast("int"))
+    return each.select("image_id", "role", "fraction", (F.aggregate(F.slice("__s", F.lit(1), take), F.lit(0.0), lambda a, x: a + x) / take).alias("score"))
+
+
 def calibrate(scores: DataFrame, quantile: float) -> DataFrame:
     """(threshold): the nearest-rank percentile of the scores of held-out normal images; one row, 0 without any."""
     found = nearest_ranks(scores.select(F.lit(0).alias("one"), "score"), "one", "score", [quantile])

@@ -314,41 +314,62 @@ PARTS["rich-layout"] = [*PARTS["rich-texture"], "layout"]
 SIZES = {"color": 24, "intensity": 32, "hog": 128, "hsv": 24, "moments": 12, "lbp1": 256, "spatial": 384, "chromaticity": 6, "blocks": 288, "lbp2": 256, "edge": 48, "layout": 16}
 
 
-def _features(config: VectorConfig, gray: np.ndarray, color: np.ndarray, rgb: np.ndarray, hsv: np.ndarray) -> np.ndarray:
-    if config.features == "pixels":
-        return gray.ravel()
-    sums = np.maximum(rgb.sum(axis=-1, keepdims=True), EPSILON)
-    make = {
-        "color": lambda: color,
-        "intensity": lambda: cell_intensity(gray),
-        "hog": lambda: hog(gray),
-        "hsv": lambda: _channel_histogram(_binned(hsv, HSV_BINS), HSV_BINS),
-        "moments": lambda: np.concatenate([mean_std(rgb), mean_std(hsv)]),
-        "lbp1": lambda: local_patterns(gray, 1),
-        "spatial": lambda: spatial_histogram(hsv),
-        "chromaticity": lambda: mean_std(rgb / sums),
-        "blocks": lambda: hog_blocks(gray),
-        "lbp2": lambda: local_patterns(gray, 2),
-        "edge": lambda: edge_density(gray),
-        "layout": lambda: layout(gray),
-    }
-    return np.concatenate([make[p]() for p in PARTS[config.features]])
+class _Features:
+    """The parts of feature vectors of one resized image, each made once however many modes have it."""
+
+    def __init__(self, gray: np.ndarray, color: np.ndarray, rgb: np.ndarray, hsv: np.ndarray):
+        sums = np.maximum(rgb.sum(axis=-1, keepdims=True), EPSILON)
+        self.gray, self.made = gray, {}
+        self.make = {
+            "color": lambda: color,
+            "intensity": lambda: cell_intensity(gray),
+            "hog": lambda: hog(gray),
+            "hsv": lambda: _channel_histogram(_binned(hsv, HSV_BINS), HSV_BINS),
+            "moments": lambda: np.concatenate([mean_std(rgb), mean_std(hsv)]),
+            "lbp1": lambda: local_patterns(gray, 1),
+            "spatial": lambda: spatial_histogram(hsv),
+            "chromaticity": lambda: mean_std(rgb / sums),
+            "blocks": lambda: hog_blocks(gray),
+            "lbp2": lambda: local_patterns(gray, 2),
+            "edge": lambda: edge_density(gray),
+            "layout": lambda: layout(gray),
+        }
+
+    def part(self, name: str) -> np.ndarray:
+        if name not in self.made:
+            self.made[name] = self.make[name]()
+        return self.made[name]
+
+    def vector(self, mode: str) -> np.ndarray:
+        return self.gray.ravel() if mode == "pixels" else np.concatenate([self.part(p) for p in PARTS[mode]])
+
+
+def image_vectors(image: np.ndarray, configs: list[VectorConfig]) -> list[np.ndarray]:
+    """The feature vectors of an RGB image for several configs, which is resized once for all that agree in that."""
+    prepared: dict[tuple, _Features] = {}
+    out = []
+    for c in configs:
+        key = (c.width, c.height, c.resize, c.invert)
+        if key not in prepared:
+            pixels = prepare(image, c)
+            gray, rgb = luma(pixels) / 255.0, pixels / 255.0
+            if c.invert:
+                gray, rgb, pixels = 1.0 - gray, 1.0 - rgb, 255 - pixels
+            prepared[key] = _Features(gray, color_histogram(pixels), rgb, to_hsv(rgb))
+        out.append(prepared[key].vector(c.features))
+    return out
 
 
 def image_vector(image: np.ndarray, config: VectorConfig) -> np.ndarray:
     """The feature vector of an RGB image."""
-    pixels = prepare(image, config)
-    gray, rgb = luma(pixels) / 255.0, pixels / 255.0
-    if config.invert:
-        gray, rgb, pixels = 1.0 - gray, 1.0 - rgb, 255 - pixels
-    return _features(config, gray, color_histogram(pixels), rgb, to_hsv(rgb))
+    return image_vectors(image, [config])[0]
 
 
 def gray_vector(values: np.ndarray, config: VectorConfig) -> np.ndarray:
     """The feature vector of grey values (height, width) within 0..1; hue and saturation take the grey value too, and chromaticities are 1/3."""
     gray = 1.0 - values if config.invert else values
     same = np.repeat(np.clip(gray, 0.0, 1.0)[..., None], 3, axis=-1)
-    vector = _features(config, gray, _channel_histogram(_binned(same, COLOR_BINS), COLOR_BINS), same, same)
+    vector = _Features(gray, _channel_histogram(_binned(same, COLOR_BINS), COLOR_BINS), same, same).vector(config.features)
     if "chromaticity" in PARTS.get(config.features, ()):
         at = sum(SIZES[p] for p in PARTS["rich-spatial"])
         vector[at : at + 6] = mean_std(np.full((*gray.shape, 3), 1.0 / 3.0))
@@ -381,7 +402,8 @@ def vectorize(images: DataFrame, configs: dict[str, VectorConfig], keep: tuple[s
             rows = batch.column("image").to_pylist()
             decoded = [decode_row(r["data"], r["height"], r["width"], r["nChannels"]) for r in rows]
             columns = [batch.column(c) for c in keep]
-            columns += [pa.array([image_vector(d, c).tolist() for d in decoded], pa.list_(pa.float64())) for c in configs.values()]
+            made = zip(*(image_vectors(d, [*configs.values()]) for d in decoded)) if decoded else [[]] * len(configs)
+            columns += [pa.array(list(v), pa.list_(pa.float64())) for v in made]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return images.select(*keep, "image").mapInArrow(run, schema)
@@ -399,26 +421,36 @@ def stats(images: DataFrame) -> DataFrame:
     return images.select("path", "image").mapInArrow(run, "path string, " + ", ".join(f"{n} double" for n in names))
 
 
-def vectorize_patches(images: DataFrame, config: VectorConfig, patch: int, stride: int, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """(keep, x, y, w, h, vector) for every patch of each image, clipped to it, from one decode."""
-    schema = ", ".join([*(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in keep), "x bigint, y bigint, w bigint, h bigint, vector array<double>"])
+def vectorize_patch_sets(images: DataFrame, specs: list[tuple[VectorConfig, int, int]], keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(spec, keep, x, y, w, h, vector) for every patch of each image and each spec (config, patch size, stride), clipped to the image; every image is decoded once, and cut once for all specs of a grid."""
+    schema = ", ".join(["spec int", *(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in keep), "x bigint, y bigint, w bigint, h bigint, vector array<double>"])
+    grids: dict[tuple[int, int], list[int]] = {}
+    for i, (_, patch, stride) in enumerate(specs):
+        grids.setdefault((patch, stride), []).append(i)
 
-    def starts(size: int) -> list[int]:
+    def starts(size: int, patch: int, stride: int) -> list[int]:
         return [0] if size <= patch else [*range(0, size - patch, stride), size - patch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, r in enumerate(batch.column("image").to_pylist()):
                 image = decode_row(r["data"], r["height"], r["width"], r["nChannels"])
-                parts = [(x, y, image[y : y + patch, x : x + patch]) for x in starts(r["width"]) for y in starts(r["height"])]
-                own = [pa.array([batch.column(c)[i].as_py()] * len(parts), batch.column(c).type) for c in keep]
-                sizes = zip(*((x, y, p.shape[1], p.shape[0]) for x, y, p in parts))
-                vectors = pa.array([image_vector(p, config).tolist() for _, _, p in parts], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(s, pa.int64()) for s in sizes), vectors], names=[*keep, "x", "y", "w", "h", "vector"])
+                for (patch, stride), own in grids.items():
+                    parts = [(x, y, image[y : y + patch, x : x + patch]) for x in starts(r["width"], patch, stride) for y in starts(r["height"], patch, stride)]
+                    kept = [pa.array([batch.column(c)[i].as_py()] * len(parts), batch.column(c).type) for c in keep]
+                    sizes = [pa.array(s, pa.int64()) for s in zip(*((x, y, p.shape[1], p.shape[0]) for x, y, p in parts))]
+                    for spec, vectors in zip(own, zip(*(image_vectors(p, [specs[j][0] for j in own]) for _, _, p in parts))):
+                        columns = [pa.array([spec] * len(parts), pa.int32()), *kept, *sizes, pa.array(list(vectors), pa.list_(pa.float64()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["spec", *keep, "x", "y", "w", "h", "vector"])
 
     return images.select(*keep, "image").mapInArrow(run, schema)
 
 
+def vectorize_patches(images: DataFrame, config: VectorConfig, patch: int, stride: int, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(keep, x, y, w, h, vector) for every patch of each image, clipped to it, from one decode."""
+    return vectorize_patch_sets(images, [(config, patch, stride)], keep).drop("spec")
+
+
 def encode_png(image: np.ndarray) -> bytes:
     """A PNG file of RGB or RGBA bytes."""
     h, w, n = image.shape

@@ -79,6 +79,20 @@ def auroc(rows: DataFrame, score: str = "score", positive: str = "expected") ->
     return sums.select(F.coalesce(F.when(pairs > 0, F.col("w") / F.when(pairs > 0, pairs)), F.lit(0.0)).alias("auroc"))
 
 
+def auroc_by(rows: DataFrame, group: str, score: str = "score", positive: str = "expected") -> DataFrame:
+    """(group, auroc): what ``auroc`` gives for each group that has rows. A group isn't null."""
+    counts = rows.groupBy(group, F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    cuts = counts.groupBy(group).agg(F.percentile_approx("s", [i / 256 for i in range(1, 256)], 1024).alias("__cuts"))
+    ranged = counts.join(cuts, group).withColumn("__r", F.size(F.filter("__cuts", lambda c: c < F.col("s")))).drop("__cuts")
+    over = Window.partitionBy(group).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(group, "__r").agg(F.sum("n").alias("__n")).select(group, "__r", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(group, "__r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = ranged.withColumn("__w", F.coalesce(F.sum("n").over(within), F.lit(0))).join(before, [group, "__r"])
+    sums = below.groupBy(group).agg(F.sum(F.col("p") * (F.col("__before") + F.col("__w") + F.col("n") / 2)).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    pairs = F.col("p").cast("double") * F.col("n")
+    return sums.select(group, F.coalesce(F.when(pairs > 0, F.col("w") / F.when(pairs > 0, pairs)), F.lit(0.0)).alias("auroc"))
+
+
 def f1_columns(predicted: Column, expected: Column) -> dict[str, Column]:
     """Aggregates precision, recall and f1 (0 where precision + recall is at most EPSILON)."""
     hit, said, true = (F.count_if(c).cast("double") for c in (predicted & expected, predicted, expected))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import warnings
 from dataclasses import asdict, dataclass, fields, replace
 from itertools import product
 
@@ -16,6 +17,7 @@ from ..functions import bits
 from ..operators import centroid, failures, images, library, metrics, prep
 from ..operators.interval_model import Correction, IntervalModel, learning_curve
 from ..operators.intervals import TRIANGULAR
+from ..session import kept, release
 from ..sources import images as image_sources
 from ..sources import sinks
 from ..sources import vectors as vector_sources
@@ -23,7 +25,8 @@ from . import matrix, scan
 from . import search as searching
 
 MODELS = ("interval", "library", "binary", "centroid")
-SOURCES = ("iris", "synthetic", "image-synthetic", "embedding-csv", "image-folder", "image-manifest")
+IMAGE_SOURCES = ("image-folder", "image-manifest")
+SOURCES = ("iris", "synthetic", "image-synthetic", "embedding-csv", *IMAGE_SOURCES)
 SEARCHES = ("binary-search", "scan-search")
 #: Names of settings in the results of a search, and what such a result reports besides its recipe.
 ALIASES = {"image_features": "features", "image_resize": "resize", "active_blocks": "blocks", "max_train_patches": "max_patches", "threshold_quantile": "quantile", "patch_score_fraction": "fraction"}
@@ -137,17 +140,54 @@ def load(spark: SparkSession, s: Settings, path: str | None = None) -> tuple[Dat
         return vector_sources.read_embedding_csv(spark, path)
     if s.source not in SOURCES:
         raise ConfigError(f"unknown source {s.source}")
+    found = load_variants(spark, [s], path)
+    return found.samples(s), found.dim
+
+
+class Variants:
+    """An image source's vectors for several image settings, from one scan of its files and one decode of each image.
+
+    ``samples`` gives those of one of the settings, as ``load`` does. With
+    more than one they are stored, so that no model or seed decodes again;
+    ``close`` gives that back.
+    """
+
+    def __init__(self, rows: DataFrame, dim: DataFrame, configs: list[images.VectorConfig], root: str):
+        keep = tuple(c for c in ("path", "label", "class_name", "source_name", "split") if c in rows.columns)
+        self.dim, self.names = dim, {c: f"v{i}" for i, c in enumerate(dict.fromkeys(configs))}
+        vectors = images.vectorize(rows, {name: c for c, name in self.names.items()}, keep)
+        self.rows = vectors.withColumn("sample_id", F.xxhash64(image_sources.within("path", root)))  # the same wherever the files lie
+        self.stored = len(self.names) > 1
+        if self.stored:
+            self.rows = kept(self.rows)
+
+    def samples(self, s: Settings) -> DataFrame:
+        own = self.names[image_config(s)]
+        return self.rows.withColumnRenamed(own, "features").drop(*self.names.values())
+
+    def close(self) -> None:
+        if self.stored:
+            release(self.rows)
+
+
+def image_config(s: Settings) -> images.VectorConfig:
+    return images.VectorConfig(s.image_size, s.image_size, s.features, s.resize)
+
+
+def load_variants(spark: SparkSession, settings: list[Settings], path: str | None = None) -> Variants:
+    """The vectors of an image source for all of some settings, which differ in image size, features and resize mode."""
+    s = settings[0]
+    path = path or s.data
+    if s.source not in IMAGE_SOURCES or path is None:
+        raise ConfigError(f"{s.source} has no images, or needs data")
     read = image_sources.read_image_folder if s.source == "image-folder" else image_sources.read_image_manifest
     rows, dim = read(spark, path)
-    keep = tuple(c for c in ("path", "label", "class_name", "source_name", "split") if c in rows.columns)
-    out = images.vectorize(rows, {"features": images.VectorConfig(s.image_size, s.image_size, s.features, s.resize)}, keep)
-    root = path if s.source == "image-folder" else path.rpartition("/")[0]
-    return out.withColumn("sample_id", F.xxhash64(image_sources.within("path", root))), dim  # the same wherever the files lie
+    return Variants(rows, dim, [image_config(x) for x in settings], path if s.source == "image-folder" else path.rpartition("/")[0])
 
 
-def split(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, classes): a manifest's own split without shuffling, other evaluation data mapped by class name, or a seeded share."""
-    samples, dim = load(spark, s)
+def split(spark: SparkSession, s: Settings, found: Variants | None = None, other: Variants | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, test, classes): a manifest's own split without shuffling, other evaluation data mapped by class name, or a seeded share. ``found`` and ``other`` hold the data, and those of evaluation, where these are loaded."""
+    samples, dim = (found.samples(s), found.dim) if found else load(spark, s)
     if "split" in samples.columns and not samples.where("split = 'eval'").isEmpty():
         ordered = samples.withColumn("ord", F.col("sample_id"))
         return ordered.where("split = 'train'"), ordered.where("split = 'eval'"), dim
@@ -155,8 +195,8 @@ def split(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataF
     if s.eval_data:
         if s.source not in ("image-folder", "embedding-csv"):
             raise ConfigError(f"{s.source} takes no evaluation data")
-        other, _ = load(spark, s, s.eval_data)
-        return prep.train_test_split(samples, 0.0, s.seed), prep.remap_labels(other.drop("label"), "class_name", dim).withColumn("ord", F.col("sample_id")), dim
+        rows = other.samples(s) if other else load(spark, s, s.eval_data)[0]
+        return prep.train_test_split(samples, 0.0, s.seed), prep.remap_labels(rows.drop("label"), "class_name", dim).withColumn("ord", F.col("sample_id")), dim
     both = prep.train_test_split(samples, s.test_ratio, s.seed)
     return both.where("split = 'train'"), both.where("split = 'test'"), dim
 
@@ -264,15 +304,18 @@ def run_matrix(
 ) -> DataFrame:
     """Results of every combination; what isn't listed is as in the settings.
 
-    Each data set (features, resize mode, image size, seed) is read and split
-    once for all models. Interval counts and correction modes vary for the
-    interval model alone; the others have no use for them.
+    Images are read and decoded once for all features, resize modes and
+    sizes, and split once for all models. Interval counts and correction
+    modes vary for the interval model alone; the others have no use for them.
     """
     rows = []
     counts, modes = intervals or [s.intervals], corrections or [s.correction]
-    for feature, resize, size, seed in product(features or [s.features], resizes or [s.resize], sizes or [s.image_size], seeds):
-        own = replace(s, features=feature, resize=resize, image_size=size, seed=seed)
-        train, test, dim = split(spark, own)
+    variants = [replace(s, features=feature, resize=resize, image_size=size) for feature, resize, size in product(features or [s.features], resizes or [s.resize], sizes or [s.image_size])]
+    found = load_variants(spark, variants) if s.source in IMAGE_SOURCES else None
+    other = load_variants(spark, variants, s.eval_data) if s.source == "image-folder" and s.eval_data else None
+    for variant, seed in product(variants, seeds):
+        own = replace(variant, seed=seed)
+        train, test, dim = split(spark, own, found, other)
         train, test, _ = scaled(train, test)
         train, test, classes = train.persist(), test.persist(), dim.count()
         for model in models:
@@ -282,9 +325,12 @@ def run_matrix(
                 mine, _ = predictions(cell, model, train, train, classes)
                 per = [r.asDict() for r in metrics.per_class_accuracy(told, dim).collect()]
                 right, total = sum(p["correct"] for p in per), sum(p["total"] for p in per)
-                rows.append((model, feature, resize, mode, size, count, seed, metrics.accuracy(mine).first()["accuracy"], right / total if total else 0.0, per))
+                rows.append((model, own.features, own.resize, mode, own.image_size, count, seed, metrics.accuracy(mine).first()["accuracy"], right / total if total else 0.0, per))
         train.unpersist()
         test.unpersist()
+    for v in (found, other):
+        if v:
+            v.close()
     schema = "model string, image_features string, image_resize string, correction_mode string, image_size bigint, interval_count bigint, seed bigint, train_accuracy double, test_accuracy double, per_class array<struct<class_index: bigint, class_name: string, correct: bigint, total: bigint, accuracy: double>>"
     return matrix.row_columns(spark.createDataFrame(rows, schema))
 
@@ -328,18 +374,17 @@ def search_libraries(spark: SparkSession, s: Settings, out: str | None = None) -
     if s.source != "image-folder" or not s.data:
         raise ConfigError("a search over libraries needs an image folder")
     specs = list(product(listed(s.search_sizes, int) or [64], listed(s.search_features) or ["rich-texture"], listed(s.search_resizes) or ["center-crop"]))
+    settings = [replace(s, image_size=size, features=features, resize=resize) for size, features, resize in specs]
+    found = load_variants(spark, settings)
     variants, rest = [], []
-    for size, features, resize in specs:
-        own = replace(s, image_size=size, features=features, resize=resize)
-        samples, dim = load(spark, own)
-        parts = prep.train_test_split(samples, s.validation_ratio, s.seed)
+    for own in settings:
+        parts = prep.train_test_split(found.samples(own), s.validation_ratio, s.seed)
         train, held = parts.where("split = 'train'"), parts.where("split = 'test'")
         ranges = prep.min_max_ranges(train)
         refs = prep.min_max_scale(train, ranges).select(F.col("sample_id").alias("ref_id"), F.col("features").alias("vector"), "label").persist()
         asked = lambda rows, r=ranges: prep.min_max_scale(rows, r).select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector"), F.col("label").alias("expected"))
         variants.append((asked(held).persist(), refs))
-        rest.append((own, dim, asked))
-
+        rest.append((own, found.dim, asked))
     scored = searching.Population(variants)
 
     def run(after) -> dict:
@@ -349,17 +394,18 @@ def search_libraries(spark: SparkSession, s: Settings, out: str | None = None) -
         queries, refs = variants[genome["variant"]]
         own, dim, asked = rest[genome["variant"]]
         judged = lambda q: metrics.classification_metrics(searching.evaluate_one(genome, q, refs).join(q.select("query_id", "expected"), "query_id"), dim).first().asDict(recursive=True)
-        found = {"best_genome": searching.recipe_of(genome, specs), "best_fitness": history[-1]["best_fitness"], "validation_accuracy": judged(queries)["accuracy"], "eval_accuracy": None}
+        told_of = {"best_genome": searching.recipe_of(genome, specs), "best_fitness": history[-1]["best_fitness"], "validation_accuracy": judged(queries)["accuracy"], "eval_accuracy": None}
         if s.eval_data:
             other, _ = load(spark, own, s.eval_data)
             told = judged(asked(prep.remap_labels(other.drop("label"), "class_name", dim)))
-            found |= {"eval_accuracy": told["accuracy"], "eval_per_class_accuracy": told["per_class_accuracy"], "eval_confusion_matrix": told["confusion_matrix"], "eval_confusion_cells": told["confusion_cells"]}
-        return found
+            told_of |= {"eval_accuracy": told["accuracy"], "eval_per_class_accuracy": told["per_class_accuracy"], "eval_confusion_matrix": told["confusion_matrix"], "eval_confusion_cells": told["confusion_cells"]}
+        return told_of
 
     try:
         return _searched(spark, s, "binary-search", out, run)
     finally:
         scored.close()
+        found.close()
         for queries, refs in variants:
             queries.unpersist()
             refs.unpersist()
@@ -377,31 +423,52 @@ def search_scans(spark: SparkSession, s: Settings, path: str, out: str | None =
         max_patches=listed(s.search_max_patches, int), top_k=listed(s.search_top_ks, int), quantile=listed(s.search_quantiles, float), fraction=listed(s.search_fractions, float),
     )
 
-    def judged(genome: dict, images_: DataFrame) -> dict:
-        return scan.report(scan.run_scan(category, replace(s, **genome), images_))
+    stages = scan.ScanStages(category, s.seed)
+    expected = category.rows.select("image_id", "expected")
+    asked, lists = validation.join(expected, "image_id"), (list(space.choices["fraction"]), list(space.choices["quantile"]))
 
-    def fitness(genome: dict) -> float:
-        began = time.time()
+    def tried(what):
+        """What a step gives, or None where it fails; a session that has ended is an error."""
         try:
-            told = judged(genome, validation)
-        except ValueError:
-            return float("-inf")
-        width = images.VectorConfig(genome["image_size"], genome["image_size"], genome["features"], genome["resize"]).length
-        penalty = library.memory_bytes(told["reference_patches"], width) / 2**20 * max(s.memory_penalty, 0.0) + (time.time() - began) * 1000 * max(s.time_penalty, 0.0)
-        return searching.scan_fitness(told["auroc"], told["f1"], told["accuracy"] or 0.0, penalty)
+            return what()
+        except Exception as e:  # noqa: BLE001  a genome that can't be scored, for whatever reason, is the worst
+            if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+                raise
+            warnings.warn(f"a scan failed and counts as the worst: {str(e)[:300]}", stacklevel=2)
+            return None
+
+    def measured(genome: dict) -> tuple[dict, int]:
+        own = replace(s, **genome)
+        scan.anomaly.check_settings(own.patch_size, own.patch_stride, own.quantile, own.fraction)
+        return stages.measures(own, *lists, asked)[(float(own.fraction), float(own.quantile))], stages.scored(own)[1]
+
+    def score(genomes: list[dict]) -> list[float]:
+        began = time.time()
+        tried(lambda: stages.prepare([replace(s, **g) for g in genomes]))  # where this fails, each is tried by itself
+        found = [tried(lambda g=g: measured(g)) for g in genomes]
+        ms, out = (time.time() - began) * 1000 / max(len(genomes), 1), []
+        for g, told in zip(genomes, found):
+            if told is None:
+                out.append(float("-inf"))
+                continue
+            width = image_config(replace(s, **g)).length
+            penalty = library.memory_bytes(told[1], width) / 2**20 * max(s.memory_penalty, 0.0) + ms * max(s.time_penalty, 0.0)
+            out.append(searching.scan_fitness(told[0]["auroc"], told[0]["f1"], told[0]["accuracy"] or 0.0, penalty))
+        return out
 
     def run(after) -> dict:
         order = lambda g: (g["image_size"], g["patch_size"], g["patch_stride"])
-        genome, history = searching.search(space, search_config(s), lambda gs: [fitness(g) for g in gs], order, after)
+        genome, history = searching.search(space, search_config(s), score, order, after)
         found = {"best_recipe": genome, "best_fitness": history[-1]["best_fitness"]}
         for name, part in (("validation", validation), ("holdout", validation if holdout.isEmpty() else holdout)):
-            told = judged(genome, part)
+            told = scan.report(scan.run_scan(category, replace(s, **genome), part))
             found |= {f"{name}_{k}": told[k] for k in ("accuracy", "auroc", "f1")}
         return found
 
     try:
         return _searched(spark, s, "scan-search", out, run)
     finally:
+        stages.close()
         validation.unpersist()
         holdout.unpersist()
 
@@ -475,7 +542,7 @@ def debug_bundle(spark: SparkSession, s: Settings, model: str, path: str) -> lis
             compared = resize_comparisons(spark, s, model, some, train, ranges, classes)
             frames |= {"resize_comparisons": compared, "resize_disagreements": failures.resize_disagreements(compared, rows)}
             pictures = {r["path"]: r["image"] for r in image_sources.read_images(spark, [r["path"] for r in chosen]).collect()}
-            config = images.VectorConfig(s.image_size, s.image_size, s.features, s.resize)
+            config = image_config(s)
             closest: dict[int, list] = {}
             for n in near.join(some.select(F.col("sample_id").alias("query_id")), "query_id").orderBy("query_id", "rank").collect():
                 closest.setdefault(n["query_id"], []).append({"ref_id": n["ref_id"], "label": n["label"], "score": n["score"], "distance": 1.0 / n["score"] - 1.0 if s.metric == "euclidean" and n["score"] else None})

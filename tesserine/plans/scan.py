@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, EmptyInputError
 from ..operators import anomaly, images, metrics, prep
-from ..session import kept
+from ..operators.ranking import nearest_ranks
+from ..session import kept, release
 from ..sources import images as image_sources
 
 if TYPE_CHECKING:
@@ -105,33 +106,94 @@ class Scanned:
     counts: dict[str, int]
 
 
+class ScanStages:
+    """The stages of a category's scans, each stored once for all scans that agree in what it depends on.
+
+    Patches depend on the image settings and the grid; the references, and
+    with them the patches' scores, on the cap and the metric too; an image's
+    score on the fraction, and the threshold on the quantile. Patches of
+    several grids and image settings are made in one pass, from one decode.
+    """
+
+    def __init__(self, category: Category, seed: int, evaluated: DataFrame | None = None):
+        held = category.rows.where("split = 'eval'")
+        if evaluated is not None:
+            held = held.join(evaluated.select("image_id"), "image_id", "left_semi")
+        if held.isEmpty():
+            raise EmptyInputError("a scan needs images to evaluate")
+        self.held, self.part = held, roles(category.rows, seed)
+        reading = category.rows.where("split = 'train'").join(self.part, "image_id").select("image_id", "image", "role")
+        self.rows = reading.unionByName(held.select("image_id", "image", F.lit("eval").alias("role")))
+        self._patches: dict[tuple, DataFrame] = {}
+        self._scored: dict[tuple, tuple[DataFrame, int]] = {}
+        self._measures: dict[tuple, dict] = {}
+        self._stored: list[DataFrame] = []
+
+    @staticmethod
+    def first_key(s: Settings) -> tuple:
+        return images.VectorConfig(s.image_size, s.image_size, s.features, s.resize), s.patch_size, s.patch_stride
+
+    def second_key(self, s: Settings) -> tuple:
+        return *self.first_key(s), s.max_patches, s.metric
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._stored.append(kept(df))
+        return self._stored[-1]
+
+    def prepare(self, settings: list[Settings]) -> None:
+        """Make the patches of all settings that need others than are there, in one pass over the images."""
+        keys = [k for k in dict.fromkeys(self.first_key(s) for s in settings) if k not in self._patches]
+        if keys:
+            made = images.vectorize_patch_sets(self.rows, keys, ("image_id", "role")).withColumn("patch_id", F.xxhash64("image_id", "x", "y"))
+            made = self._keep(made)
+            self._patches |= {k: made.where(F.col("spec") == i).drop("spec") for i, k in enumerate(keys)}
+
+    def scored(self, s: Settings) -> tuple[DataFrame, int]:
+        """(patches of all images but the library's, with anomaly_score, in their roles; how many references there are)."""
+        key = self.second_key(s)
+        if key not in self._scored:
+            self.prepare([s])
+            patches = self._patches[self.first_key(s)]
+            refs = anomaly.cap_references(patches.where("role in ('ref', 'both')").select(F.col("patch_id").alias("ref_id"), "vector", F.lit(0).cast("long").alias("label")), s.max_patches)
+            ranges = prep.min_max_ranges(refs, "vector")
+            refs = prep.min_max_scale(refs, ranges, "vector")
+            others = prep.min_max_scale(patches.where("role <> 'ref'"), ranges, "vector")
+            self._scored[key] = self._keep(anomaly.patch_scores(others, refs, s.metric).drop("vector")), refs.count()
+        return self._scored[key]
+
+    def measures(self, s: Settings, fractions: list[float], quantiles: list[float], evaluated: DataFrame) -> dict[tuple[float, float], dict]:
+        """Threshold, accuracy, auroc and f1 of some images (image_id, expected) for all fractions and quantiles at once, by (fraction, quantile)."""
+        key = self.second_key(s)
+        if key not in self._measures:
+            told = self._keep(anomaly.image_scores_at(self.scored(s)[0], fractions))
+            found = nearest_ranks(told.where("role in ('cal', 'both')"), "fraction", "score", [float(q) for q in quantiles]).select("fraction", F.col("q").alias("quantile"), F.col("value").alias("threshold"))
+            wanted = told.sparkSession.createDataFrame([(float(f), float(q)) for f in fractions for q in quantiles], "fraction double, quantile double")
+            limits = wanted.join(found, ["fraction", "quantile"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+            rows = told.where("role = 'eval'").join(evaluated.select("image_id", "expected"), "image_id")
+            verdicts = rows.join(limits, "fraction").withColumn("predicted", F.col("score") >= F.col("threshold"))
+            right = (F.col("predicted") == F.col("expected")).cast("double")
+            f1 = metrics.f1_columns(F.col("predicted"), F.col("expected"))["f1"]
+            sums = verdicts.groupBy("fraction", "quantile").agg(F.first("threshold").alias("threshold"), F.avg(right).alias("accuracy"), f1.alias("f1"))
+            both = sums.join(metrics.auroc_by(rows, "fraction"), "fraction").collect()
+            self._measures[key] = {(r["fraction"], r["quantile"]): r.asDict() for r in both}
+        return self._measures[key]
+
+    def close(self) -> None:
+        for df in self._stored:
+            release(df)
+
+
 def run_scan(category: Category, s: Settings, evaluated: DataFrame | None = None) -> Scanned:
     """Scan a category's evaluation images, or those of ``evaluated`` (image_id), against its normal training images."""
     anomaly.check_settings(s.patch_size, s.patch_stride, s.quantile, s.fraction)
-    part = roles(category.rows, s.seed)
-    held = category.rows.where("split = 'eval'")
-    if evaluated is not None:
-        held = held.join(evaluated.select("image_id"), "image_id", "left_semi")
-    if held.isEmpty():
-        raise EmptyInputError("a scan needs images to evaluate")
-    rows = category.rows.where("split = 'train'").join(part, "image_id").select("image_id", "image", "role").unionByName(held.select("image_id", "image", F.lit("eval").alias("role")))
-    config = images.VectorConfig(s.image_size, s.image_size, s.features, s.resize)
-    patches = images.vectorize_patches(rows, config, s.patch_size, s.patch_stride, ("image_id", "role"))
-    patches = patches.withColumn("patch_id", F.xxhash64("image_id", "x", "y")).persist()
-    try:
-        refs = anomaly.cap_references(patches.where("role in ('ref', 'both')").select(F.col("patch_id").alias("ref_id"), "vector", F.lit(0).cast("long").alias("label")), s.max_patches)
-        ranges = prep.min_max_ranges(refs, "vector")
-        refs = prep.min_max_scale(refs, ranges, "vector")
-        others = prep.min_max_scale(patches.where("role <> 'ref'"), ranges, "vector")
-        scored = anomaly.patch_scores(others, refs, s.metric).drop("vector")
-        scored = kept(scored)
-        threshold = anomaly.calibrate(anomaly.image_scores(scored.where("role in ('cal', 'both')"), s.fraction), s.quantile).first()["threshold"]
-        count = part.groupBy("role").count().collect()
-        by_role = {r["role"]: r["count"] for r in count}
-        both = by_role.get("both", 0)
-        counts = {"reference_images": by_role.get("ref", both), "calibration_images": by_role.get("cal", both), "reference_patches": refs.count()}
-    finally:
-        patches.unpersist()
+    stages = ScanStages(category, s.seed, evaluated)
+    held, part = stages.held, stages.part
+    scored, references = stages.scored(s)
+    threshold = anomaly.calibrate(anomaly.image_scores(scored.where("role in ('cal', 'both')"), s.fraction), s.quantile).first()["threshold"]
+    by_role = {r["role"]: r["count"] for r in part.groupBy("role").count().collect()}
+    both = by_role.get("both", 0)
+    counts = {"reference_images": by_role.get("ref", both), "calibration_images": by_role.get("cal", both), "reference_patches": references}
+    release(stages._stored[0])  # the patches' vectors; the scores are used on
     scored = scored.where("role = 'eval'").drop("role")
     named = held.select("image_id", "path", "class_name", "source_name", "expected", "mask_path")
     verdicts = anomaly.image_scores(scored, s.fraction).withColumns({"threshold": F.lit(threshold), "predicted": F.col("score") >= threshold})

@@ -29,3 +29,8 @@ def kept(df: DataFrame) -> DataFrame:
     rows = df.persist()
     rows.count()
     return rows
+
+
+def release(df: DataFrame) -> None:
+    """Give back what ``kept`` has stored in memory; files of a checkpoint go as the session's cleaner is set."""
+    df.unpersist()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import json
 import random
 from dataclasses import replace
@@ -250,3 +251,63 @@ def test_thousands_of_classes(spark, tmp_path):
     told = commands.evaluate(spark, "centroid", commands.Settings(source="embedding-csv", data=str(path), test_ratio=0.3))
     assert len(told["per_class_accuracy"]) == 3000 and told["accuracy"] > 0.9 and told["confusion_matrix"] is None
     assert sum(c["n"] for c in told["confusion_cells"]) == told["total"] and told["correct"] == sum(c["n"] for c in told["confusion_cells"] if c["actual_index"] == c["predicted_index"])
+
+
+def test_stages_of_a_scan_search(spark, tmp_path, monkeypatch):
+    """Every genome's fitness as a scan by itself gives it; patches are made once for each grid and image config, in one pass a generation; what fails is the worst."""
+    root = category(tmp_path / "x", 4, 4)
+    cat = scan.load_category(spark, root)
+    validation, _ = scan.split_evaluation(cat, 0.5, 1)
+    asked = validation.join(cat.rows.select("image_id", "expected"), "image_id")
+    stages, passes, true = scan.ScanStages(cat, 1), [], images.vectorize_patch_sets
+    monkeypatch.setattr(images, "vectorize_patch_sets", lambda rows, specs, keep: passes.append(len(specs)) or true(rows, specs, keep))
+    settings = [replace(SCAN, seed=1, patch_size=p, max_patches=m, fraction=f, quantile=q) for p in (4, 8) for m in (0, 5) for f in (0.25,) for q in (0.5, 1.0)]
+    stages.prepare(settings)
+    assert passes == [2]
+    found = [stages.measures(x, [0.25, 1.0], [0.5, 1.0], asked)[(x.fraction, x.quantile)] for x in settings]
+    assert passes == [2] and len(stages._scored) == 4
+    for x, told in [*zip(settings, found)][::5]:
+        alone = scan.report(scan.run_scan(cat, x, validation))
+        assert all(told[k] == pytest.approx(alone[k]) for k in ("threshold", "accuracy", "auroc", "f1"))
+    stages.close()
+
+
+def test_a_genome_that_fails_is_the_worst(spark, tmp_path, monkeypatch):
+    root, true = category(tmp_path / "x", 4, 4), images.vectorize_patch_sets
+
+    def failing(rows, specs, keep):
+        if any(patch == 8 for _, patch, _ in specs):
+            raise RuntimeError("a lost executor")
+        return true(rows, specs, keep)
+
+    monkeypatch.setattr(images, "vectorize_patch_sets", failing)
+    s = replace(SCAN, population=6, generations=1, elite=1, validation_ratio=0.5, search_sizes="4", search_features="pixels", search_resizes="stretch", search_patch_sizes="4,8", search_patch_strides="4", search_fractions="0.25", search_quantiles="1.0")
+    with pytest.warns(UserWarning, match="counts as the worst"):
+        found = commands.search_scans(spark, s, root)
+    assert found["best_recipe"]["patch_size"] == 4 and found["best_fitness"] > 0
+
+
+def test_a_matrix_decodes_once(spark, tmp_path, monkeypatch):
+    root = folders(tmp_path, {"train": 5, "eval": 2})
+    s = commands.Settings(source="image-folder", data=f"{root}/train", eval_data=f"{root}/eval")
+    cells = (["pixels", "combined", "rich"], ["stretch", "letterbox"], [4, 6])
+    alone = {}
+    for feature, resize, size in itertools.product(*cells):
+        for r in commands.run_matrix(spark, s, ["centroid"], [1], None, [feature], [resize], [size]).collect():
+            alone[feature, resize, size] = (r.train_accuracy, r.test_accuracy)
+        if len(alone) == 2:
+            break
+    reads, true = [], image_sources.read_images
+    monkeypatch.setattr(image_sources, "read_images", lambda *a, **k: reads.append(a[1]) or true(*a, **k))
+    rows = commands.run_matrix(spark, s, ["centroid"], [1], None, *cells).collect()
+    assert len(rows) == 12 and reads == [f"{root}/train", f"{root}/eval"]
+    told = {(r.image_features, r.image_resize, r.image_size): (r.train_accuracy, r.test_accuracy) for r in rows}
+    assert all(told[k] == v for k, v in alone.items())
+
+
+def test_modes_that_share_parts_are_the_same():
+    rng = np.random.default_rng(8)
+    picture_ = rng.integers(0, 255, (30, 41, 3)).astype(np.uint8)
+    configs = [images.VectorConfig(w, 12, f, r, i) for w in (12, 16) for f in images.FEATURE_MODES for r in images.RESIZE_MODES for i in (False, True)]
+    for c, v in zip(configs, images.image_vectors(picture_, configs)):
+        assert np.array_equal(v, images.image_vector(picture_, c)) and len(v) == c.length
