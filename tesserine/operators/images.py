@@ -421,6 +421,11 @@ def stats(images: DataFrame) -> DataFrame:
     return images.select("path", "image").mapInArrow(run, "path string, " + ", ".join(f"{n} double" for n in names))
 
 
+def patch_starts(size: int, patch: int, stride: int) -> list[int]:
+    """Where patches start along a side: every ``stride`` before the last one, and that."""
+    return [0] if size <= patch else [*range(0, size - patch, stride), size - patch]
+
+
 def vectorize_patch_sets(images: DataFrame, specs: list[tuple[VectorConfig, int, int]], keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """(spec, keep, x, y, w, h, vector) for every patch of each image and each spec (config, patch size, stride), clipped to the image; every image is decoded once, and cut once for all specs of a grid."""
     schema = ", ".join(["spec int", *(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in keep), "x bigint, y bigint, w bigint, h bigint, vector array<double>"])
@@ -428,15 +433,12 @@ def vectorize_patch_sets(images: DataFrame, specs: list[tuple[VectorConfig, int,
     for i, (_, patch, stride) in enumerate(specs):
         grids.setdefault((patch, stride), []).append(i)
 
-    def starts(size: int, patch: int, stride: int) -> list[int]:
-        return [0] if size <= patch else [*range(0, size - patch, stride), size - patch]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, r in enumerate(batch.column("image").to_pylist()):
                 image = decode_row(r["data"], r["height"], r["width"], r["nChannels"])
                 for (patch, stride), own in grids.items():
-                    parts = [(x, y, image[y : y + patch, x : x + patch]) for x in starts(r["width"], patch, stride) for y in starts(r["height"], patch, stride)]
+                    parts = [(x, y, image[y : y + patch, x : x + patch]) for x in patch_starts(r["width"], patch, stride) for y in patch_starts(r["height"], patch, stride)]
                     kept = [pa.array([batch.column(c)[i].as_py()] * len(parts), batch.column(c).type) for c in keep]
                     sizes = [pa.array(s, pa.int64()) for s in zip(*((x, y, p.shape[1], p.shape[0]) for x, y, p in parts))]
                     for spec, vectors in zip(own, zip(*(image_vectors(p, [specs[j][0] for j in own]) for _, _, p in parts))):
