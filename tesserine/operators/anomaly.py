@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..functions.vectors import clamp
+from . import areas
 from .library import top_k
 from .ranking import bucket_count, exact_rank, nearest_ranks
 
@@ -97,37 +98,30 @@ def class_accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg(right).alias("accuracy"), F.avg(F.when(~F.col("expected"), right)).alias("normal_accuracy"), F.avg(F.when(F.col("expected"), right)).alias("anomaly_recall"))
 
 
-def predicted_pixels(patches: DataFrame, threshold: Column | float, width: int, height: int) -> DataFrame:
-    """(image_id, px, py): the union of the rectangles of patches at or over the threshold, within the image."""
-    hit = patches.where(F.col("anomaly_score") >= threshold)
-    end = lambda at, size, most: F.least(F.col(at) + F.col(size), F.lit(most)) - 1
-    hit = hit.where((F.col("x") < width) & (F.col("y") < height) & (F.col("w") > 0) & (F.col("h") > 0))
-    rows = hit.select("image_id", F.explode(F.sequence("x", end("x", "w", width))).alias("px"), "y", "h")
-    return rows.select("image_id", "px", F.explode(F.sequence(F.col("y"), end("y", "h", height))).alias("py")).distinct()
-
-
-def mask_iou(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """(image_id, iou) from pixels (image_id, px, py) of both masks; 0 for an empty union, for images that either has."""
-    a = predicted.select("image_id", "px", "py", F.lit(1).alias("p"), F.lit(0).alias("t"))
-    b = truth.select("image_id", "px", "py", F.lit(0).alias("p"), F.lit(1).alias("t"))
-    cells = a.union(b).groupBy("image_id", "px", "py").agg(F.max("p").alias("p"), F.max("t").alias("t"))
-    return cells.groupBy("image_id").agg((F.sum(F.col("p") * F.col("t")) / F.count(F.lit(1))).alias("iou"))
-
-
-def overlap_ratio(patches: DataFrame, truth: DataFrame) -> DataFrame:
-    """Patches, of distinct patch_id, with ``mask_overlap_ratio``, the share of their pixels that the truth mask has, and ``mask_positive``.
-
-    Truth pixels meet patches by image and by cell of a grid of the patch
-    size, so a pixel is compared with few patches, not with all.
-    """
-    size = 64
-    cells = lambda at, n: F.sequence(F.floor(F.col(at) / size), F.floor((F.col(at) + F.col(n) - 1) / size))
-    dealt = patches.select("patch_id", "image_id", "x", "y", "w", "h", F.explode(cells("x", "w")).alias("cx")).select("*", F.explode(cells("y", "h")).alias("cy"))
-    pixels = truth.select("image_id", "px", "py", F.floor(F.col("px") / size).alias("cx"), F.floor(F.col("py") / size).alias("cy"))
-    inside = dealt.join(pixels, ["image_id", "cx", "cy"]).where("px >= x and px < x + w and py >= y and py < y + h")
-    active = inside.groupBy("patch_id").agg(F.count(F.lit(1)).alias("__a"))
-    ratio = F.coalesce("__a", F.lit(0)) / (F.col("w") * F.col("h"))
-    return patches.join(active, "patch_id", "left").withColumn("mask_overlap_ratio", ratio).withColumn("mask_positive", ratio > 0).drop("__a")
+def predicted_rectangles(patches: DataFrame, threshold: Column | float, width: int, height: int) -> DataFrame:
+    """Patches (image_id, patch_id, x, y, w, h, anomaly_score), clipped to the image, with ``predicted``, whether they are at or over the threshold."""
+    clip = lambda at, size, most: F.least(F.col(at) + F.col(size), F.lit(most).cast("long")) - F.col(at)
+    return patches.select("image_id", "patch_id", "x", "y", clip("x", "w", width).alias("w"), clip("y", "h", height).alias("h"), (F.col("anomaly_score") >= threshold).alias("predicted"))
+
+
+def predicted_mask(patches: DataFrame, threshold: Column | float, width: int, height: int) -> DataFrame:
+    """(image_id, y0, y1, x0, x1): the union of the rectangles of patches at or over the threshold, within the image, as disjoint rectangles."""
+    return areas.union_strips(predicted_rectangles(patches, threshold, width, height).where("predicted"))
+
+
+def mask_iou(rectangles: DataFrame, runs: DataFrame) -> DataFrame:
+    """(image_id, iou) of the union of predicted rectangles and a mask's runs (image_id, y, x0, x1); 0 for an empty union, for images that either has."""
+    told = areas.area_measures(rectangles, runs)
+    either = F.col("predicted_area") + F.col("truth_area") - F.col("shared_area")
+    return told.select("image_id", F.when(either > 0, F.col("shared_area") / F.when(either > 0, either)).otherwise(0.0).alias("iou"))
+
+
+def overlap_ratio(patches: DataFrame, runs: DataFrame) -> DataFrame:
+    """(patch_id, mask_overlap_ratio, mask_positive) of patches (image_id, patch_id, x, y, w, h): the share of their pixels that a mask's runs have."""
+    sizes = patches.select("patch_id", (F.col("w") * F.col("h")).alias("__pixels"))
+    told = areas.area_measures(patches.withColumn("predicted", F.lit(False)), runs).select(F.explode("overlaps").alias("o")).select("o.patch_id", "o.area")
+    ratio = F.when(F.col("__pixels") > 0, F.col("area") / F.when(F.col("__pixels") > 0, F.col("__pixels"))).otherwise(0.0)
+    return told.join(sizes, "patch_id").select("patch_id", ratio.alias("mask_overlap_ratio"), (F.col("area") > 0).alias("mask_positive"))
 
 
 def ordered_results(rows: DataFrame) -> DataFrame:

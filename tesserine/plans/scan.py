@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, EmptyInputError
-from ..operators import anomaly, images, metrics, prep
+from ..operators import anomaly, areas, images, metrics, prep
 from ..operators.ranking import nearest_ranks
 from ..session import kept, release
 from ..sources import images as image_sources
@@ -71,8 +71,8 @@ def against_masks(patches: DataFrame, masks: DataFrame, threshold: float) -> Dat
     """(image_id, iou, overlaps) of images with a readable mask: the mask against the union of the patches over the threshold, and each patch's share of mask pixels.
 
     ``patches`` has image_id, mask_path, patch_id, x, y, w, h and
-    anomaly_score. An image's patches and its mask meet in one row; pixels
-    stay in numpy.
+    anomaly_score. An image's patches and its mask meet in one row, where the
+    mask becomes runs.
     """
     packed = patches.where("mask_path is not null").groupBy("image_id", "mask_path").agg(F.collect_list(F.struct("patch_id", "x", "y", "w", "h", "anomaly_score")).alias("patches"))
 
@@ -81,15 +81,16 @@ def against_masks(patches: DataFrame, masks: DataFrame, threshold: float) -> Dat
             rows = []
             for r in batch.to_pylist():
                 m = r["mask"]
-                truth = images.luma(images.decode_row(m["data"], m["height"], m["width"], m["nChannels"])) > 0
-                told, overlaps = np.zeros(truth.shape, bool), []
-                for p in r["patches"]:
-                    area = np.s_[p["y"] : p["y"] + p["h"], p["x"] : p["x"] + p["w"]]
-                    overlaps.append({"patch_id": p["patch_id"], "ratio": float(truth[area].mean()) if truth[area].size else 0.0})
-                    if p["anomaly_score"] >= threshold:
-                        told[area] = True
-                either = (truth | told).sum()
-                rows.append({"image_id": r["image_id"], "iou": float((truth & told).sum() / either) if either else 0.0, "overlaps": overlaps})
+                runs = areas.mask_runs(images.luma(images.decode_row(m["data"], m["height"], m["width"], m["nChannels"])) > 0)
+                clip = lambda p, at, size, most: max(min(p[at] + p[size], most) - p[at], 0)
+                boxes = np.array([(p["x"], p["y"], clip(p, "x", "w", m["width"]), clip(p, "y", "h", m["height"])) for p in r["patches"]], np.int64).T
+                hit = np.array([p["anomaly_score"] >= threshold for p in r["patches"]])
+                total, shared = areas.union_and_shared(tuple(boxes[:, hit]), runs)
+                either = total + int((runs[2] - runs[1]).sum()) - shared
+                pixels = boxes[2] * boxes[3]
+                ratios = areas.shared_by_each(tuple(boxes), runs) / np.maximum(pixels, 1)
+                overlaps = [{"patch_id": p["patch_id"], "ratio": ratio} for p, ratio in zip(r["patches"], ratios.tolist())]
+                rows.append({"image_id": r["image_id"], "iou": shared / either if either else 0.0, "overlaps": overlaps})
             kind = pa.struct([("image_id", pa.int64()), ("iou", pa.float64()), ("overlaps", pa.list_(pa.struct([("patch_id", pa.int64()), ("ratio", pa.float64())])))])
             yield pa.RecordBatch.from_struct_array(pa.array(rows, kind))
 

@@ -149,19 +149,26 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rectangles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(patches, truth pixels) of 32 x 32 images, one for each supplier: patches from its parts, truth a rectangle by its key."""
+    """(patches, runs of the truth) of 32 x 32 images, one for each supplier: patches from its parts, truth a rectangle by its key."""
     line = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image_id"), "l_partkey", F.expr(LINE_ID).alias("patch_id"), "l_discount")
     at = lambda m: (F.col("l_partkey") * m % 28).cast("long")
     patches = line.select("patch_id", "image_id", at(7).alias("x"), at(11).alias("y"), F.lit(4).cast("long").alias("w"), F.lit(4).cast("long").alias("h"), (F.col("l_discount") * 10).alias("anomaly_score"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"))
     x0, y0 = F.col("image_id") % 16, F.col("image_id") % 13
-    truth = s.select("image_id", F.explode(F.sequence(x0, x0 + 11)).alias("px")).select("*", F.explode(F.sequence(y0, y0 + 9)).alias("py"))
-    return patches, truth
+    return patches, s.select("image_id", F.explode(F.sequence(y0, y0 + 9)).alias("y"), x0.alias("x0"), (x0 + 12).alias("x1"))
 
 
 def mask_iou(spark: SparkSession, d: str) -> DataFrame:
     patches, truth = rectangles(spark, d)
-    return anomaly.mask_iou(anomaly.predicted_pixels(patches, 0.9, 32, 32), truth).select("image_id", r6("iou").alias("iou"))
+    hit = anomaly.predicted_rectangles(patches, 0.9, 32, 32).where("predicted")
+    return anomaly.mask_iou(hit, truth).select("image_id", r6("iou").alias("iou"))
+
+
+def predicted_area(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of the union of predicted patches, and of the part of it in each quarter of the image, from strips."""
+    strips = anomaly.predicted_mask(rectangles(spark, d)[0], 0.9, 32, 32)
+    part = lambda a, b: F.greatest(F.least("x1", F.lit(b)) - F.greatest("x0", F.lit(a)), F.lit(0)) * (F.col("y1") - F.col("y0"))
+    return strips.groupBy("image_id").agg(F.sum(part(0, 32)).alias("pixels"), F.sum(part(0, 16)).alias("left_pixels"))
 
 
 def patch_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -349,6 +356,7 @@ QUERIES = {
     "scan_auroc_events": auroc_events,
     "scan_f1": f1,
     "scan_mask_iou": mask_iou,
+    "scan_predicted_area": predicted_area,
     "scan_patch_overlap": patch_overlap,
     "mx_grid": mx_grid,
     "mx_summary": mx_summary,
@@ -455,6 +463,8 @@ r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PREC
 q AS (SELECT CASE WHEN s = 0 THEN 0::DOUBLE ELSE h / s END AS p, CASE WHEN t = 0 THEN 0::DOUBLE ELSE h / t END AS r FROM c) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r <= 2.3e-16 THEN 0 ELSE 2 * p * r / (p + r) END, 6)::DOUBLE AS f1 FROM q""",
     "scan_mask_iou": f"""WITH {_RECT}, pp AS (SELECT DISTINCT image_id, x + a AS px, y + b AS py FROM pa, range(4) t(a), range(4) u(b) WHERE s >= 0.9)
 SELECT coalesce(tr.image_id, pp.image_id) AS image_id, round(count_if(tr.image_id IS NOT NULL AND pp.image_id IS NOT NULL) / count(*), 6) AS iou FROM tr FULL JOIN pp ON tr.image_id = pp.image_id AND tr.px = pp.px AND tr.py = pp.py GROUP BY 1""",
+    "scan_predicted_area": f"""WITH {_RECT}, pp AS (SELECT DISTINCT image_id, x + a AS px, y + b AS py FROM pa, range(4) t(a), range(4) u(b) WHERE s >= 0.9)
+SELECT image_id, count(*) AS pixels, count_if(px < 16) AS left_pixels FROM pp GROUP BY 1""",
     "scan_patch_overlap": f"""WITH {_RECT}, o AS (SELECT patch_id, greatest(0, least(x + 4, image_id % 16 + 12) - greatest(x, image_id % 16)) * greatest(0, least(y + 4, image_id % 13 + 10) - greatest(y, image_id % 13)) AS n FROM pa)
 SELECT patch_id, round(n / 16, 6) AS mask_overlap_ratio, n > 0 AS mask_positive FROM o""",
     "mx_grid": "SELECT m AS model, s AS image_size, r AS seed FROM (VALUES ('binary'), ('dense')) a(m), (VALUES (8::BIGINT), (16), (32)) b(s), (VALUES (1::BIGINT), (2)) c(r)",
