@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +16,17 @@ from pyspark.sql.functions import arrow_udf
 
 from ..errors import ConfigError, DimensionError, EmptyInputError, UnsupportedCorrectionError
 from ..functions.vectors import EPSILON, argmax_last
-from .intervals import Distributor, Intervals, encode_array, fit_intervals
+from .intervals import Distributor, Intervals, encode_array, fit_intervals, triangular_array
 
 #: Weights of a step from which on a group of outputs is worth a copy of the samples.
 STEP_WEIGHTS = 50_000
+#: Samples of a block whose errors are solved together, and cells of their activations, at most.
+BLOCK_SAMPLES, BLOCK_CELLS = 256, 1 << 22
+#: Values that are encoded at once.
+CACHED = 1 << 14
+
+_BLOCK_NAMES = ["first", "labels", "x", "dens", "inverse", "usage", "proportional"]
+_BLOCKS = "first bigint, labels binary, x binary, dens binary, inverse binary, usage binary, proportional boolean"
 CORRECTIONS = ("least-squares", "proportional", "ratio")
 
 
@@ -155,18 +163,31 @@ class IntervalModel:
     def _groups(self, spark: SparkSession) -> int:
         return max(1, min(self.outputs, spark.sparkContext.defaultParallelism, self.intervals.features * self.outputs // STEP_WEIGHTS))
 
-    def prepare(self, samples: DataFrame, label: str = "label", order: str = "ord", vector: str = "features") -> DataFrame:
-        """Samples in training order, dealt out by groups of outputs where there are several; cache it when several epochs follow.
-
-        The order is what online training is, so each group is one task that
-        all samples go through; for tables where that takes too long there is
-        ``train_epoch_batch``, whose tasks share the samples. Groups only pay,
-        and samples are only copied for them, where a step corrects so many
-        weights that numpy takes longer than the loop around it.
+    def _plain(self, epoch_mode: str) -> tuple[bool, bool]:
+        """(whether each step adds its error alone, whether it shares that by the number of activations) in an epoch mode."""
+        plain = self.correction.mode != "ratio" and self.correction.freeze_after is None
+        return plain, self.correction.mode == "proportional" and epoch_mode != "reference"
+
+    def prepare(self, samples: DataFrame, label: str = "label", order: str = "ord", vector: str = "features", epoch_mode: str = "reference") -> DataFrame:
+        """Samples in training order, for ``train_epoch`` in that mode; cache it when several epochs follow.
+
+        Where each step adds its error alone, errors are affine in the
+        weights before: of a block of samples they solve a triangular system
+        whose matrix has no weights in it. So tasks make and
+        invert these matrices side by side, once for all epochs, and what is
+        left to be done in order are a few products a block. Else samples
+        are only put in order. Outputs are dealt out by groups where a step
+        corrects many weights.
         """
-        groups = self._groups(samples.sparkSession)
-        rows = samples.select(F.col(order).alias("ord"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-        return rows.repartitionByRange(groups, "part").sortWithinPartitions("part", "ord")
+        groups, spark = self._groups(samples.sparkSession), samples.sparkSession
+        plain, proportional = self._plain(epoch_mode)
+        rows = samples.select(F.col(order).alias("ord"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("x"))
+        parts = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part")
+        if not plain:
+            return rows.select("*", parts).repartitionByRange(groups, "part").sortWithinPartitions("part", "ord")
+        dealt = rows.repartitionByRange(spark.sparkContext.defaultParallelism, "ord").sortWithinPartitions("ord")
+        blocks = dealt.select("label", "x").mapInArrow(_blocks_of(self.intervals, proportional), _BLOCKS)
+        return blocks.select("*", parts).repartitionByRange(groups, "part").sortWithinPartitions("part", "first")
 
     def train_epoch(self, prepared: DataFrame, epoch_mode: str = "reference") -> float:
         """One pass over ``prepare``d samples in order; the mean squared error before each correction.
@@ -177,21 +198,48 @@ class IntervalModel:
         ``reference`` every correction but ratio is least squares, as the
         original loop has it; ``honour`` follows the configured one.
         """
-        correction = self.correction
+        correction, (plain, proportional) = self.correction, self._plain(epoch_mode)
         if epoch_mode == "reference" and correction.mode != "ratio":
             correction = replace(correction, mode="least-squares")
+        if plain != ("inverse" in prepared.columns):
+            raise ConfigError("the samples were prepared for another correction")
         groups = self._groups(prepared.sparkSession)
         weights, counts, intervals, outputs = self.weights, self.counts, self.intervals, self.outputs
 
-        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def by_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, state = None, None
+            cells = np.empty((0, 0))
+            for batch in batches:
+                of = lambda c, i, kind=float: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
+                for i in range(batch.num_rows):
+                    if batch.column("proportional")[i].as_py() != proportional:
+                        raise ConfigError("the samples were prepared for another epoch mode")
+                    if batch.column("part")[i].as_py() != part:
+                        if state is not None:
+                            yield _emit(part, *state)
+                        part = batch.column("part")[i].as_py()
+                        own = np.arange(part, outputs, groups)
+                        state = [own, weights[:, :, own].reshape(-1, len(own)).copy(), counts[:, :, own].reshape(-1, len(own)).copy(), 0.0, 0]
+                    own, w, count, _, _ = state
+                    labels, den, usage = of("labels", i, np.int64), of("dens", i), of("usage", i, np.int64)
+                    if len(cells) < len(labels):
+                        cells = np.empty((len(labels), len(usage)))
+                    a = _fill(cells, of("x", i).reshape(len(labels), -1), intervals)
+                    error = of("inverse", i).reshape(len(labels), -1) @ ((own == labels[:, None]) - a @ w)
+                    w += a.T @ (error / den[:, None])
+                    count += usage[:, None]
+                    state[3] += float((error**2).sum())
+                    state[4] += len(labels)
+            if state is not None:
+                yield _emit(part, *state)
+
+        def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, state = None, None
             for batch in batches:
                 parts = batch.column("part").to_numpy()
                 x, labels = as_matrix(batch.column("x")), batch.column("label").to_numpy(zero_copy_only=False)
                 at, c, valid = encode_array(x, intervals)
-                plain = correction.mode != "ratio" and correction.freeze_after is None
-                starts = np.flatnonzero(np.diff(parts, prepend=-1)) if plain else range(batch.num_rows)
-                for i, end in zip(starts, [*starts[1:], batch.num_rows]):
+                for i in range(batch.num_rows):
                     if parts[i] != part:
                         if state is not None:
                             yield _emit(part, *state)
@@ -199,25 +247,20 @@ class IntervalModel:
                         own = np.arange(part, outputs, groups)
                         state = [own, weights[:, :, own].copy(), counts[:, :, own].copy(), 0.0, 0]
                     own, w, n, _, _ = state
-                    if plain:
-                        run = slice(i, end)
-                        state[3] += plain_steps(w, n, at[run], c[run], valid[run], (own == labels[run][:, None]).astype(float), correction.mode == "proportional")
-                        state[4] += end - i
-                        continue
                     error = step(w, n, at[i], c[i], valid[i], (own == labels[i]).astype(float), correction)
                     state[3] += float((error**2).sum())
                     state[4] += 1
             if state is not None:
                 yield _emit(part, *state)
 
-        schema = "part int, outputs array<int>, weights array<double>, counts array<bigint>, squares double, n bigint"
-        found = prepared.mapInArrow(fold, schema).collect()
+        schema = "part int, outputs array<int>, weights binary, counts binary, squares double, n bigint"
+        found = prepared.mapInArrow(by_blocks if plain else one_by_one, schema).collect()
         if not found:
             raise EmptyInputError("no training samples")
         for r in found:
             shape = (*self.weights.shape[:2], len(r["outputs"]))
-            self.weights[:, :, r["outputs"]] = np.array(r["weights"]).reshape(shape)
-            self.counts[:, :, r["outputs"]] = np.array(r["counts"]).reshape(shape)
+            self.weights[:, :, r["outputs"]] = np.frombuffer(r["weights"], float).reshape(shape)
+            self.counts[:, :, r["outputs"]] = np.frombuffer(r["counts"], np.int64).reshape(shape)
         return sum(r["squares"] for r in found) / (found[0]["n"] * self.outputs)
 
     def train_epoch_batch(self, samples: DataFrame, label: str = "label", vector: str = "features") -> float:
@@ -270,7 +313,7 @@ class IntervalModel:
         """Several epochs; the mean squared error before each."""
         if batch:
             return [self.train_epoch_batch(samples, **{k: v for k, v in columns.items() if k != "order"}) for _ in range(epochs)]
-        prepared = self.prepare(samples, **columns).persist()
+        prepared = self.prepare(samples, **columns, epoch_mode=epoch_mode).persist()
         try:
             return [self.train_epoch(prepared, epoch_mode) for _ in range(epochs)]
         finally:
@@ -319,50 +362,91 @@ class IntervalModel:
         return cls(intervals, info["outputs"], get("weight"), get("access_count"), Correction(**info["correction"]))
 
 
-def plain_steps(weights: np.ndarray, counts: np.ndarray, at: np.ndarray, c: np.ndarray, valid: np.ndarray, targets: np.ndarray, proportional: bool) -> float:
-    """``step`` for several samples in order, where the correction adds the error alone; the sum of squared errors before.
+def _fill(cells: np.ndarray, x: np.ndarray, intervals: Intervals) -> np.ndarray:
+    """The dense activations of samples, in a buffer; entries of one place are summed. Few samples are encoded at once, so that what that takes stays in the cache."""
+    a = cells[: len(x)]
+    a[:] = 0.0
+    flat, feature = a.reshape(-1), np.arange(intervals.features) * intervals.count
+    plain = intervals.distributor.kind == "triangular" and intervals.edges is None and intervals.count > 1
+    some = max(1, CACHED // max(intervals.features, 1))
+    for begin in range(0, len(x), some):
+        part = x[begin : begin + some]
+        first = (np.arange(begin, begin + len(part)) * a.shape[1])[:, None] + feature
+        if plain:
+            left, c, right, d = triangular_array(part, intervals)
+            left += first
+            right += first
+            flat[left.ravel()] = c.ravel()
+            flat[right.ravel()] += d.ravel()
+        else:
+            at, c, valid = encode_array(part, intervals)
+            for j in range(at.shape[2]):  # a place of the encoding has each column once
+                flat[(first + at[:, :, j]).ravel()] += (c[:, :, j] * valid[:, :, j]).ravel()
+    return a
 
-    Weights are looked at as rows by feature and interval, so that a step is
-    a few gathers and products; what isn't valid is added as 0.
+
+def _blocks_of(intervals: Intervals, proportional: bool):
+    """Turns samples in order into blocks, each with the inverse of its triangular matrix.
+
+    The errors e of a block, under the weights w before it, are such that
+    e_i + sum over j < i of <a_i, a_j> e_j / d_j = t_i - <a_i, w>, with d what
+    a step divides its error by.
     """
-    features, d, outputs = weights.shape
-    rows = weights.reshape(features * d, outputs)
-    index = (np.arange(features)[None, :, None] * d + at).transpose(0, 2, 1).copy()
-    share = (c * valid).transpose(0, 2, 1).copy()
-    den = np.maximum(valid.sum(axis=(1, 2)), 1.0) if proportional else np.maximum((c * c * valid).sum(axis=(1, 2)), EPSILON)
-    squares = 0.0
-    for i, target in enumerate(targets):
-        where, much = index[i], share[i]
-        before = [rows.take(k, axis=0) for k in where]
-        error = target - sum(m @ b for m, b in zip(much, before))
-        squares += float(error @ error)
-        own = error / den[i]
-        rows[where[0]] = before[0] + much[0][:, None] * own
-        for k, m in zip(where[1:], much[1:]):
-            rows[k] += m[:, None] * own
-    counts.reshape(features * d, outputs)[:] += np.bincount(index.transpose(0, 2, 1)[valid], minlength=features * d)[:, None]
-    return squares
+    size = max(1, min(BLOCK_SAMPLES, BLOCK_CELLS // (intervals.features * intervals.count)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, labels = TaskContext.get().partitionId() << 32, [], []
+
+        def block() -> pa.RecordBatch:
+            nonlocal number, held, labels
+            x = np.concatenate(held)
+            at, c, valid = encode_array(x, intervals)
+            a = _fill(np.empty((len(x), intervals.features * intervals.count)), x, intervals)
+            den = np.maximum(valid.sum(axis=(1, 2)), 1.0) if proportional else np.maximum((c * c * valid).sum(axis=(1, 2)), EPSILON)
+            inverse = np.linalg.inv(np.eye(len(x)) + np.tril(a @ a.T, -1) / den[None, :])
+            usage = np.bincount((np.arange(intervals.features)[None, :, None] * intervals.count + at)[valid], minlength=a.shape[1])
+            raw = [np.concatenate(labels).astype(np.int64), x, den.astype(float), np.tril(inverse), usage.astype(np.int64)]
+            out = pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in raw), pa.array([proportional])], names=_BLOCK_NAMES)
+            number, held, labels = number + 1, [], []
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, own = as_matrix(batch.column("x")), batch.column("label").to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(x):
+                take = min(size - sum(map(len, held)), len(x) - at)
+                held.append(x[at : at + take])
+                labels.append(own[at : at + take])
+                at += take
+                if sum(map(len, held)) == size:
+                    yield block()
+        if held:
+            yield block()
+
+    return run
 
 
 def _emit(part: int, own: np.ndarray, w: np.ndarray, n: np.ndarray, squares: float, count: int) -> pa.RecordBatch:
-    lists = [pa.array([own.tolist()], pa.list_(pa.int32())), pa.array([w.ravel().tolist()], pa.list_(pa.float64())), pa.array([n.ravel().tolist()], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays([pa.array([int(part)], pa.int32()), *lists, pa.array([squares]), pa.array([count], pa.int64())], names=["part", "outputs", "weights", "counts", "squares", "n"])
+    raw = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (w, n)]
+    return pa.RecordBatch.from_arrays([pa.array([int(part)], pa.int32()), pa.array([own.tolist()], pa.list_(pa.int32())), *raw, pa.array([squares]), pa.array([count], pa.int64())], names=["part", "outputs", "weights", "counts", "squares", "n"])
 
 
 def activation_array(x: np.ndarray, intervals: Intervals) -> np.ndarray:
     """Dense (samples, features * count) matrix; entries of one place are summed."""
-    at, c, valid = encode_array(x, intervals)
-    a = np.zeros((len(x), intervals.features * intervals.count))
-    rows, base = np.arange(len(x))[:, None], np.arange(intervals.features)[None, :] * intervals.count
-    for j in range(at.shape[2]):
-        np.add.at(a, (rows, base + at[:, :, j]), c[:, :, j] * valid[:, :, j])
-    return a
+    return _fill(np.empty((len(x), intervals.features * intervals.count)), x, intervals)
 
 
 def forward_array(x: np.ndarray, weights: np.ndarray, intervals: Intervals) -> np.ndarray:
-    at, c, valid = encode_array(x, intervals)
-    feature = np.arange(intervals.features)[None, :]
-    return sum((weights[feature, at[:, :, j]] * (c[:, :, j] * valid[:, :, j])[:, :, None]).sum(axis=1) for j in range(at.shape[2]))
+    """Outputs of samples, each summed over the features by itself, whatever samples it comes with."""
+    out, feature = np.zeros((len(x), weights.shape[2])), np.arange(intervals.features)[None, :]
+    some = max(1, CACHED // max(intervals.features, 1))
+    for begin in range(0, len(x), some):
+        at, c, valid = encode_array(x[begin : begin + some], intervals)
+        for j in range(at.shape[2]):
+            out[begin : begin + some] += (weights[feature, at[:, :, j]] * (c[:, :, j] * valid[:, :, j])[:, :, None]).sum(axis=1)
+    return out
 
 
 def learning_curve(model: IntervalModel, train: DataFrame, test: DataFrame, epochs: int, target_mse: float | None = None, label: str = "label", order: str = "ord", vector: str = "features") -> list[dict]:

@@ -143,9 +143,29 @@ def activation_matrix(encoded: DataFrame, key: str, count: int, column: str = "a
 # --- arrays ---------------------------------------------------------------------------------------
 
 
+def triangular_array(x: np.ndarray, intervals: Intervals) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower interval, its coefficient, upper interval, its coefficient), each (samples, features), of triangular activations without edges; each of them counts."""
+    low = np.array(intervals.low)
+    width = np.array(intervals.high) - low
+    wide = width > EPSILON
+    p = x - low
+    p /= np.where(wide, width, 1.0)
+    bad = ~np.isfinite(x)
+    np.clip(p, 0.0, 1.0, out=p)
+    p[:, ~wide] = 0.0
+    if bad.any():
+        p[bad] = 0.0
+    p *= intervals.count - 1
+    left, right = np.floor(p), np.ceil(p)
+    return left.astype(np.int64), 1.0 - (p - left), right.astype(np.int64), 1.0 - (right - p)
+
+
 def encode_array(x: np.ndarray, intervals: Intervals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(interval, coefficient, valid), each (samples, features, width): the same encoding for a batch in numpy."""
     d, kind = intervals.count, intervals.distributor
+    if kind.kind == "triangular" and intervals.edges is None and d > 1:
+        left, a, right, b = triangular_array(x, intervals)
+        return np.stack([left, right], axis=2), np.stack([a, b], axis=2), np.ones((*x.shape, 2), bool)
     low, high = np.array(intervals.low), np.array(intervals.high)
     width = high - low
     usable = np.isfinite(x) & (width > EPSILON)
