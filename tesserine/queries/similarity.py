@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..operators import library
+from ..operators.growing import GrowingLibrary, Neighbours
+from ..session import shared_path
 from .base import V_SQL, as_queries, as_refs, neighbors, neighbors_sql, r6, vectors
 
 K, MASK, WEIGHT, CUT = 5, 0x7E57, 0.25, 0.0
@@ -41,6 +43,19 @@ def explain(metric: str):
     return query
 
 
+def growing(spark: SparkSession, d: str) -> DataFrame:
+    """``lib_topk_euclidean`` by a library that grows in three batches, one of them replayed, its neighbours updated after each."""
+    v = vectors(spark, d)
+    path = shared_path(spark, "library")
+    stored = GrowingLibrary(spark, f"{path}/refs")
+    near = Neighbours(stored, f"{path}/near", as_queries(v), 3, exclude_self=True)
+    parts = [F.col("label") < 3, F.col("label").between(3, 6), F.coalesce(F.col("label") > 6, F.lit(True))]  # classes arrive one after the other
+    for i in (0, 1, 1, 2):
+        stored.append(as_refs(v.where(parts[i])), f"batch-{i}")
+        rows = near.update()
+    return rows.withColumn("score", r6("score"))
+
+
 def pack_words(spark: SparkSession, d: str) -> DataFrame:
     words = vectors(spark, d).select("sample_id", F.posexplode(B.pack(F.col("features"), CUT)).alias("word", "bits"))
     return words.select("sample_id", F.col("word").cast("long").alias("word"), "bits")
@@ -86,6 +101,7 @@ def memory(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     **{f"lib_topk_{m}": top(m) for m in ("cosine", "euclidean", "hamming", "jaccard")},
+    "lib_growing_topk": growing,
     "lib_vote": votes,
     "lib_margin": margins,
     "lib_class_scores": class_scores,
@@ -128,6 +144,7 @@ _CS = "cs AS (SELECT query_id, label, list_sum(list(score ORDER BY rank)) AS sco
 
 SQL = {
     **{f"lib_topk_{m}": _top_sql(m) for m in ("cosine", "euclidean", "hamming", "jaccard")},
+    "lib_growing_topk": _top_sql("euclidean"),
     "lib_vote": f"WITH {neighbors_sql()}, {_CS} SELECT query_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, votes DESC, label DESC) AS r FROM cs) WHERE r = 1",
     "lib_margin": f"""WITH {neighbors_sql()}, {_CS}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label DESC) AS r FROM cs)
 SELECT a.query_id, a.label AS predicted, round(a.score - coalesce(b.score, 0), 6) AS score_margin FROM rk a LEFT JOIN rk b ON b.query_id = a.query_id AND b.r = 2 WHERE a.r = 1""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -34,3 +37,16 @@ def kept(df: DataFrame) -> DataFrame:
 def release(df: DataFrame) -> None:
     """Give back what ``kept`` has stored in memory; files of a checkpoint go as the session's cleaner is set."""
     df.unpersist()
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A path that nothing uses in the folder of ``spark.checkpoint.dir``, which driver and executors share; in local mode, where that is unset, in a temporary one. It goes when the driver's JVM ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tesserine-")
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
