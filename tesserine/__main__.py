@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
-from dataclasses import fields
+from dataclasses import asdict, fields
 
 from .plans import commands, matrix
 from .session import get_session
@@ -20,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--artifact", help="folder of a saved model")
     p.add_argument("--out", help="folder of the report")
     p.add_argument("--form", choices=["json", "csv"], default="json")
-    p.add_argument("--report-out", help="where the report goes besides an artifact or other output")
+    p.add_argument("--report-out", help="where the report goes too, besides an artifact or --out")
     p.add_argument("--image", help="the image of a single prediction")
     p.add_argument("--show-sources", action="store_true", help="print where each setting came from")
     for f in fields(commands.Settings):
@@ -42,12 +42,15 @@ def main(argv: list[str] | None = None) -> None:
         print(commands.demo(spark))
         return
     one = lambda found: spark.createDataFrame([(json.dumps(found, default=str),)], "report string")
-    out = a.out
+    outs = [x for x in (a.out, a.report_out) if x]
+    only = [a.report_out] if a.report_out else []  # where --out is for other things
     if a.command == "evaluate":
         told = one(commands.evaluate(spark, a.model, s))
     elif a.command == "train":
         (commands.train_library if a.model in ("library", "binary") else commands.train_artifact)(spark, s, a.artifact)
-        return
+        told, outs = one({"model": a.model, "artifact": a.artifact, "settings": asdict(s)}), only
+        if not outs:
+            return
     elif a.command == "score":
         told = commands.score_artifact(spark, s, a.artifact, a.model)
     elif a.command == "predict":
@@ -58,28 +61,29 @@ def main(argv: list[str] | None = None) -> None:
         told = spark.createDataFrame(commands.curve(spark, s))
     elif a.command == "matrix":
         numbers = lambda text: commands.listed(text, int)
-        models, seeds = commands.listed(s.matrix_models) or list(commands.MODELS), numbers(s.matrix_seeds) or [s.seed]
+        models, seeds = commands.listed(s.matrix_models) or ["interval", "library"], numbers(s.matrix_seeds) or [s.seed]
+        features = commands.listed(s.matrix_features) or (["pixels", "combined"] if s.source in commands.IMAGE_SOURCES else None)
         rows = commands.run_matrix(
-            spark, s, models, seeds, numbers(s.matrix_intervals), commands.listed(s.matrix_features), commands.listed(s.matrix_resize_modes), numbers(s.matrix_image_sizes), commands.listed(s.matrix_correction_modes)
+            spark, s, models, seeds, numbers(s.matrix_intervals), features, commands.listed(s.matrix_resize_modes), numbers(s.matrix_image_sizes), commands.listed(s.matrix_correction_modes)
         )
         for part, found in (("rows", rows), ("summaries", matrix.summarize(rows)), ("top_rows", matrix.top_rows(rows, s.matrix_top))):
-            if a.out:
-                sinks.write_report(found, f"{a.out}/{part}", a.form)
-            else:
+            for out in outs:
+                sinks.write_report(found, f"{out}/{part}", a.form)
+            if not outs:
                 for row in found.toJSON().toLocalIterator():
                     print(f'{{"{part}":{row}}}')
         return
     elif a.command == "search":
-        told, out = one(commands.search_libraries(spark, s, a.out)), a.report_out
+        told, outs = one(commands.search_libraries(spark, s, a.out)), only
     elif a.command == "search-scan":
-        told, out = one(commands.search_scans(spark, s, s.data, a.out)), a.report_out
+        told, outs = one(commands.search_scans(spark, s, s.data, a.out)), only
     elif a.command == "debug":
-        told, out = one(commands.debug_bundle(spark, s, a.model, s.debug_out or a.out)), a.report_out
+        told, outs = one(commands.debug_bundle(spark, s, a.model, s.debug_out or a.out, a.artifact)), only
     else:
         told = one(commands.scan_report(spark, s, s.data))
-    if out:
+    for out in outs:
         sinks.write_report(told, out, a.form)
-    else:
+    if not outs:
         for row in told.toJSON().toLocalIterator():
             print(row)
 

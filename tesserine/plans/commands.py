@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 import time
 import warnings
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields, replace
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..functions import bits
+from ..functions.vectors import squared_distance
 from ..operators import centroid, failures, images, library, metrics, prep
 from ..operators.interval_model import Correction, IntervalModel, learning_curve
 from ..operators.intervals import TRIANGULAR
@@ -496,30 +498,87 @@ def predict_one(spark: SparkSession, s: Settings, path: str, image: str, kind: s
     return {"model": kind, "image": image, "predicted_index": best, "predicted_label": dim[best], "scores": told, "neighbors": [n | {"class_name": dim[n["label"]]} for n in near]}
 
 
-def resize_comparisons(spark: SparkSession, s: Settings, model: str, chosen: DataFrame, train: DataFrame, ranges: DataFrame, classes: int) -> DataFrame:
-    """(sample_id, mode, predicted): what the model says of the chosen images (sample_id, path) in each resize mode."""
+def resize_comparisons(spark: SparkSession, s: Settings, chosen: DataFrame, ranges: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(sample_id, mode, predicted): what a model says of the chosen images (sample_id, path) in each resize mode, from one decode."""
     paths = chosen.select("path").collect()
     found = image_sources.read_images(spark, [r["path"] for r in paths]).join(chosen.select("path", "sample_id"), "path")
+    made = images.vectorize(found, {f"as_{i}": images.VectorConfig(s.image_size, s.image_size, s.features, mode) for i, mode in enumerate(images.RESIZE_MODES)}, ("sample_id",))
     out = None
-    for mode in images.RESIZE_MODES:
-        rows = images.vectorize(found, {"features": images.VectorConfig(s.image_size, s.image_size, s.features, mode)}, ("sample_id",))
-        told, _ = predictions(s, model, train, prep.min_max_scale(rows, ranges).withColumn("label", F.lit(0).cast("long")), classes)
-        own = told.select("sample_id", F.lit(mode).alias("mode"), "predicted")
+    for i, mode in enumerate(images.RESIZE_MODES):
+        rows = made.select("sample_id", F.col(f"as_{i}").alias("features"), F.lit(0).cast("long").alias("label"))
+        own = judge(prep.min_max_scale(rows, ranges)).select("sample_id", F.lit(mode).alias("mode"), "predicted")
         out = own if out is None else out.union(own)
     return out
 
 
-def debug_bundle(spark: SparkSession, s: Settings, model: str, path: str) -> list[str]:
-    """Everything for a closer look at a model's mistakes, below a path; returns the failure analysis' sentences.
+def debug_train_data(s: Settings) -> str | None:
+    """Where the training data of evaluated ones are: the settings' own where evaluation data are given, else the parent of a folder of evaluation data; None if neither tells."""
+    if s.eval_data:
+        return s.data
+    parent, _, name = (s.data or "").rstrip("/").rpartition("/")
+    return parent if parent and name.lower() in image_sources.EVAL_FOLDERS else None
+
+
+@dataclass
+class Judged:
+    """What a closer look at mistakes starts from: scaled references and samples, the ranges they were scaled by, the classes, and what judges scaled rows."""
+
+    train: DataFrame
+    test: DataFrame
+    ranges: DataFrame
+    dim: DataFrame
+    judge: Callable[[DataFrame], DataFrame]
+
+
+def judged(spark: SparkSession, s: Settings, model: str, artifact: str | None = None) -> Judged:
+    """A model trained on the settings' data, or a saved one with its own ranges and classes.
+
+    The references of a saved library are its own; those of a saved interval
+    model are the training data, which ``debug_train_data`` finds.
+    """
+    if artifact is None:
+        train, test, dim = split(spark, s)
+        train, test, ranges = scaled(train, test)
+        classes = dim.count()
+        return Judged(train, test, ranges, dim, lambda rows: predictions(s, model, train, rows, classes)[0])
+    dim, ranges = (spark.read.parquet(f"{artifact}/{name}") for name in ("classes", "ranges"))
+    mapped = lambda rows: prep.min_max_scale(prep.remap_labels(rows.drop("label"), "class_name", dim) if "class_name" in rows.columns else rows, ranges)
+    test = mapped(load(spark, s, s.eval_data or s.data)[0])
+    told = lambda rows: rows.select("sample_id", F.col("label").alias("expected"), F.col("predicted").cast("long").alias("predicted"))
+    if model == "interval":
+        where = debug_train_data(s)
+        if where is None:
+            raise ConfigError("a saved interval model needs its training data for a closer look: give them as data, and what is judged as eval-data")
+        fitted = IntervalModel.load(spark, artifact)
+        return Judged(mapped(load(spark, s, where)[0]), test, ranges, dim, lambda rows: told(fitted.predict(rows)))
+    refs = spark.read.parquet(f"{artifact}/references")
+
+    def by_library(rows: DataFrame) -> DataFrame:
+        votes = voted(s, model, rows, refs)
+        return told(rows.join(votes, rows["sample_id"] == votes["query_id"]))
+
+    return Judged(refs.select(F.col("ref_id").alias("sample_id"), F.col("vector").alias("features"), "label"), test, ranges, dim, by_library)
+
+
+def plain_neighbours(asked: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, ref_id, label, distance): the stored vectors at the least Euclidean distance, whatever metric a model has."""
+    near = library.top_k(asked, refs, k, "euclidean").drop("score", "rank")
+    with_both = near.join(asked.select("query_id", F.col("vector").alias("__q")), "query_id").join(refs.select("ref_id", F.col("vector").alias("__r")), "ref_id")
+    rows = with_both.withColumn("distance", F.sqrt(squared_distance(F.col("__q").cast("array<double>"), F.col("__r").cast("array<double>"))))
+    order = Window.partitionBy("query_id").orderBy("distance", "ref_id")
+    return rows.select("query_id", F.row_number().over(order).alias("rank"), "ref_id", "label", "distance")
+
+
+def debug_bundle(spark: SparkSession, s: Settings, model: str, path: str, artifact: str | None = None) -> list[str]:
+    """Everything for a closer look at a model's mistakes, below a path; returns the failure analysis' sentences. ``artifact`` is a saved model to look at instead of a new one.
 
     Settings, metrics by class, predictions with margins, failure analysis by
     buckets of image properties; of a few samples the images on the way to
     the vector, the vector, and how other resize modes would be judged.
     """
-    train, test, dim = split(spark, s)
-    train, test, ranges = scaled(train, test)
-    train, classes = train.persist(), dim.count()
-    told, _ = predictions(s, model, train, test, classes)
+    own = judged(spark, s, model, artifact)
+    test, ranges, dim, classes, train = own.test, own.ranges, own.dim, own.dim.count(), own.train.persist()
+    told = own.judge(test)
     refs = train.select(F.col("sample_id").alias("ref_id"), F.col("features").alias("vector"), "label")
     asked = test.select(F.col("sample_id").alias("query_id"), F.col("features").alias("vector"))
     near = library.top_k(asked, refs, max(s.top_k, 1), s.metric)
@@ -539,13 +598,14 @@ def debug_bundle(spark: SparkSession, s: Settings, model: str, path: str) -> lis
         chosen = failures.select_samples(rows, s.debug_samples, s.debug_limit).join(rows, "sample_id").join(test.select("sample_id", "features"), "sample_id").orderBy("place").collect()
         if chosen:
             some = spark.createDataFrame([(r["sample_id"], r["path"]) for r in chosen], "sample_id bigint, path string")
-            compared = resize_comparisons(spark, s, model, some, train, ranges, classes)
+            compared = resize_comparisons(spark, s, some, ranges, own.judge)
             frames |= {"resize_comparisons": compared, "resize_disagreements": failures.resize_disagreements(compared, rows)}
             pictures = {r["path"]: r["image"] for r in image_sources.read_images(spark, [r["path"] for r in chosen]).collect()}
             config = image_config(s)
             closest: dict[int, list] = {}
-            for n in near.join(some.select(F.col("sample_id").alias("query_id")), "query_id").orderBy("query_id", "rank").collect():
-                closest.setdefault(n["query_id"], []).append({"ref_id": n["ref_id"], "label": n["label"], "score": n["score"], "distance": 1.0 / n["score"] - 1.0 if s.metric == "euclidean" and n["score"] else None})
+            looked_at = asked.join(some.select(F.col("sample_id").alias("query_id")), "query_id", "left_semi")
+            for n in plain_neighbours(looked_at, refs, max(s.top_k, 1)).orderBy("query_id", "rank").collect():
+                closest.setdefault(n["query_id"], []).append({"ref_id": n["ref_id"], "label": n["label"], "distance": n["distance"]})
             for r in chosen:
                 name = f"{r['place']:03d}-{sinks.safe_name(r['path'].rpartition('/')[2].rpartition('.')[0])}"
                 m = pictures[r["path"]]

@@ -311,3 +311,30 @@ def test_modes_that_share_parts_are_the_same():
     configs = [images.VectorConfig(w, 12, f, r, i) for w in (12, 16) for f in images.FEATURE_MODES for r in images.RESIZE_MODES for i in (False, True)]
     for c, v in zip(configs, images.image_vectors(picture_, configs)):
         assert np.array_equal(v, images.image_vector(picture_, c)) and len(v) == c.length
+
+
+def test_a_closer_look_at_saved_models(spark, tmp_path):
+    """References of a saved library are its own, those of an interval model lie beside the evaluated folder; distances are plain whatever the metric."""
+    root = folders(tmp_path, {".": 5, "Eval": 2})
+    s = commands.Settings(source="image-folder", data=root, image_size=4, epochs=1, metric="cosine")
+    looked = replace(s, data=f"{root}/Eval", debug_samples="all", debug_limit=2, top_k=2)
+    assert commands.debug_train_data(looked) == root and commands.debug_train_data(s) is None and commands.debug_train_data(replace(s, eval_data="x")) == root
+    for kind, train in (("interval", commands.train_artifact), ("library", commands.train_library)):
+        train(spark, s, str(tmp_path / f"m/{kind}"))
+        commands.debug_bundle(spark, looked, kind, str(tmp_path / f"b/{kind}"), str(tmp_path / f"m/{kind}"))
+        assert spark.read.parquet(str(tmp_path / f"b/{kind}/predictions")).count() == 4
+        assert spark.read.parquet(str(tmp_path / f"b/{kind}/resize_comparisons")).count() == 8
+        near = [json.loads(p.read_text()) for p in (tmp_path / f"b/{kind}/samples").rglob("neighbors.json")]
+        assert len(near) == 2 and all(len(n) == 2 and 0 <= n[0]["distance"] <= n[1]["distance"] for n in near)
+    with pytest.raises(ConfigError):
+        commands.debug_bundle(spark, s, "interval", str(tmp_path / "x"), str(tmp_path / "m/interval"))
+
+
+def test_reports_go_to_both_places(spark, tmp_path):
+    base = ["--source", "synthetic", "--epochs", "1", "--out", str(tmp_path / "out"), "--report-out", str(tmp_path / "report")]
+    for call in (["evaluate", "--model", "centroid"], ["curve"]):
+        cli.main([*call, *[x.replace(str(tmp_path), str(tmp_path / call[0])) for x in base]])
+        out, report = (spark.read.json(str(tmp_path / call[0] / x)) for x in ("out", "report"))
+        assert out.count() == report.count() == 1
+    cli.main(["train", "--model", "library", "--source", "synthetic", "--artifact", str(tmp_path / "m"), "--report-out", str(tmp_path / "trained")])
+    assert spark.read.json(str(tmp_path / "trained")).count() == 1
