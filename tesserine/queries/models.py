@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import centroid, metrics, prep
 from ..operators import intervals as I
 from ..operators.interval_model import Correction, IntervalModel, learning_curve, relational_forward
+from ..operators.model_table import ModelTable
 from .base import SCALED_SQL, SEED, V_SQL, classes, key_sql, r6, scaled, table, vectors
 
 D, OUTPUTS = 3, 10
@@ -79,6 +80,19 @@ def batch_prop(spark: SparkSession, d: str) -> DataFrame:
     return batch(spark, d, 1, mode="proportional")
 
 
+def table_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Three batch epochs of a model that is a table."""
+    samples = ordered(spark, d)
+    encoded = I.encode(samples, I.fit_intervals(samples, D, distributor=I.TRIANGULAR))
+    model = ModelTable(I.activation_matrix(encoded, "sample_id", D), samples, OUTPUTS)
+    model.fit(3)
+    features = samples.select(F.size("features").alias("m")).first()["m"]
+    places = spark.range(features * D).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(OUTPUTS - 1).cast("long"))).alias("output"))
+    w = places.join(model.weights, ["k", "output"], "left")
+    weight = F.round(F.coalesce("weight", F.lit(0.0)), 5) + F.lit(0.0)
+    return w.select(F.expr(f"k div {D}").alias("feature"), (F.col("k") % D).alias("interval"), "output", weight.alias("weight"), F.coalesce("access_count", F.lit(0)).cast("long").alias("access_count"))
+
+
 def fixed_model(samples: DataFrame) -> IntervalModel:
     """Weights by a formula, so that inference can be held against SQL."""
     import numpy as np
@@ -176,6 +190,7 @@ QUERIES = {
     "iw_plasticity": plasticity,
     "iw_batch_epoch_ls": batch_ls,
     "iw_batch_three_epochs": batch_ls_three,
+    "iw_table_three_epochs": table_epochs,
     "iw_batch_epoch_prop": batch_prop,
     "iw_forward": forward_relational,
     "iw_forward_arrow": forward_arrow,
@@ -277,6 +292,7 @@ SQL = {
     "iw_plasticity": _online_sql(freeze=6),
     "iw_batch_epoch_ls": _batch_sql(1),
     "iw_batch_three_epochs": _batch_sql(3),
+    "iw_table_three_epochs": _batch_sql(3),
     "iw_batch_epoch_prop": _batch_sql(1, True),
     "iw_forward": f"{_FORWARD} SELECT * FROM sc",
     "iw_forward_arrow": f"{_FORWARD} SELECT * FROM sc",

@@ -8,6 +8,7 @@ import pytest
 from tesserine.errors import ConfigError
 from tesserine.operators import interval_model as M
 from tesserine.operators import intervals as I
+from tesserine.operators.model_table import ModelTable
 
 
 def samples(spark, n=60, features=6, seed=4):
@@ -49,3 +50,16 @@ def test_prepared_for_another_mode(spark):
         model.train_epoch(model.prepare(df, epoch_mode="honour"), "reference")
     with pytest.raises(ConfigError):
         M.IntervalModel.from_training_data(df, 5, 3, correction=M.Correction("ratio")).train_epoch(model.prepare(df))
+
+
+@pytest.mark.parametrize("mode", ["least-squares", "proportional"])
+def test_a_model_that_is_a_table(spark, mode):
+    df = samples(spark, 50)
+    model = M.IntervalModel.from_training_data(df, 5, 3, distributor=I.TRIANGULAR, correction=M.Correction(mode))
+    own = ModelTable(I.activation_matrix(I.encode(df, model.intervals), "sample_id", 5), df, 3, mode == "proportional")
+    assert own.fit(2) == pytest.approx([model.train_epoch_batch(df) for _ in range(2)], abs=1e-12)
+    found = np.zeros((30, 3)), np.zeros((30, 3), int)
+    for r in own.weights.collect():
+        found[0][r.k, r.output], found[1][r.k, r.output] = r.weight, r.access_count
+    assert np.allclose(found[0], model.weights.reshape(30, 3), atol=1e-9) and (found[1] == model.counts.reshape(30, 3)).all()
+    own.close()
