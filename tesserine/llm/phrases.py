@@ -24,8 +24,8 @@ COUNTERS = 1 << 20
 LOAD = 500_000
 #: Distinct fragments, and distinct words, of a language that a task holds before it sends them on; occurrences looked at at once.
 HELD, HELD_WORDS, AT_ONCE = 300_000, 400_000, 1 << 17
-#: Numbers in each 64-bit word of a key: of a fragment's words, of which a task holds less than 2^21, and of a phrase's.
-IN_FRAGMENT, IN_PHRASE = 3, 2
+#: Numbers in each 64-bit word of a key, of a fragment's words, of which a task holds less than 2^21.
+IN_FRAGMENT = 3
 #: Languages that a task holds at once.
 LANGUAGES = 16
 #: Ranks that are taken in each of so many parts of a language before they are taken in it.
@@ -199,12 +199,13 @@ class _Language:
             order = np.lexsort((salt, bucket))
             bucket, salt, slots, counts = bucket[order], salt[order], slots[order], counts[order]
             cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0)) + 1
+            there, place = np.zeros(len(self.known) + 1, bool), np.zeros(len(self.known) + 1, np.int64)
             for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
-                used, own = np.unique(slots[x:y], return_inverse=True)
-                if used[0] == 0:
-                    used = used[1:]
-                else:
-                    own = own + 1
+                there[slots[x:y]] = True
+                used = np.flatnonzero(there[1:]) + 1
+                place[used] = np.arange(1, len(used) + 1)
+                there[used] = False
+                own = place[slots[x:y]]
                 words = b" ".join(self.known[i - 1] for i in used.tolist())
                 small = np.uint16 if len(used) < 1 << 16 else np.uint32
                 yield int(bucket[x]), int(salt[x]), bool(salt[x] >= 0), self.name, words.decode(), own.astype(small).tobytes(), counts[x:y].tobytes()
@@ -246,35 +247,59 @@ def _route(counters, least: int, load: int, buckets: int):
     return route
 
 
+def _fragments_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(words by place, from 1 and 0 where there is none, of all fragments of rows; their counts; the words)."""
+    words = pc.split_pattern(rows["words"], " ")
+    numbered = pc.list_flatten(words).dictionary_encode().unify_dictionaries()
+    numbers = np.concatenate([c.indices.to_numpy() for c in numbered.chunks]) + 1
+    ends = np.cumsum(pc.list_value_length(words).to_numpy(), dtype=np.int64)
+    ids, counts = [], []
+    for begin, end, slots, n in zip([0, *ends[:-1].tolist()], ends.tolist(), rows["slots"], rows["counts"]):
+        raw = slots.as_py()
+        counts.append(np.frombuffer(n.as_py(), np.int64))
+        places = np.frombuffer(raw, np.uint16 if len(raw) == 2 * (LONGEST + SIDE) * len(counts[-1]) else np.uint32)
+        ids.append(np.append(np.int32(0), numbers[begin:end])[places].reshape(-1, LONGEST + SIDE))
+    return np.concatenate(ids).T.copy(), np.concatenate(counts), numbered.chunk(0).dictionary
+
+
 def _mine(least: int):
-    """Counts, of the fragments of some pivots, the n-grams of two words or more that hold the pivot."""
+    """Counts, of the fragments of some pivots, the n-grams of two words or more that hold the pivot.
+
+    An n-gram is looked at only in fragments whose n-grams of a word less
+    are frequent, the one without its first word and the one without its last.
+    """
 
     def mine(table: pa.Table) -> pa.Table:
-        out: list[tuple[str, str, int]] = []
+        out = [pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int64())], names=["lang", "phrase", "f"])]
         enough = 1 if table.num_rows and table["salted"][0].as_py() else least
         for lang in table["lang"].unique().to_pylist():
-            rows = table.filter(pc.equal(table["lang"], lang))
-            numbers: dict[str, int] = {}
-            grams = Tally()
-            for words, slots, counts in zip(rows["words"], rows["slots"], rows["counts"]):
-                own = np.array([0, *(numbers.setdefault(w, len(numbers) + 1) for w in words.as_py().split(" "))], np.int64)
-                counts, raw = np.frombuffer(counts.as_py(), np.int64), slots.as_py()
-                ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * (LONGEST + SIDE) * len(counts) else np.uint32)
-                ids = own[ids.reshape(-1, LONGEST + SIDE)]
-                keys, sums = [], []
-                for left in range(LONGEST):
-                    for right in range(LONGEST - left):
-                        there = (ids[:, SIDE - left] > 0) & (ids[:, SIDE + right] > 0)  # a fragment has no gaps
-                        if left + right and there.any():
-                            keys.append(packed(ids[there, SIDE - left : SIDE + right + 1], IN_PHRASE))
-                            sums.append(counts[there])
-                grams.add(np.concatenate(keys, axis=1), np.concatenate(sums))
-            often = np.flatnonzero(grams.sums[: grams.n] >= enough)
-            names = [None, *numbers]
-            for row, f in zip(unpacked(grams.keys[:, often], IN_PHRASE, LONGEST).tolist(), grams.sums[often].tolist()):
-                out.append((lang, " ".join(names[i] for i in row if i), f))
-        columns = [*zip(*out)] or [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
+            ids, counts, words = _fragments_of(table.filter(pc.equal(table["lang"], lang)))
+            shorter = {0: ids[SIDE].astype(np.int64)}  # by words left of the pivot, the number of each fragment's n-gram, -1 where it isn't frequent
+            for more in range(1, LONGEST):
+                grams: dict[int, np.ndarray] = {}
+                for left in range(more + 1):
+                    right = more - left
+                    within, word = (shorter[left], ids[SIDE + right]) if right else (shorter[left - 1], ids[SIDE - left])
+                    there = (within >= 0) & (word > 0)
+                    if left and right:
+                        there &= shorter[left - 1] >= 0
+                    at = np.flatnonzero(there)
+                    grams[left] = np.full(len(counts), -1, np.int64)
+                    if not len(at):
+                        continue
+                    keys = within[at] * (len(words) + 1) + word[at]
+                    order = np.argsort(keys)
+                    keys, at = keys[order], at[order]
+                    new = np.append(True, keys[1:] != keys[:-1])
+                    first = np.flatnonzero(new)
+                    sums = np.add.reduceat(counts[at], first)
+                    often = sums >= enough
+                    grams[left][at] = np.where(often, np.cumsum(often) - 1, -1)[np.cumsum(new) - 1]
+                    found = ids[SIDE - left : SIDE + right + 1, at[first[often]]].T - 1
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * (more + 1)), words.take(pa.array(found.ravel())))
+                    out.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(found)), "phrase": pc.binary_join(lists, " ").cast(pa.string()), "f": sums[often]}))
+                shorter = grams
+        return pa.concat_tables(out).combine_chunks()
 
     return mine
 

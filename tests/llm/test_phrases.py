@@ -125,3 +125,28 @@ def test_every_gram_has_one_owner():
                     found[" ".join(language.known[i - 1].decode() for i in row[4 - left : 5 + right])] += f
     true = Counter(" ".join(w[i : i + m]) for piece in text.split(".") for w in [piece.split()] for m in range(2, 6) for i in range(len(w) - m + 1))
     assert found == true
+
+
+@pytest.mark.parametrize("load", [10**9, 50])
+@pytest.mark.parametrize("least", [3, 10**6])
+def test_mining_by_levels(load, least, monkeypatch):
+    """op12: n-grams are looked at only where shorter ones are frequent, not put into a table first; the counts are those of all."""
+    import pyarrow as pa
+
+    rng, true, rows = random.Random(10), Counter(), []
+    for lang in ("en", "de", "en"):
+        text = ". ".join(" ".join(rng.choices(["a", "é", "cc", "d", "e" * 30], k=rng.randint(1, 60))) for _ in range(12))
+        language = phrases._Language(lang, np.arange(100, 164), 100, load, 3)
+        rows += [*language.take(pa.array([text])), *language.sent()]
+        true += Counter((lang, " ".join(w[i : i + m])) for piece in text.split(".") for w in [piece.split()] for m in range(2, 6) for i in range(len(w) - m + 1))
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+    names = [f.split()[0] for f in phrases.ROUTED.split(", ")]
+    monkeypatch.setattr(phrases, "Tally", None)
+    found = Counter()
+    for group in {r[:2] for r in rows}:
+        parts = [pa.table([pa.array([x], t) for x, t in zip(r, kinds)], names=names) for r in rows if r[:2] == group]
+        for r in phrases._mine(least)(pa.concat_tables(parts)).to_pylist():
+            assert load == 50 or (r["lang"], r["phrase"]) not in found
+            found[r["lang"], r["phrase"]] += r["f"]
+    assert Counter({p: f for p, f in found.items() if f >= least}) == Counter({p: f for p, f in true.items() if f >= least})
+    assert phrases._mine(least)(pa.concat_tables(parts).slice(0, 0)).num_rows == 0
