@@ -316,33 +316,49 @@ def nearest_others(refs: DataFrame, k: int, metric: str = "euclidean", threshold
     its vectors, and only what beats the best of the own block is scored.
     Nothing goes through the driver.
     """
-    queries = refs.select(F.col("ref_id").alias("query_id"), "vector")
+    g = grid(refs)
+    if metric not in ("cosine", "euclidean") or not g:
+        return top_k(refs.select(F.col("ref_id").alias("query_id"), "vector"), refs, k, metric, threshold, exclude_self=True)
+    rows = kept(dealt(refs, g).mapInArrow(lambda batches: alone(batches, k, metric), MET_ITSELF))
+    found = rows.select(F.col("ref_id").alias("query_id"), F.explode(F.arrays_zip("__ids", "__labels", "__scores")).alias("__n")).select("query_id", F.col("__n.__ids").alias("ref_id"), F.col("__n.__labels").alias("label"), F.col("__n.__scores").alias("score"))
+    if g > 1:
+        found = found.unionByName(meetings(rows, g).mapInArrow(lambda batches: together(batches, k, metric), NEIGHBORS))
+    return kept(_top(found, k, ["ref_id"]))
+
+
+def grid(refs: DataFrame) -> int:
+    """Blocks that vectors are dealt out to where they are searched among themselves; 0 where they are few."""
     n, width = refs.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    if metric not in ("cosine", "euclidean") or n * n < MANY_PAIRS:
-        return top_k(queries, refs, k, metric, threshold, exclude_self=True)
     cores = refs.sparkSession.sparkContext.defaultParallelism
-    g = max(-(-n // block_size(width)), min(-(-n // LEAST_BLOCK), math.isqrt(2 * MEETINGS * cores)))
-    dealt = refs.select("ref_id", "label", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("ref_id"), F.lit(g)).cast("int").alias("__block"))
+    return 0 if n * n < MANY_PAIRS else max(-(-n // block_size(width)), min(-(-n // LEAST_BLOCK), math.isqrt(2 * MEETINGS * cores)))
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (block,), table in _groups(batches, "__block"):
-            yield from _met_itself(table, block, k, metric)
 
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (low, high), table in _groups(batches, "__low", "__high"):
-            side = column(table, "__block")
-            one, two = (table.filter(pa.array(side == b)) for b in (low, high))
-            if one.num_rows and two.num_rows:
-                yield from _met(one, two, k, metric)
+def dealt(refs: DataFrame, g: int) -> DataFrame:
+    """The vectors with their blocks, a block in each partition."""
+    rows = refs.select("ref_id", "label", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("ref_id"), F.lit(g)).cast("int").alias("__block"))
+    return rows.repartitionById(g, "__block")
 
-    rows = kept(dealt.repartitionById(g, "__block").mapInArrow(alone, MET_ITSELF))
-    found = rows.select(F.col("ref_id").alias("query_id"), F.explode(F.arrays_zip("__ids", "__labels", "__scores")).alias("__n")).select("query_id", F.col("__n.__ids").alias("ref_id"), F.col("__n.__labels").alias("label"), F.col("__n.__scores").alias("score"))
-    if g > 1:
-        pairs = rows.select("ref_id", "label", "vector", "__block", "__floor", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("__other")).where("__block <> __other")
-        pairs = pairs.select("ref_id", "label", "vector", "__block", "__floor", F.least("__block", "__other").alias("__low"), F.greatest("__block", "__other").alias("__high"))
-        meeting = F.expr(f"int(__low * ({2 * g - 1} - __low) div 2 + __high - __low - 1)")
-        found = found.unionByName(pairs.repartitionById(g * (g - 1) // 2, meeting).mapInArrow(together, NEIGHBORS))
-    return kept(_top(found, k, ["ref_id"]))
+
+def meetings(rows: DataFrame, g: int) -> DataFrame:
+    """Blocks that have met themselves, each two of them in a partition; there are two at least."""
+    pairs = rows.select("ref_id", "label", "vector", "__block", "__floor", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("__other")).where("__block <> __other")
+    pairs = pairs.select("ref_id", "label", "vector", "__block", "__floor", F.least("__block", "__other").alias("__low"), F.greatest("__block", "__other").alias("__high"))
+    return pairs.repartitionById(g * (g - 1) // 2, F.expr(f"int(__low * ({2 * g - 1} - __low) div 2 + __high - __low - 1)"))
+
+
+def alone(batches: Iterator[pa.RecordBatch], k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """A task of ``dealt`` blocks."""
+    for (block,), table in _groups(batches, "__block"):
+        yield from _met_itself(table, block, k, metric)
+
+
+def together(batches: Iterator[pa.RecordBatch], k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """A task of ``meetings``."""
+    for (low, high), table in _groups(batches, "__low", "__high"):
+        side = column(table, "__block")
+        one, two = (table.filter(pa.array(side == b)) for b in (low, high))
+        if one.num_rows and two.num_rows:
+            yield from _met(one, two, k, metric)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple[int, ...], pa.Table]]:

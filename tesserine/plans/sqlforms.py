@@ -13,6 +13,8 @@ from ..errors import ConfigError
 from ..functions.vectors import EPSILON, METRICS
 from ..operators import images, library
 from ..operators.interval_model import as_matrix
+from ..operators.nearest import Best, results
+from ..session import kept
 
 _ROW = "ARRAY<DOUBLE>"
 _SUM = "aggregate({}, 0D, (s, x) -> s + x)"
@@ -91,12 +93,41 @@ class Nearest:
         if self.sides["query"] and self.sides["ref"]:
             k, metric, threshold = self.asked
             ids, labels, r = (np.concatenate(x) for x in zip(*self.sides["ref"]))
+            find = library.dense_finder(metric, threshold)(r, ids, labels, k, False)
             for own, _, q in self.sides["query"]:
-                for begin in range(0, len(own), library.QUERY_BLOCK):
-                    scores = library.dense_scores(q[begin : begin + library.QUERY_BLOCK], r, metric, threshold)
-                    at = library.best(scores, ids, labels, k, False)
-                    asked = np.repeat(own[begin : begin + library.QUERY_BLOCK], at.shape[1])
-                    yield pa.table([pa.array(x) for x in (asked, ids[at].ravel(), labels[at].ravel().astype(np.int64), np.take_along_axis(scores, at, axis=1).ravel())], names=["query_id", "ref_id", "label", "score"])
+                found = Best(len(own), k, False)
+                find(q, own, found)
+                yield pa.table([pa.array(x) for x in results(own, found)], names=["query_id", "ref_id", "label", "score"])
+
+
+class _Gathered:
+    """A table function of k, a metric and a table, whose partitions are worked on whole, as they are dealt out."""
+
+    def __init__(self):
+        self.asked, self.held = None, []
+
+    def eval(self, k: pa.Array, metric: pa.Array, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        if rows.num_rows:
+            self.asked = k[0].as_py(), metric[0].as_py()
+            self.held.append(rows)
+        return iter(())
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.held:
+            for batch in self.work(iter(self.held), *self.asked):
+                yield pa.Table.from_batches([batch])
+
+
+class NearestAlone(_Gathered):
+    """nearest_alone(k, metric, TABLE(blocks)): vectors that ``library.dealt`` has dealt out, each with its k most similar others of its block."""
+
+    work = staticmethod(library.alone)
+
+
+class NearestMet(_Gathered):
+    """nearest_met(k, metric, TABLE(meetings)): what each two blocks of ``library.meetings`` find in each other."""
+
+    work = staticmethod(library.together)
 
 
 class Activations:
@@ -119,7 +150,9 @@ class Activations:
 TABLES = {
     "patches": (Patches, "image_id bigint, x bigint, y bigint, w bigint, h bigint"),
     "image_patches": (ImagePatches, "image_id bigint, x bigint, y bigint, w bigint, h bigint, vector array<double>"),
-    "nearest": (Nearest, "query_id bigint, ref_id bigint, label bigint, score double"),
+    "nearest": (Nearest, library.NEIGHBORS),
+    "nearest_alone": (NearestAlone, library.MET_ITSELF),
+    "nearest_met": (NearestMet, library.NEIGHBORS),
     "activations": (Activations, "sample_id bigint, feature bigint, interval bigint, coefficient double"),
 }
 
@@ -149,3 +182,25 @@ SELECT query_id, rank, ref_id, label, score FROM (
 def nearest_sql(queries: str, refs: str, k: int, metric: str = "euclidean", threshold: float = 0.5, parts: int = 8, spare: int = 0) -> str:
     """The text of a search over two views; a part gives ``spare`` neighbours more than are ranked."""
     return NEAREST.format(k=k + spare, limit=k, metric=metric, threshold=float(threshold), parts=parts, queries=queries, refs=refs)
+
+
+#: The nearest others of vectors among themselves, from blocks that have met themselves and, where there are two at least, each other.
+ALONE = "SELECT ref_id AS query_id, near.__ids AS ref_id, near.__labels AS label, near.__scores AS score FROM met_themselves LATERAL VIEW explode(arrays_zip(__ids, __labels, __scores)) AS near"
+MET = "SELECT * FROM nearest_met({k}, '{metric}', TABLE(meetings))"
+OTHERS = """
+SELECT query_id, rank, ref_id, label, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS BIGINT) AS rank FROM ({found})
+) WHERE rank <= {k}
+"""
+
+
+def nearest_others(spark: SparkSession, refs: DataFrame, k: int, metric: str, g: int) -> DataFrame:
+    """``library.nearest_others`` in SQL, by cosine or Euclidean similarity over g blocks: vectors are looked at once for each pair, not once for each of the two."""
+    register(spark, blocks=library.dealt(refs, g))
+    rows = kept(spark.sql(f"SELECT * FROM nearest_alone({k}, '{metric}', TABLE(blocks))"))
+    found = [ALONE]
+    if g > 1:
+        found.append(MET.format(k=k, metric=metric))
+        library.meetings(rows, g).createOrReplaceTempView("meetings")
+    rows.createOrReplaceTempView("met_themselves")
+    return spark.sql(OTHERS.format(found=" UNION ALL ".join(found), k=k))

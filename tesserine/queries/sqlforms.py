@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import library
 from ..operators.prep import min_max_ranges
-from ..plans.sqlforms import nearest_sql, register
+from ..plans.sqlforms import nearest_others, nearest_sql, register
 from . import prep, reports, similarity
 from .base import V_SQL, as_queries, as_refs, r6, scaled, similarity_sql, table, vectors
 
@@ -19,11 +20,14 @@ def patches(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest(metric: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        """``lib_topk`` in SQL: one neighbour more is asked for, as each vector finds itself."""
+        """``lib_topk`` in SQL. Of few vectors one neighbour more is asked for, as each finds itself; many are searched among themselves."""
         v = vectors(spark, d)
+        g = library.grid(as_refs(v))
+        if g:
+            nearest_others(spark, as_refs(v), 3, metric, g).createOrReplaceTempView("found")
+            return spark.sql("SELECT query_id, rank, ref_id, label, round(score, 6) + 0D AS score FROM found")
         register(spark, asked=as_queries(v), stored=as_refs(v))
-        found = spark.sql(nearest_sql("asked", "stored", 4, metric, 0.0))
-        found.createOrReplaceTempView("found")
+        spark.sql(nearest_sql("asked", "stored", 4, metric, 0.0)).createOrReplaceTempView("found")
         return spark.sql("SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS rank, ref_id, label, round(score, 6) + 0D AS score FROM found WHERE ref_id <> query_id) WHERE rank <= 3")
 
     return query
